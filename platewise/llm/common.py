@@ -128,7 +128,7 @@ def grams_of(words: np.ndarray, bounds: np.ndarray, k: int, seed: int = 0) -> tu
     if len(words) < k:
         return np.zeros(0, np.uint64), out_bounds
     total = np.full(len(words) - k + 1, seed, dtype=np.uint64)
-    factor = np.uint64(1)
+    factor = np.ones(1, np.uint64)
     for j in range(k):
         total = total + words[j : len(words) - k + 1 + j] * factor
         factor = factor * _GRAM_BASE

@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
-from platewise.llm import quality_rules
+from platewise.llm import (
+    chat_format,
+    license_scan,
+    mixing,
+    quality_rules,
+    token_files,
+    warc,
+)
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_warc": warc.op3_warc,
+    "op4_mixing": mixing.op4_mixing,
+    "op6_chat_format": chat_format.op6_chat_format,
+    "op7_license_scan": license_scan.op7_license_scan,
+    "op9_token_files": token_files.op9_token_files,
 }
 
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
+    "op3_warc": warc.ORACLE,
+    "op4_mixing": mixing.ORACLE,
+    "op6_chat_format": chat_format.ORACLE,
 }
