@@ -6,6 +6,7 @@ from platewise.llm import (
     chat_format,
     license_scan,
     mixing,
+    ngram_join,
     quality_rules,
     token_files,
     warc,
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_license_scan": license_scan.op7_license_scan,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_token_files": token_files.op9_token_files,
 }
 
@@ -25,4 +27,5 @@ ORACLES = {
     "op3_warc": warc.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op6_chat_format": chat_format.ORACLE,
+    "op8_ngram_join": ngram_join.ORACLE,
 }
