@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from platewise.llm import (
     chat_format,
+    decontamination,
     license_scan,
     mixing,
     ngram_join,
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_token_files": token_files.op9_token_files,
+    "op10_decontamination": decontamination.op10_decontamination,
 }
 
 ORACLES = {
