@@ -94,31 +94,39 @@ def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         start = end
 
 
-def words_of(column: pa.Array, separators: np.ndarray = SPACE_SEPARATORS, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of a string column, and the bounds of each row's words in them.
+def word_spans(column: pa.Array, separators: np.ndarray = SPACE_SEPARATORS, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a string column and its rows' offsets in them; start and end of each word; each row's bounds in the words.
 
-    Words are maximal runs of bytes outside ``separators``; with ``lower``, A-Z count as a-z.
+    Words are maximal runs of bytes outside ``separators``; with ``lower``, A-Z become a-z.
     """
     data, offs = string_buffers(column)
     n = len(data)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
     b = _LOWER[data] if lower else data
     inside = ~separators[b]
-    starts = inside.copy()
+    starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
-    ends = inside.copy()
     ends[:-1] &= ~inside[1:]
     cuts = offs[:-1][offs[:-1] < n]
     starts[cuts] = inside[cuts]
     lasts = offs[1:][offs[1:] > 0] - 1
     ends[lasts] = inside[lasts]
     s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    return b, offs, s, e, np.searchsorted(s, offs).astype(np.int64)
+
+
+def span_hashes(b: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from each start to its end, from running sums of powers."""
+    n = len(b)
     up, down = _pow_table(_BASE, n + 1), _pow_table(_BASE_INVERSE, n + 1)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
-    h = mix((prefix[e] - prefix[s]) * down[s] + (e - s).astype(np.uint64))
-    return h, np.searchsorted(s, offs).astype(np.int64)
+    return mix((prefix[e] - prefix[s]) * down[s] + (e - s).astype(np.uint64))
+
+
+def words_of(column: pa.Array, separators: np.ndarray = SPACE_SEPARATORS, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of a string column, and the bounds of each row's words in them."""
+    b, _, s, e, bounds = word_spans(column, separators, lower)
+    return (span_hashes(b, s, e) if len(s) else np.zeros(0, np.uint64)), bounds
 
 
 def grams_of(words: np.ndarray, bounds: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:

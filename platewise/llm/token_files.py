@@ -18,7 +18,6 @@ stay, in order of id and text hash. A task holds one piece of texts and one grou
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from platewise.llm.common import WORD, shared_folder, slices, stored
+from platewise.llm.common import shared_folder, slices, span_hashes, stored, word_spans
 
 MAGIC = b"PFOR1\0\0\0"
 BLOCK = 1024
@@ -92,86 +91,107 @@ def decode_block(block: bytes | memoryview) -> np.ndarray:
 
 
 # --- encoding -------------------------------------------------------------------------------------------------
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[list(b".,!?")] = True
+
+
 class WordEncoder:
-    """Ids of texts by way of their words: the vocabulary drops white space and never joins what it separates, so
-    each distinct word is encoded once and remembered (at most ``most`` words). A run of ``.,!?`` after a letter
-    ends a word by itself, which the tokenizer cuts there too."""
+    """Ids of texts by way of their words: the vocabulary drops white space and case and never joins what white space
+    separates, so each distinct word is encoded once and remembered under a 64-bit hash (at most ``most`` words). A
+    run of ``.,!?`` that ends a word after a letter is a piece by itself, as the tokenizer cuts there too."""
 
-    def __init__(self, vocabulary: str, most: int = 300_000):
+    def __init__(self, vocabulary: str, most: int = 1_500_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.tokenizer.encode_special_tokens = True
-        self.word, self.most = re.compile(WORD), most
+        self.most = most
         self.reset()
 
     def reset(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def _add(self, words: list[str], ids: list[list[int]]) -> None:
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, total = len(self.place), int(lengths.sum())
-        while n + len(words) > len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-        while self.used + total > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.lengths[n : n + len(words)] = lengths
-        self.starts[n : n + len(words)] = self.used + np.cumsum(lengths) - lengths
-        self.used += total
-        self.place.update(zip(words, range(n, n + len(words)), strict=True))
-
-    def _encode(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word, encoded many at a time between spaces and told apart by their offsets."""
-        out: list[list[int]] = []
-        for i in range(0, len(words), 1000):
-            group = words[i : i + 1000]
+        # Open addressing: a hash's slot or the next free one; 0 is a free slot.
+        slots = 1 << (2 * self.most - 1).bit_length()
+        self.keys, self.place = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
+        self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers for each word, encoded many at a time between spaces and told apart by offsets."""
+        ids, counts = [], []
+        for i in range(0, len(words), 2000):
+            group = [w.decode() for w in words[i : i + 2000]]
             e = self.tokenizer.encode(" ".join(group), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(w) + 1 for w in group])
-            owner = np.searchsorted(starts, np.array([o[0] for o in e.offsets], np.int64), side="right") - 1
-            cuts, ids = np.searchsorted(owner, np.arange(len(group) + 1)), e.ids
-            out += [ids[cuts[j] : cuts[j + 1]] for j in range(len(group))]
-        return out
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.place) + len(words) > self.most:
-            self.reset()
-        parts = {}
-        for w in words:
-            body = w.rstrip(".,!?")
-            parts[w] = (body, w[len(body) :]) if body and len(body) < len(w) and body[-1].isalpha() else (w, "")
-        plain = {p for pair in parts.values() for p in pair if p}
-        plain = [p for p in plain if p not in self.place]
-        self._add(plain, self._encode(plain))
-        joined = [w for w in words if w not in self.place]
-        self._add(joined, [[*self._ids(parts[w][0]), *self._ids(parts[w][1])] for w in joined])
-
-    def _ids(self, word: str) -> list[int]:
-        k = self.place[word]
-        return self.flat[self.starts[k] : self.starts[k] + self.lengths[k]].tolist()
-
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+            ends = np.cumsum([len(w) + 1 for w in group])
+            owner = np.searchsorted(ends, np.array([a for a, _ in e.offsets], np.int64), side="right")
+            ids.append(np.array(e.ids, np.uint32))
+            counts.append(np.bincount(owner, minlength=len(group)))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        ids, counts = self._encode(words)
+        value = np.arange(len(self.starts) - 1, len(self.starts) - 1 + len(keys), dtype=np.int32)
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts)])
+        self.flat = np.concatenate([self.flat, ids])
+        mask = np.uint64(len(self.keys) - 1)
+        slot = (keys & mask).astype(np.int64)
+        while len(keys):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[free]
+            placed = self.keys[slot] == keys
+            self.place[slot[placed]] = value[placed]
+            keys, value, slot = keys[~placed], value[~placed], (slot[~placed] + 1) & int(mask)
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mask = len(self.keys) - 1
+        place, known = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        left, slot = np.arange(len(h)), (h & np.uint64(mask)).astype(np.int64)
+        while len(left):
+            there = self.keys[slot]
+            hit = there == h[left]
+            place[left[hit]], known[left[hit]] = self.place[slot[hit]], True
+            on = ~hit & (there != 0)
+            left, slot = left[on], (slot[on] + 1) & mask
+        return place, known
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id after each text, and the number of each text's ids."""
-        split = [self.word.findall(t) for t in texts]
-        words = [w for s in split for w in s]
-        fresh = set(words) - self.place.keys()
-        if fresh:
-            kept = len(self.place) + len(fresh) <= self.most
-            self._learn(fresh if kept else set(words))
-        k = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        lengths, starts = self.lengths[k], self.starts[k]
+        data, h, s, e, bounds = pieces_of(texts)
+        place, known = self._find(h)
+        if not known.all():
+            if len(self.starts) > self.most:
+                self.reset()
+                known[:] = False
+            missing = np.flatnonzero(~known)
+            keys, first = np.unique(h[missing], return_index=True)
+            raw = data.tobytes()
+            self._learn(keys, [raw[s[i] : e[i]] for i in missing[first]])
+            place, known = self._find(h)
+        starts, lengths = self.starts[place], self.starts[place + 1] - self.starts[place]
         ends = np.cumsum(lengths)
         ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0] + [len(s) for s in split])]
-        counts = np.diff(bounds)
+        counts = np.diff(np.concatenate([[0], ends])[bounds])
         out = np.full(len(ids) + len(texts), end, np.uint32)
         out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), counts)] = ids
         return out, counts + 1
 
 
+def pieces_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes; hash, start and end of each piece of a word; and each text's bounds in the pieces."""
+    data, _, s, e, bounds = word_spans(texts)
+    if not len(s):
+        return data, np.zeros(0, np.uint64), s, e, bounds
+    # The last byte of each word that is no punctuation, where that is a letter and punctuation follows.
+    last = np.maximum.accumulate(np.where(_PUNCTUATION[data], -1, np.arange(len(data))))[e - 1]
+    cut = (last >= s) & (last < e - 1) & (data[last] >= 0x61) & (data[last] <= 0x7A)
+    extra = np.concatenate([[0], np.cumsum(cut)])
+    starts, ends = np.empty(len(s) + extra[-1], np.int64), np.empty(len(s) + extra[-1], np.int64)
+    body = np.arange(len(s)) + extra[:-1]
+    starts[body], ends[body] = s, np.where(cut, last + 1, e)
+    tail = body[cut] + 1
+    starts[tail], ends[tail] = last[cut] + 1, e[cut]
+    return data, np.maximum(span_hashes(data, starts, ends), np.uint64(1)), starts, ends, bounds + extra[bounds]
+
+
 @functools.lru_cache(maxsize=2)
 def word_encoder(vocabulary: str) -> WordEncoder:
     return WordEncoder(vocabulary)
@@ -205,7 +225,7 @@ def write_token_files(df: DataFrame, folder: str, vocabulary: str = "word_bpe_49
                     system.create_dir(where.rpartition("/")[0], recursive=True)
                     out = system.open_output_stream(where)
                     out.write(MAGIC)
-                ids, counts = encoder.encode([t or "" for t in batch.column(1).to_pylist()], end)
+                ids, counts = encoder.encode(batch.column(1), end)
                 docs += batch.column(0).to_pylist()
                 lengths.append(counts)
                 total += len(ids)
