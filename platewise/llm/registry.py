@@ -8,15 +8,19 @@ from platewise.llm import (
     license_scan,
     mixing,
     ngram_join,
+    quality_crf,
     quality_rules,
     token_files,
+    toxicity_gru,
     warc,
 )
 
 QUERIES = {
+    "op1_quality_crf": quality_crf.op1_quality_crf,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_warc": warc.op3_warc,
     "op4_mixing": mixing.op4_mixing,
+    "op5_toxicity_gru": toxicity_gru.op5_toxicity_gru,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_ngram_join": ngram_join.op8_ngram_join,
