@@ -1,13 +1,20 @@
-"""A corpus pipeline of the training-data operators: each stage is written as Parquet and read by the next."""
+"""A corpus pipeline of the training-data operators: each stage is written as Parquet and read by the next.
+
+Rules first, then one document of each near-duplicate group, then no document that holds a benchmark item; what is left
+is mixed to the sources' weights and written as token ids. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from platewise.llm.common import stored
+from platewise.llm.common import shared_folder, stored
+from platewise.llm.decontamination import contaminated
+from platewise.llm.mixing import mix_sources
+from platewise.llm.ngram_join import near_duplicates
 from platewise.llm.quality_rules import quality_rules
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+from platewise.llm.token_files import read_token_files, write_token_files
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +22,39 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(docs).filter("kept").select(*docs.columns)
 
 
-STAGES = [("quality rules", rules_stage)]
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates, the document with the smallest id (rows without an id stay)."""
+    found = near_duplicates(docs.select("doc_id", "text"))
+    others = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    found = contaminated(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; a document that is taken twice is two rows."""
+    mixed = mix_sources(docs.select("doc_id", "text", "source")).filter("passes > 0").select("doc_id", "passes")
+    return docs.join(mixed, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("_pass")).drop("_pass")
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token files and says what they hold."""
+    return read_token_files(write_token_files(docs.select("doc_id", "text"), shared_folder(spark, "tokens")))
+
+
+STAGES = [
+    ("quality rules", rules_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources", mixing_stage),
+    ("token files", token_stage),
+]
+
+#: SQL has no tokenizer, so the whole is tested against a brute-force version.
 ORACLE_SQL = None
 
 
