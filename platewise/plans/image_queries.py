@@ -1 +1,204 @@
-"""Queries, to follow."""
+"""Queries of image operators: the 64 values of each embedding are an 8 x 8 image in [0, 1]."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from platewise.operators import pixels as P
+from platewise.operators import quality as Q
+from platewise.operators.sampling import draw_order, pick_even_levels
+from platewise.plans.registry import query, table
+
+#: Pixels in SQL, and the sum by which queries report an image.
+PX = """WITH e AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+  px AS (SELECT vec_id AS image_id, (i // 8)::INT AS r, (i % 8)::INT AS c, (x + 1) / 2 AS v FROM e)"""
+SUM = "SELECT image_id, round(sum(v * (r * 8 + c + 1)), 6) AS total FROM {px} GROUP BY 1"
+
+
+def images(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.transform("embedding", lambda x: (x.cast("double") + 1) / 2).alias("pixels"))
+
+
+def pixels(spark, d):
+    return P.explode_pixels(images(spark, d), 8).repartition("image_id")
+
+
+def summed(px):
+    return px.groupBy("image_id").agg(F.round(F.sum(F.col("v") * (F.col("r") * 8 + F.col("c") + 1)), 6).alias("total"))
+
+
+def pairs(spark, d):
+    """Each image with a blunted copy of itself."""
+    px = pixels(spark, d)
+    return px.select("image_id", "r", "c", (F.floor(F.col("v") * 16) / 16).alias("x"), F.col("v").alias("y"))
+
+
+PAIRS = PX + ", pairs AS (SELECT image_id, r, c, floor(v * 16) / 16 AS x, v AS y FROM px)"
+
+
+@query("explode_pixels", f"{PX} {SUM.format(px='px')}")
+def explode_pixels(spark, d):
+    return summed(P.explode_pixels(P.collect_pixels(pixels(spark, d)), 8))
+
+
+@query("bitdepth_normalize", "SELECT vec_id AS image_id, 'scale' AS strategy, CASE WHEN list_max(v) <= 255 THEN 8 WHEN list_max(v) <= 4095 THEN 12 ELSE 16 END::INT AS bit_depth, round(list_sum(v) / (CASE WHEN list_max(v) <= 255 THEN 255 WHEN list_max(v) <= 4095 THEN 4095 ELSE 65535 END), 6) AS total FROM (SELECT vec_id, list_transform(embedding, lambda x: floor((x::DOUBLE + 1) / 2 * (CASE vec_id % 3 WHEN 0 THEN 300 WHEN 1 THEN 4000 ELSE 65535 END))) AS v FROM embeddings)")
+def bitdepth_normalize(spark, d):
+    top = F.when(F.col("image_id") % 3 == 0, 300).when(F.col("image_id") % 3 == 1, 4000).otherwise(65535)
+    raw = images(spark, d).withColumn("raw", F.transform("pixels", lambda v: F.floor(v * top).cast("double")))
+    n = raw.select("image_id", P.normalized(F.col("raw"), F.lit("uint16")).alias("n"))
+    return n.select("image_id", "n.strategy", "n.bit_depth", F.round(F.aggregate("n.pixels", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("bitdepth_denormalize", f"{PX} SELECT image_id, sum(round_even(least(greatest(v * 255, 0), 150), 0))::DOUBLE AS total FROM px GROUP BY 1")
+def bitdepth_denormalize(spark, d):
+    return pixels(spark, d).groupBy("image_id").agg(F.sum(P.denormalized(F.col("v"), F.lit(255.0), F.lit(150.0))).alias("total"))
+
+
+_U = "((('0x' || substr(md5(concat_ws('|', 'n{k}', image_id, r, c)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+
+
+@query("noise_sweep", f"{PX} SELECT image_id, level, round(sum(v + level * sqrt(-2 * ln({_U.format(k='a')})) * cos(2 * pi() * {_U.format(k='b')})), 6) AS total FROM px, (VALUES (0.1::DOUBLE), (0.2::DOUBLE)) l(level) GROUP BY 1, 2")
+def noise_sweep(spark, d):
+    px = pixels(spark, d)
+    one = lambda level: P.gaussian_noise(px, level, "n").groupBy("image_id").agg(F.round(F.sum("v"), 6).alias("total")).withColumn("level", F.lit(level))
+    return one(0.1).unionByName(one(0.2))
+
+
+_W = [round(w, 17) for w in P.gaussian_weights(0.8, 2)]
+_BLUR1 = " + ".join(f"coalesce({w!r}::DOUBLE * {{v{k}}}, 0)" for k, w in enumerate(_W))
+_BLUR2 = " + ".join(f"CASE WHEN {{v{k}}} IS NULL THEN 0 ELSE {w!r}::DOUBLE END" for k, w in enumerate(_W))
+_LAGS = {f"v{k}": ("v" if k == 2 else f"{'lag' if k < 2 else 'lead'}(v, {abs(k - 2)}) OVER w") for k in range(5)}
+_AXIS = f"(({_BLUR1}) / ({_BLUR2}))".format(**_LAGS)
+
+
+@query("blur_sweep", f"{PX}, h AS (SELECT image_id, r, c, {_AXIS} AS v FROM px WINDOW w AS (PARTITION BY image_id, r ORDER BY c)), b AS (SELECT image_id, r, c, {_AXIS} AS v FROM h WINDOW w AS (PARTITION BY image_id, c ORDER BY r)) {SUM.format(px='b')}")
+def blur_sweep(spark, d):
+    return summed(P.gaussian_blur(pixels(spark, d), 0.8, 2))
+
+
+def _extreme_sql(f: str, h: int) -> str:
+    w = f"RANGE BETWEEN {h} PRECEDING AND {h} FOLLOWING"
+    return f"{PX}, h AS (SELECT image_id, r, c, {f}(v) OVER (PARTITION BY image_id, r ORDER BY c {w}) AS v FROM px), b AS (SELECT image_id, r, c, {f}(v) OVER (PARTITION BY image_id, c ORDER BY r {w}) AS v FROM h) {SUM.format(px='b')}"
+
+
+@query("erode_sweep", _extreme_sql("min", 2))
+def erode_sweep(spark, d):
+    return summed(P.erode(pixels(spark, d), 2, 2))
+
+
+@query("dilate_sweep", _extreme_sql("max", 1))
+def dilate_sweep(spark, d):
+    return summed(P.dilate(pixels(spark, d), 3))
+
+
+@query("gamma_sweep", f"{PX} SELECT image_id, g AS level, round(sum(pow(v, g / 100.0::DOUBLE)), 6) AS total FROM px, (VALUES (60), (150)) l(g) GROUP BY 1, 2")
+def gamma_sweep(spark, d):
+    px = pixels(spark, d).withColumn("level", F.explode(F.array(F.lit(60), F.lit(150))))
+    return px.withColumn("v", F.pow("v", F.col("level") / 100)).groupBy("image_id", "level").agg(F.round(F.sum("v"), 6).alias("total"))
+
+
+def _source_sql(axis: str) -> str:
+    u = lambda k: f"(1 + 0.3::DOUBLE * (2 * (('0x' || substr(md5(concat_ws('|', 'g{axis}', image_id, {k})), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE - 1))"
+    cells = "[" + ", ".join(u(k) for k in range(4)) + "]"
+    cell = f"floor({axis} / 2.0)::INT"
+    return f"least(greatest(floor((coalesce(list_sum(list_slice({cells}, 1, {cell})), 0) + ({axis} / 2.0::DOUBLE - {cell}) * {cells}[{cell} + 1]) / list_sum({cells}) * 8 + 0.5::DOUBLE), 0), 7)::INT"
+
+
+@query("grid_distort_sweep", f"{PX}, q AS (SELECT image_id, r, c, {_source_sql('r')} AS sr, {_source_sql('c')} AS sc FROM px), b AS (SELECT q.image_id, q.r, q.c, px.v FROM q JOIN px ON q.image_id = px.image_id AND q.sr = px.r AND q.sc = px.c) {SUM.format(px='b')}")
+def grid_distort_sweep(spark, d):
+    return summed(P.grid_distort(pixels(spark, d), 8, 8, 4, 0.3, "g"))
+
+
+@query("shift_sweep", f"{PX}, b AS (SELECT image_id, (r + 2) % 8 AS r, (c + 7) % 8 AS c, v FROM px) {SUM.format(px='b')}")
+def shift_sweep(spark, d):
+    return summed(P.shift(pixels(spark, d), 8, 8, 2, -1))
+
+
+@query("crop_patches", f"{PX} SELECT image_id, count(*) AS n, round(sum(v * ((r - image_id % 8 + 2) * 4 + (c - 3))), 6) AS total FROM px WHERE image_id % 8 BETWEEN 2 AND 6 AND r BETWEEN image_id % 8 - 2 AND image_id % 8 + 1 AND c BETWEEN 3 AND 6 GROUP BY 1")
+def crop_patches(spark, d):
+    centres = images(spark, d).select("image_id", F.lit(0).alias("patch_idx"), (F.col("image_id") % 8).alias("cy"), F.lit(5).alias("cx"))
+    patches = P.crop_patches(pixels(spark, d), centres, 4, 8, 8)
+    return patches.groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("v") * (F.col("r") * 4 + F.col("c"))), 6).alias("total"))
+
+
+@query("center_crop", f"{PX}, b AS (SELECT * FROM px WHERE r BETWEEN 2 AND 5 AND c BETWEEN 2 AND 5) {SUM.format(px='b')}")
+def center_crop(spark, d):
+    return summed(P.center_crop(pixels(spark, d), 8, 8, 4))
+
+
+@query("metric_mae", f"{PAIRS} SELECT image_id, round(avg(abs(x - y)), 8) AS mae FROM pairs GROUP BY 1")
+def metric_mae(spark, d):
+    return Q.mae(pairs(spark, d)).withColumn("mae", F.round("mae", 8))
+
+
+@query("metric_psnr", f"{PAIRS} SELECT image_id, round(-10 * log10(avg((x - y) * (x - y))), 6) AS psnr FROM pairs GROUP BY 1")
+def metric_psnr(spark, d):
+    return Q.psnr(pairs(spark, d)).withColumn("psnr", F.round("psnr", 6))
+
+
+def _ssim_sql(size: int, source: str, fg: str = "1.0") -> str:
+    h, cols = size // 2, ("n", "sx", "sy", "sxx", "syy", "sxy", "f")
+    w = f"RANGE BETWEEN {h} PRECEDING AND {h} FOLLOWING"
+    sums = ", ".join(f"sum({c}) OVER w AS {c}" for c in cols)
+    return f"""m0 AS (SELECT image_id, r, c, 1.0::DOUBLE AS n, x AS sx, y AS sy, x * x AS sxx, y * y AS syy, x * y AS sxy, {fg}::DOUBLE AS f FROM {source}),
+  m1 AS (SELECT image_id, r, c, {sums} FROM m0 WINDOW w AS (PARTITION BY image_id, r ORDER BY c {w})), m2 AS (SELECT image_id, r, c, {sums} FROM m1 WINDOW w AS (PARTITION BY image_id, c ORDER BY r {w})),
+  m AS (SELECT image_id, f, (2 * sx / n * sy / n + 0.0001) * (2 * (sxy / n - sx / n * sy / n) + 0.0009) / ((sx / n * sx / n + sy / n * sy / n + 0.0001) * (sxx / n - sx / n * sx / n + syy / n - sy / n * sy / n + 0.0009)) AS ssim FROM m2)"""
+
+
+@query("metric_ssim", f"{PAIRS}, {_ssim_sql(7, 'pairs')} SELECT image_id, round(avg(ssim), 6) AS ssim FROM m GROUP BY 1")
+def metric_ssim(spark, d):
+    return Q.ssim(pairs(spark, d)).withColumn("ssim", F.round("ssim", 6))
+
+
+_OTSU = """h AS (SELECT image_id, least(floor(y * 64), 63)::INT AS b, count(*)::DOUBLE AS n FROM pairs GROUP BY 1, 2),
+  o AS (SELECT *, sum(n) OVER u AS w0, sum(n * (b + 0.5::DOUBLE)) OVER u AS s0, sum(n) OVER a AS w, sum(n * (b + 0.5::DOUBLE)) OVER a AS s FROM h
+    WINDOW u AS (PARTITION BY image_id ORDER BY b ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY image_id)),
+  t AS (SELECT image_id, (b + 1) / 64.0::DOUBLE AS threshold FROM o QUALIFY row_number() OVER (PARTITION BY image_id
+    ORDER BY round(coalesce(w0 * (w - w0) * pow(s0 / w0 - (s - s0) / nullif(w - w0, 0), 2), -1), 6) DESC, b) = 1),
+  masked AS (SELECT pairs.*, y >= threshold AS fg FROM pairs JOIN t USING (image_id))"""
+
+
+@query("otsu_mask", f"{PAIRS}, {_OTSU} SELECT image_id, sum(fg::INT)::BIGINT AS foreground FROM masked GROUP BY 1")
+def otsu_mask(spark, d):
+    return Q.with_mask(pairs(spark, d)).groupBy("image_id").agg(F.sum(F.col("fg").cast("int")).alias("foreground"))
+
+
+_FG_PSNR = "-10 * log10(greatest(sum(CASE WHEN fg THEN (x - y) * (x - y) ELSE 0 END) / greatest(sum(fg::INT), 1e-12::DOUBLE), 1e-12::DOUBLE))"
+
+
+@query("metric_fg_psnr", f"{PAIRS}, {_OTSU} SELECT image_id, round({_FG_PSNR}, 6) AS fg_psnr FROM masked GROUP BY 1")
+def metric_fg_psnr(spark, d):
+    return Q.fg_psnr(Q.with_mask(pairs(spark, d))).withColumn("fg_psnr", F.round("fg_psnr", 6))
+
+
+_FG_SSIM = "coalesce(avg(ssim) FILTER (f = 9), 0)"
+
+
+@query("metric_fg_ssim", f"{PAIRS}, {_OTSU}, {_ssim_sql(3, 'masked', 'fg')} SELECT image_id, round({_FG_SSIM}, 6) AS fg_ssim FROM m GROUP BY 1")
+def metric_fg_ssim(spark, d):
+    return Q.fg_ssim(Q.with_mask(pairs(spark, d)), 3).withColumn("fg_ssim", F.round("fg_ssim", 6))
+
+
+@query("metric_table", f"""{PAIRS} SELECT image_id, 'mae' AS metric_name, round(avg(abs(x - y)), 6) AS metric_value FROM pairs GROUP BY 1
+  UNION ALL SELECT image_id, 'psnr', round(-10 * log10(avg((x - y) * (x - y))), 6) FROM pairs GROUP BY 1""")
+def metric_table(spark, d):
+    rows = Q.metric_table(pairs(spark, d), {k: Q.METRICS[k] for k in ("mae", "psnr")})
+    return rows.withColumn("metric_value", F.round("metric_value", 6))
+
+
+@query("replicate_channels", "SELECT vec_id AS image_id, 3::INT AS channels, round(3 * list_sum(list_transform(embedding, lambda x: (x::DOUBLE + 1) / 2)), 6) AS total FROM embeddings")
+def replicate_channels(spark, d):
+    rows = images(spark, d).select("image_id", P.replicate_channels(F.array("pixels")).alias("channels"))
+    total = F.aggregate(F.flatten("channels"), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("image_id", F.size("channels").alias("channels"), F.round(total, 6).alias("total"))
+
+
+@query("explore_random_set", """WITH o AS (SELECT user_id FROM events WHERE event_type = 'click' GROUP BY 1 ORDER BY md5('3|' || user_id), user_id LIMIT 1),
+  l AS (SELECT user_id, k, row_number() OVER (ORDER BY k) - 1 AS pos FROM (SELECT DISTINCT user_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events JOIN o USING (user_id) WHERE event_type = 'click')),
+  s AS (SELECT max(pos) AS top FROM l)
+  SELECT user_id, k FROM l, s WHERE top < 4 OR pos IN (0, round_even(top / 3.0::DOUBLE, 0), round_even(2 * top / 3.0::DOUBLE, 0), top)""")
+def explore_random_set(spark, d):
+    """One original, drawn by hash, with at most four of its levels, evenly spaced."""
+    rows = table(spark, d, "events").filter("event_type = 'click'").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    chosen = rows.select("user_id").distinct().orderBy(draw_order("3", "user_id"), "user_id").limit(1)
+    return pick_even_levels(rows.join(chosen, "user_id", "left_semi"), ["user_id"], "k", 4)
