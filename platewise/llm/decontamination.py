@@ -16,7 +16,7 @@ Repeated rows and ids each count; rows with a null id are reported with a null i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -34,7 +34,7 @@ RADIUS = 19
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Lengths looked for in one pass over the texts.
 LENGTHS_PER_PASS = 512
-BITMAP_BITS = (1 << 20, 1 << 28)
+BITMAP_BITS = (1 << 22, 1 << 28)
 
 
 def _shingles(words: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,6 +109,13 @@ def item_index(items: DataFrame) -> DataFrame:
     return out
 
 
+def close_hits(sizes: list[int], needed: Callable[[int], int]) -> tuple[int, int]:
+    """(run, hits): a window of any of the sizes that has the hits it needs holds a run of so many shingles with so many hits.
+    The run is as long as the smallest window; of the disjoint runs in a window, one has no more than its share of misses."""
+    run = min(sizes)
+    return run, max(1, min(run - (n - needed(n)) // (n // run) for n in sizes))
+
+
 def windows_of(df: DataFrame, table: np.ndarray, lengths: list[int], similarity: float = SIMILARITY) -> DataFrame:
     """row, doc_id, start, length, fp, grams of the windows that may reach the similarity with an item of their length."""
     known = df.sparkSession.sparkContext.broadcast((table, lengths))
@@ -129,9 +136,10 @@ def windows_of(df: DataFrame, table: np.ndarray, lengths: list[int], similarity:
                 for k in sorted({min(K, n) for n in lengths}):
                     grams, gram_bounds = grams_of(words, bounds, k, seed=k)
                     owner = np.repeat(np.arange(batch.num_rows), np.diff(gram_bounds))
-                    # Shingles of any item, by text; only texts that have one are looked at by length.
-                    some = np.unique(owner[in_bitmap(table, grams)])
-                    for i in some:
+                    # Texts that have enough shingles of any items close together are looked at by length.
+                    near, enough = close_hits([n - k + 1 for n in lengths if min(K, n) == k], hits_needed)
+                    sums = np.concatenate([[0], np.cumsum(in_bitmap(table, grams))])
+                    for i in np.unique(owner[np.flatnonzero(sums[near:] - sums[:-near] >= enough)]) if len(grams) >= near else ():
                         own = grams[gram_bounds[i] : gram_bounds[i + 1]]
                         for length in lengths:
                             n = length - k + 1
