@@ -185,11 +185,11 @@ def join_agg_first(spark, d):
     return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.min_by("l_returnflag", order).alias("flag"))
 
 
-@query("join_cells_to_sites", """SELECT o_orderkey, count(*) AS cells, round(avg(l_extendedprice), 4) AS x FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+@query("join_cells_to_sites", """SELECT o_orderkey, count(*) AS cells, round(sum(l_extendedprice), 2) AS x FROM orders JOIN lineitem ON o_orderkey = l_orderkey
   WHERE o_orderstatus = 'O' GROUP BY 1""")
 def join_cells_to_sites(spark, d):
     sites = table(spark, d, "orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey"), F.col("o_orderkey").alias("l_orderkey"))
-    return sites.join(table(spark, d, "lineitem"), "l_orderkey").groupBy("o_orderkey").agg(F.count("*").alias("cells"), F.round(F.avg("l_extendedprice"), 4).alias("x"))
+    return sites.join(table(spark, d, "lineitem"), "l_orderkey").groupBy("o_orderkey").agg(F.count("*").alias("cells"), F.round(F.sum("l_extendedprice"), 2).alias("x"))
 
 
 @query("pair_images", """SELECT a.vec_id, b.vec_id AS reference, len(a.embedding)::INT AS pixels FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 10""")
