@@ -206,3 +206,37 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item found in every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: DuckDB SQL of the same rows: every window of an item's length that shares a shingle with it is compared in full.
+ORACLE = r"""
+WITH lower_case AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark
+), w AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lower_case
+), items AS (
+  SELECT id AS item_id, len(w) AS length, least(5, len(w)) AS k, w FROM w WHERE kind = 'i' AND len(w) > 0
+), ks AS (
+  SELECT DISTINCT k FROM items
+), ig AS (
+  SELECT item_id, length, k, length - k + 1 AS n, unnest(list_transform(range(1, length - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS g FROM items
+), ic AS (
+  SELECT item_id, length, k, n, g, count(*) AS c FROM ig GROUP BY ALL
+), dg AS (
+  SELECT id AS doc_id, k, len(w) AS words, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS g,
+    unnest(range(0, len(w) - k + 1)) AS pos FROM w, ks WHERE kind = 'd' AND len(w) >= k
+), near AS (
+  SELECT DISTINCT doc_id, item_id, length, k, n, unnest(range(greatest(0, pos - n + 1), least(pos, words - length) + 1)) AS start
+  FROM dg JOIN ic USING (k, g)
+), wc AS (
+  SELECT near.doc_id, item_id, length, near.k, n, start, dg.g, count(*) AS c
+  FROM near JOIN dg ON dg.doc_id = near.doc_id AND dg.k = near.k AND dg.pos BETWEEN start AND start + n - 1 GROUP BY ALL
+), common AS (
+  SELECT doc_id, item_id, wc.length, wc.n, start, sum(least(wc.c, ic.c)) AS common
+  FROM wc JOIN ic USING (item_id, g) GROUP BY ALL
+), scored AS (
+  SELECT doc_id, item_id, common::DOUBLE / (2 * n - common)::DOUBLE AS similarity, start, length FROM common
+)
+SELECT doc_id, item_id, similarity, start, length::INT AS length FROM scored WHERE similarity >= 0.75
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1"""

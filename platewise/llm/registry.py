@@ -34,4 +34,5 @@ ORACLES = {
     "op4_mixing": mixing.ORACLE,
     "op6_chat_format": chat_format.ORACLE,
     "op8_ngram_join": ngram_join.ORACLE,
+    "op10_decontamination": decontamination.ORACLE,
 }
