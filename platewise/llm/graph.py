@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.common import stored
+from platewise.llm.common import drop_stored, stored
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -33,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stored(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = _signature(edges)
     while True:
-        edges = stored(_star(_star(edges, large=True), large=False), "edges")
+        old, edges = edges, stored(_star(_star(edges, large=True), large=False), "edges")
+        drop_stored(old)
         after = _signature(edges)
         if after == before:
             break

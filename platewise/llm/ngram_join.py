@@ -28,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm.common import grams_of, list_array, mix, shared_folder, slices, stored, words_of
+from platewise.llm.common import grams_of, drop_stored, list_array, mix, slices, stored, words_of
 from platewise.llm.graph import components
 from platewise.llm.sketches import COUNTERS, bitmap, count_classes, in_bitmap
 
@@ -96,12 +96,13 @@ def least_partner(n):
     return -(-3 * n // 4)
 
 
-def head_keys(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Keys of one set whose tokens stand in the common order."""
+def head_keys(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of one set whose tokens stand in the common order, and the ``lack`` of each: if no earlier key is shared, the
+    partner lacks so many of the tokens before."""
     n = len(tokens)
     level = int(level_of(n))
     starts = level_starts()
-    singles, keys = 0, []
+    singles, keys, lacks = 0, [], []
     for at in (level, level - 1):
         if at < 0:
             continue
@@ -117,7 +118,8 @@ def head_keys(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
         later = np.ones(len(f), bool)
         later[np.unique(cls[f], return_index=True)[1]] = False
         adds[f] |= later
-        end = int(np.searchsorted(np.cumsum(adds), quota)) + 1
+        sums = np.cumsum(adds)
+        end = int(np.searchsorted(sums, quota)) + 1
         singles = max(singles, end)
         f = f[f < end]
         f = f[np.argsort(cls[f], kind="stable")]
@@ -127,12 +129,14 @@ def head_keys(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
                 i, j = np.triu_indices(b - a, 1)
                 x, y = tokens[f[a:b]][i], tokens[f[a:b]][j]
                 keys.append(mix(np.minimum(x, y) * np.uint64(3) + mix(np.maximum(x, y)) + np.uint64(at + 1)))
-    rare = tokens[:singles][~frequent[:singles]]
-    return np.concatenate([rare, *keys])
+                # The later of both tokens adds one itself, as it is not the first of its class.
+                lacks.append(sums[f[a:b]][np.maximum(i, j)] - 1)
+    rare = np.flatnonzero(~frequent[:singles])
+    return np.concatenate([tokens[rare], *keys]), np.concatenate([rare, *lacks])
 
 
-def index_rows(grams: np.ndarray, bounds: np.ndarray, classes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of all sets, each key's set, and each set's rank as a leader (least: most common tokens)."""
+def index_rows(grams: np.ndarray, bounds: np.ndarray, classes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all sets, each key's set and lack, and each set's rank as a leader (least: most common tokens)."""
     n = np.diff(bounds)
     owner = np.repeat(np.arange(len(n)), n)
     c = classes[(grams & np.uint64(COUNTERS - 1)).astype(np.int64)]
@@ -148,12 +152,13 @@ def index_rows(grams: np.ndarray, bounds: np.ndarray, classes: np.ndarray, limit
     hot = np.zeros(len(n), bool)
     hot[owner[head & frequent]] = True
     plain = head & ~np.repeat(hot, n)
-    keys, owners = [tokens[plain]], [owner[plain]]
+    keys, owners, lacks = [tokens[plain]], [owner[plain]], [place[plain]]
     for i in np.flatnonzero(hot):
-        k = head_keys(tokens[bounds[i] : bounds[i + 1]], frequent[bounds[i] : bounds[i + 1]])
+        k, lack = head_keys(tokens[bounds[i] : bounds[i + 1]], frequent[bounds[i] : bounds[i + 1]])
         keys.append(k)
         owners.append(np.full(len(k), i))
-    return np.concatenate(keys), np.concatenate(owners), rank
+        lacks.append(lack)
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(lacks), rank
 
 
 # --- jobs -----------------------------------------------------------------------------------------------------
@@ -175,7 +180,7 @@ def _batch_sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def key_table(df: DataFrame, classes: np.ndarray, limit: int) -> DataFrame:
-    """key, c, n, rank for all keys of all documents."""
+    """key, c, n, rank, lack for all keys of all documents."""
     table = df.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +188,10 @@ def key_table(df: DataFrame, classes: np.ndarray, limit: int) -> DataFrame:
             for batch in slices(whole, "text"):
                 grams, bounds = shingle_sets(batch.column(1))
                 c, n = class_hashes(grams, bounds).view(np.int64), np.diff(bounds)
-                keys, owner, rank = index_rows(grams, bounds, table.value, limit)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(c[owner]), pa.array(n[owner].astype(np.int32)), pa.array(rank[owner].astype(np.int32))], names=["key", "c", "n", "rank"])
+                keys, owner, lack, rank = index_rows(grams, bounds, table.value, limit)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(c[owner]), pa.array(n[owner].astype(np.int32)), pa.array(rank[owner].astype(np.int32)), pa.array(lack.astype(np.int32))], names=["key", "c", "n", "rank", "lack"])
 
-    return df.mapInArrow(run, "key long, c long, n int, rank int")
+    return df.mapInArrow(run, "key long, c long, n int, rank int, lack int")
 
 
 def fetch_sets(df: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -233,9 +238,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def may_link(n: str, m: str):
-    """Whether sets of these sizes can link."""
-    return 4 * F.least(n, m) >= 3 * F.greatest(n, m)
+def may_link(n: str, lack: str, m: str, other_lack: str) -> Column:
+    """Whether sets of sizes ``n`` and ``m`` can link if this key is the first that they share: what each must lack
+    before the key leaves enough common tokens."""
+    common = F.ceil((F.col(n) + F.col(m)) * NUMERATOR / DENOMINATOR)
+    return (F.col(n) - F.col(lack) >= common) & (F.col(m) - F.col(other_lack) >= common)
 
 
 def links(df: DataFrame) -> DataFrame:
@@ -244,21 +251,23 @@ def links(df: DataFrame) -> DataFrame:
     # Frequent: clearly above what chance puts into one counter.
     limit = int(4 * np.log2(1 + mean + 8 * np.sqrt(mean) + 64))
     keys = stored(_shared(key_table(df, classes, limit)), "keys")
-    lead = keys.groupBy("key").agg(F.min(F.struct("rank", "c", "n")).alias("lead"))
-    near = keys.join(lead, "key").filter(F.col("c") != F.col("lead.c")).filter(may_link("n", "lead.n"))
+    lead = keys.groupBy("key").agg(F.min(F.struct("rank", "c", "n", "lack")).alias("lead"))
+    near = keys.join(lead, "key").filter(F.col("c") != F.col("lead.c")).filter(may_link("n", "lack", "lead.n", "lead.lack"))
     first = stored(near.select(F.col("lead.c").alias("a"), F.col("c").alias("b")).distinct(), "pairs")
     done = stored(verified(first, fetch_sets(df, first.select(F.explode(F.array("a", "b")).alias("c")))), "links")
     # What shares a key but not a component yet.
-    roots = components(done)
+    roots = stored(components(done), "roots")
     labelled = keys.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select("key")
-    left = labelled.join(mixed, "key").select("key", "c", "n", "root")
-    left = stored(left, "mixed")
-    other = left.select("key", F.col("c").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    cross = left.withColumnRenamed("c", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("other"))).filter(may_link("n", "m"))
+    left = stored(labelled.join(mixed, "key").select("key", "c", "n", "lack", "root"), "mixed")
+    drop_stored(keys, roots)
+    other = left.select("key", F.col("c").alias("b"), F.col("n").alias("m"), F.col("lack").alias("other_lack"), F.col("root").alias("other"))
+    cross = left.withColumnRenamed("c", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("other"))).filter(may_link("n", "lack", "m", "other_lack"))
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = stored(cross.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = verified(second, fetch_sets(df, second.select(F.explode(F.array("a", "b")).alias("c"))))
+    drop_stored(left, first)
+    more = stored(verified(second, fetch_sets(df, second.select(F.explode(F.array("a", "b")).alias("c")))), "links")
+    drop_stored(second)
     return done.unionByName(more)
 
 
