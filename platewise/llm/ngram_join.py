@@ -40,8 +40,10 @@ K = 5
 NUMERATOR, DENOMINATOR = 3, 7
 #: About so many frequent tokens of a head fall in one class.
 CLASS_TOKENS = 12
-#: Counters per bitmap of the documents whose sets are fetched.
+#: Bits of the bitmap of the documents whose sets are fetched.
 FETCH_BITS = 1 << 24
+#: Most bits of the bitmap of repeated keys (32 MB).
+KEY_BITS = 1 << 28
 
 
 # --- sets -----------------------------------------------------------------------------------------------------
@@ -179,16 +181,20 @@ def _batch_sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield shingle_sets(part.column(1))[0]
 
 
-def key_table(df: DataFrame, classes: np.ndarray, limit: int) -> DataFrame:
-    """key, c, n, rank, lack for all keys of all documents."""
-    table = df.sparkSession.sparkContext.broadcast(classes)
+def key_table(df: DataFrame, classes: np.ndarray, limit: int, known: np.ndarray | None = None) -> DataFrame:
+    """key, c, n, rank, lack for all keys of all documents; with a bitmap, for those keys only whose bit is set."""
+    table = df.sparkSession.sparkContext.broadcast((classes, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 grams, bounds = shingle_sets(batch.column(1))
                 c, n = class_hashes(grams, bounds).view(np.int64), np.diff(bounds)
-                keys, owner, lack, rank = index_rows(grams, bounds, table.value, limit)
+                classes, known = table.value
+                keys, owner, lack, rank = index_rows(grams, bounds, classes, limit)
+                if known is not None:
+                    take = in_bitmap(known, keys)
+                    keys, owner, lack = keys[take], owner[take], lack[take]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(c[owner]), pa.array(n[owner].astype(np.int32)), pa.array(rank[owner].astype(np.int32)), pa.array(lack.astype(np.int32))], names=["key", "c", "n", "rank", "lack"])
 
     return df.mapInArrow(run, "key long, c long, n int, rank int, lack int")
@@ -250,7 +256,7 @@ def links(df: DataFrame) -> DataFrame:
     classes, mean = count_classes(df.select("doc_id", "text"), _batch_sets)
     # Frequent: clearly above what chance puts into one counter.
     limit = int(4 * np.log2(1 + mean + 8 * np.sqrt(mean) + 64))
-    keys = stored(_shared(key_table(df, classes, limit)), "keys")
+    keys = stored(shared_keys(df, classes, limit), "keys")
     lead = keys.groupBy("key").agg(F.min(F.struct("rank", "c", "n", "lack")).alias("lead"))
     near = keys.join(lead, "key").filter(F.col("c") != F.col("lead.c")).filter(may_link("n", "lack", "lead.n", "lead.lack"))
     first = stored(near.select(F.col("lead.c").alias("a"), F.col("c").alias("b")).distinct(), "pairs")
@@ -271,11 +277,16 @@ def links(df: DataFrame) -> DataFrame:
     return done.unionByName(more)
 
 
-def _shared(keys: DataFrame) -> DataFrame:
-    """The rows of keys that at least two sets have, one for each set. Most keys belong to one set: minimum and maximum
-    are taken before the shuffle, and only keys where they differ are looked up again."""
-    several = keys.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter(F.col("low") != F.col("high")).select("key")
-    return keys.join(several, "key", "left_semi").distinct()
+def shared_keys(df: DataFrame, classes: np.ndarray, limit: int) -> DataFrame:
+    """The rows of keys that at least two documents have, one for each set.
+
+    Most keys belong to one document. The keys are counted first, alone; then the rows are made again, only where a bitmap
+    of the repeated keys says so, and an exact join removes what the bitmap lets through. A larger corpus makes the
+    bitmap larger, up to ``KEY_BITS``, and beyond that less sharp, never wrong."""
+    several = stored(key_table(df, classes, limit).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "several")
+    bits = min(max(1 << (8 * several.count()).bit_length(), 1 << 20), KEY_BITS)
+    rows = key_table(df, classes, limit, bitmap(several, "key", bits))
+    return rows.join(several, "key", "left_semi").distinct()
 
 
 def near_duplicates(df: DataFrame) -> DataFrame:

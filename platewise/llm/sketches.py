@@ -42,7 +42,7 @@ def count_classes(df: DataFrame, tokens: Callable[[pa.RecordBatch], Iterator[np.
     slice is added up in a task that holds the sums of its slices only."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.uint32)
+        total = np.zeros(COUNTERS, np.uint32)  # sent as 16 bits: a task's larger counts stop there, for all documents alike
         for batch in batches:
             for t in tokens(batch):
                 at, n = np.unique((t & np.uint64(COUNTERS - 1)).astype(np.uint32), return_counts=True)
@@ -51,13 +51,13 @@ def count_classes(df: DataFrame, tokens: Callable[[pa.RecordBatch], Iterator[np.
         used = np.flatnonzero(parts.any(axis=1))
         for i in range(0, len(used), 64):
             some = used[i : i + 64]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[j].tobytes() for j in some], pa.binary())], names=["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([np.minimum(parts[j], 65535).astype(np.uint16).tobytes() for j in some], pa.binary())], names=["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for j, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[j] = sums.get(j, 0) + np.frombuffer(counts, np.uint32).astype(np.uint64)
+                sums[j] = sums.get(j, 0) + np.frombuffer(counts, np.uint16).astype(np.uint64)
         if sums:
             keys = sorted(sums)
             classes = [np.minimum(255, np.round(4 * np.log2(1.0 + sums[j].astype(float)))).astype(np.uint8).tobytes() for j in keys]
