@@ -109,7 +109,10 @@ def rule_counts(df: DataFrame, text: str = "text") -> DataFrame:
         lambda a, x: F.struct(x.alias("at"), (a["n"] + F.least(F.lit(3), x - a["at"])).alias("n")),
         lambda a: a["n"],
     )
-    return step.select(*keep, *done, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    # The counts leave by a generator of one row: a filter on them stays above it, where pushing it down would write
+    # the nested array functions out once for every count that it reads.
+    counts = F.struct(*done, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return step.select(*keep, F.inline(F.array(counts)))
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaim", "n_stop"]
