@@ -17,6 +17,15 @@ from platewise.llm.quality_rules import quality_rules
 from platewise.llm.token_files import read_token_files, write_token_files
 
 
+#: Key of a row within a stage, as ids may repeat or be null.
+ROW = "_row"
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` and a unique key of every row. It is written with them once, so all jobs of a stage see the same keys."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality_rules(docs).filter("kept").select(*docs.columns)
@@ -36,9 +45,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; a document that is taken twice is two rows."""
-    mixed = mix_sources(docs.select("doc_id", "text", "source")).filter("passes > 0").select("doc_id", "passes")
-    return docs.join(mixed, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("_pass")).drop("_pass")
+    """Each row as often as the mix takes it, also where ids repeat or are null; a row that is taken twice is two rows."""
+    rows = with_row_key(docs)
+    mixed = mix_sources(rows.select(ROW, "doc_id", "text", "source"), keep=(ROW,)).filter("passes > 0").select(ROW, "passes")
+    return rows.join(mixed, ROW).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("_pass")).drop("_pass")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

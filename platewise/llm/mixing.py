@@ -26,9 +26,10 @@ TIME_BUCKETS = 4096
 WEIGHTS = (3, 1, 2)
 
 
-def sizes(df: DataFrame, text: str = "text", seed: str = "mix") -> DataFrame:
-    """doc_id, source, size (words), h (place in the source's shuffle)."""
+def sizes(df: DataFrame, text: str = "text", seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns to keep, doc_id, source, size (words), h (place in the source's shuffle)."""
     return df.select(
+        *keep,
         "doc_id",
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -60,16 +61,17 @@ def source_targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: f
     return s.select(key_of(F.col("source")).alias("sk"), "source_size", "target", "place")
 
 
-def mix_sources(df: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, passes (how often the mix holds the document), taken."""
-    docs = stored(sizes(df, text, seed), "mix-sizes").withColumn("sk", key_of(F.col("source"))).withColumn("b", F.substring("h", 1, BUCKET_DIGITS))
+def mix_sources(df: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, passes (how often the mix holds the document), taken of every row, after those
+    columns of its row that are to be kept (such as a key, where doc_id is none)."""
+    docs = stored(sizes(df, text, seed, keep), "mix-sizes").withColumn("sk", key_of(F.col("source"))).withColumn("b", F.substring("h", 1, BUCKET_DIGITS))
     targets = source_targets(docs, weights, share, most)
     prefix = docs.groupBy("sk", "b").agg(F.sum("size").alias("in_b"))
     prefix = prefix.withColumn("before", F.sum("in_b").over(Window.partitionBy("sk").orderBy("b")) - F.col("in_b")).drop("in_b")
     inside = Window.partitionBy("sk", "b").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     queued = docs.join(prefix, ["sk", "b"]).withColumn("cum", F.col("before") + F.sum("size").over(inside)).join(targets, "sk")
     finish = lambda n: F.coalesce((F.col("cum") + n * F.col("source_size")) / F.nullif("target", F.lit(0.0)), F.lit(0.0))
-    queued = stored(queued.select("doc_id", "source", "size", "source_size", "target", "place", "h", *[finish(n).alias(f"f{n}") for n in range(most)]), "mix-queue")
+    queued = stored(queued.select(*keep, "doc_id", "source", "size", "source_size", "target", "place", "h", *[finish(n).alias(f"f{n}") for n in range(most)]), "mix-queue")
 
     # How much of the budget each bucket of finish times uses, and the bucket in which it ends: three single rows.
     # Buckets are even up to time 2 and grow beyond it, where only documents larger than their source's target are.
@@ -95,7 +97,7 @@ def mix_sources(df: DataFrame, text: str = "text", weights: tuple[int, ...] = WE
         return (whole | (here <= there)).cast("int")
 
     times = sum((taken(n) for n in range(most)), F.lit(0))
-    return queued.select("doc_id", "source", "size", "source_size", "target", times.alias("passes"), (times * F.col("size")).cast("long").alias("taken"))
+    return queued.select(*keep, "doc_id", "source", "size", "source_size", "target", times.alias("passes"), (times * F.col("size")).cast("long").alias("taken"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from oracle import connect, same
 from platewise.llm import registry
+from platewise.llm.mixing import mix_sources
 
 DATA = "/root/testdata/sf0.001"
 
@@ -42,3 +46,21 @@ def test_pipeline_by_stages(spark):
     want = con.execute(f"SELECT doc_id, taken / size AS n FROM ({registry.ORACLES['op4_mixing']}) WHERE taken > 0").df()
     assert sorted(mixed) == sorted(i for i, n in zip(want.doc_id, want.n, strict=True) for _ in range(int(n)))
     assert corpus_pipeline.run(spark, DATA).count() == len(mixed)
+
+
+#: Of one source, which is mixed to 1.5 times its size; repeated ids, repeated rows and null ids.
+ROWS = [(i, f"{k} {word} of these words") for k, (i, word) in enumerate([(None, "one"), (None, "two"), (7, "three"), (7, "four"), (7, "five"), (8, "six")])] + [(9, "a repeated row")] * 2
+
+
+def keyed(spark, rows):
+    return spark.createDataFrame([(i, t, "a") for i, t in rows], "doc_id long, text string, source string").repartition(3)
+
+
+def test_mixing_stage_takes_rows_and_not_ids(spark):
+    docs = keyed(spark, ROWS)
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.mixing_stage(spark, docs, DATA).collect()]
+    want = {r.k: r.n for r in mix_sources(docs.withColumn("k", F.concat_ws("|", "doc_id", "text")), keep=("k",)).groupBy("k").agg(F.sum("passes").alias("n")).collect()}
+    assert Counter("|".join(str(x) for x in r if x is not None) for r in out) == Counter(want)
+    assert set(out) == set(ROWS) and all(n <= 2 * ROWS.count(r) for r, n in Counter(out).items())
+    words = lambda rows: sum(len(t.split()) for _, t in rows)
+    assert 1.5 * words(ROWS) - 5 <= words(out) <= 1.5 * words(ROWS)
