@@ -1,6 +1,6 @@
 """A corpus pipeline of the training-data operators: each stage is written as Parquet and read by the next.
 
-Rules first, then one document of each near-duplicate group, then no document that holds a benchmark item; what is left
+Rules first, then one document (a row) of each near-duplicate group, then no document that holds a benchmark item; what is left
 is mixed to the sources' weights and written as token ids. All stages but the last return the columns of documents.
 """
 
@@ -22,8 +22,15 @@ ROW = "_row"
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
-    """``docs`` and a unique key of every row. It is written with them once, so all jobs of a stage see the same keys."""
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    """``docs`` and a unique key of every row, the same in all jobs: the place in its file, if ``docs`` is what one path of
+    Parquet files holds (as between stages); else a number that is written with the rows once."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().location().rootPaths().size() != 1:
+        return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    files = sorted(r[0] for r in placed.select("_file").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "_number long, _file string")
+    return placed.join(F.broadcast(numbers), "_file").select(*docs.columns, (F.shiftleft("_number", 40) + F.col("_at")).alias(ROW))
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,16 +39,20 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document with the smallest id (rows without an id stay)."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    others = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of near duplicates one row: that of the smallest id; if all ids are null, the first. Every row is decided
+    by its own text, so the other rows of a repeated id stay."""
+    rows = with_row_key(docs)
+    found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)
+    first = found.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select(f"first.{ROW}"), ROW, "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
-    found = contaminated(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Rows in which no benchmark item is found, whatever their ids."""
+    rows = with_row_key(docs)
+    found = contaminated(rows.select(F.col(ROW).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(found.select(F.col("doc_id").alias(ROW)).distinct(), ROW, "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,3 +64,33 @@ def test_mixing_stage_takes_rows_and_not_ids(spark):
     assert set(out) == set(ROWS) and all(n <= 2 * ROWS.count(r) for r, n in Counter(out).items())
     words = lambda rows: sum(len(t.split()) for _, t in rows)
     assert 1.5 * words(ROWS) - 5 <= words(out) <= 1.5 * words(ROWS)
+
+
+def test_near_duplicate_stage_decides_rows(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(20))
+    rows = [(5, text("a"))] * 3 + [(None, text("b"))] * 3 + [(None, text("c")), (4, text("c")), (2, text("d")), (6, text("d")), (6, text("e")), (None, None), (None, "")]
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, keyed(spark, rows), DATA).collect()]
+    assert Counter(out) == Counter([(5, text("a")), (None, text("b")), (4, text("c")), (2, text("d")), (6, text("e")), (None, None), (None, "")])
+
+
+def test_decontamination_stage_decides_rows(spark):
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").first().text
+    rows = [(None, f"before {item} after"), (None, "a clean text of five words"), (3, item), (3, "the clean row of a bad id"), (4, "a clean text"), (4, "a clean text"), (None, None)]
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.decontamination_stage(spark, keyed(spark, rows), DATA).collect()]
+    assert Counter(out) == Counter(r for r in rows if not (r[1] and item in r[1]))
+
+
+@pytest.mark.parametrize("written", [False, True])
+def test_row_keys_are_unique_and_stay(spark, tmp_path, written):
+    docs = keyed(spark, [*ROWS, (None, None)])
+    if written:
+        docs.write.parquet(f"file://{tmp_path}/docs")
+        docs = spark.read.parquet(f"file://{tmp_path}/docs")
+    rows = corpus_pipeline.with_row_key(docs)
+    once = sorted(map(str, rows.collect()))
+    assert len({r[corpus_pipeline.ROW] for r in rows.collect()}) == len(once) == len(ROWS) + 1
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        assert sorted(map(str, corpus_pipeline.with_row_key(docs).collect() if written else rows.collect())) == once
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
