@@ -29,9 +29,11 @@ def effect_sizes(df: DataFrame) -> DataFrame:
     })
 
 
-def _centred(df: DataFrame, groups: list[str], columns: list[str]) -> DataFrame:
-    """Columns less their group's means, which stay as ``m_<column>``."""
-    means = df.groupBy(*groups).agg(*[F.avg(c).alias(f"m_{c}") for c in columns])
+def _centred(df: DataFrame, groups: list[str], columns: list[str], means: DataFrame | None = None) -> DataFrame:
+    """Columns less their group's means, which stay as ``m_<column>``. Other means near them serve as well: sums are exact about
+    any centre, and a bootstrap need not draw twice."""
+    if means is None:
+        means = df.groupBy(*groups).agg(*[F.avg(c).alias(f"m_{c}") for c in columns])
     return df.join(means, groups).withColumns({c: F.col(c) - F.col(f"m_{c}") for c in columns})
 
 
@@ -45,11 +47,11 @@ def _cross(a: str, b: str) -> Column:
     return F.col(f"s_{a}_{b}") - F.col(f"s_{a}") * F.col(f"s_{b}") / F.col("w")
 
 
-def nested_ols_numeric(df: DataFrame, groups: list[str], y: str = "y", x1: str = "x1", x2: str = "x2", weight: str | None = None) -> DataFrame:
+def nested_ols_numeric(df: DataFrame, groups: list[str], y: str = "y", x1: str = "x1", x2: str = "x2", weight: str | None = None, means: DataFrame | None = None) -> DataFrame:
     """y on x1, and y on x1 and x2, for each group. Where x2 is a linear function of x1, the full model is the one of least
     norm, as a pseudo-inverse gives."""
     rows = df.select(*groups, F.col(y).alias("y"), F.col(x1).alias("a"), F.col(x2).alias("b"), (F.col(weight) if weight else F.lit(1.0)).alias("_w"))
-    s = _centred(rows, [g for g in groups if g != "boot_idx"], ["y", "a", "b"]).groupBy(*groups).agg(*_sums(["y", "a", "b"], F.col("_w")), *[F.first(f"m_{c}").alias(f"m_{c}") for c in "yab"])
+    s = _centred(rows, [g for g in groups if g != "boot_idx"], ["y", "a", "b"], means).groupBy(*groups).agg(*_sums(["y", "a", "b"], F.col("_w")), *[F.first(f"m_{c}").alias(f"m_{c}") for c in "yab"])
     s = s.select(*groups, "w", *[(F.col(f"m_{c}") + F.col(f"s_{c}") / F.col("w")).alias(f"m_{c}") for c in "yab"], *[_cross(p, q).alias(p + q) for p, q in ("yy", "ya", "yb", "aa", "ab", "bb")])
     yy, ya, yb, aa, ab, bb = (F.col(c) for c in ("yy", "ya", "yb", "aa", "ab", "bb"))
     d = aa * bb - ab * ab
@@ -66,10 +68,10 @@ def nested_ols_numeric(df: DataFrame, groups: list[str], y: str = "y", x1: str =
     return effect_sizes(out)
 
 
-def nested_ols_categorical(df: DataFrame, groups: list[str], y: str = "y", x1: str = "x1", x2: str = "x2", weight: str | None = None) -> DataFrame:
+def nested_ols_categorical(df: DataFrame, groups: list[str], y: str = "y", x1: str = "x1", x2: str = "x2", weight: str | None = None, means: DataFrame | None = None) -> DataFrame:
     """The same with a level of x2 as intercept: sums within levels give the full model; beta_x2 is null."""
     rows = df.select(*groups, F.col(y).alias("y"), F.col(x1).alias("a"), F.col(x2).alias("level"), (F.col(weight) if weight else F.lit(1.0)).alias("_w"))
-    by = _centred(rows, [g for g in groups if g != "boot_idx"], ["y", "a"]).groupBy(*groups, "level").agg(*_sums(["y", "a"], F.col("_w")))
+    by = _centred(rows, [g for g in groups if g != "boot_idx"], ["y", "a"], means).groupBy(*groups, "level").agg(*_sums(["y", "a"], F.col("_w")))
     within = [F.sum(_cross(p, q)).alias(f"in_{p}{q}") for p, q in ("yy", "ya", "aa")]
     total = [F.sum(c).alias(c) for c in ("w", "s_y", "s_a", "s_y_y", "s_y_a", "s_a_a")]
     s = by.groupBy(*groups).agg(*within, *total)
@@ -106,18 +108,23 @@ def bootstrap_weights(df: DataFrame, groups: list[str], keys: list[str], n_boot:
         return each.filter(F.col("_place") <= size).drop("_place", "idx").withColumns({"weight": F.lit(1.0), "n_boot_rows": size}).withColumnRenamed("n", "n_group_rows")
     draws = rows.filter(F.col("idx") < size).select(*groups, "n", "idx", boots)
     target = F.conv(F.substring(draw_order(seed, *groups, "boot_idx", "idx"), 1, 12), 16, 10).cast("long") % F.col("n")
-    counts = draws.groupBy(*groups, "boot_idx", target.alias("idx")).agg(F.count("*").cast("double").alias("weight"))
+    # Dealt once, as the join below needs them.
+    drawn = draws.select(*groups, "boot_idx", target.alias("idx")).repartition(*groups, "idx")
+    counts = drawn.groupBy(*groups, "boot_idx", "idx").agg(F.count("*").cast("double").alias("weight"))
     return rows.withColumn("n_boot_rows", size).join(counts, [*groups, "idx"]).drop("idx").withColumnRenamed("n", "n_group_rows")
 
 
 def bootstrap_nested(df: DataFrame, groups: list[str], keys: list[str], y: str, x1: str, x2: str, n_boot: int = 300, fraction: float | None = 0.5, categorical: bool = False, least: int = 25, replace: bool = True, seed: str = "0", most: int | None = None) -> DataFrame:
     """One row for each group of at least ``least`` rows and each resample; ``most`` caps a group's rows (a draw)."""
     rows = df.dropna(subset=[*groups, y, x1, x2])
-    weights = numbered(rows, groups, keys, f"{seed}|cap").filter(F.col("idx") < most).drop("idx", "n") if most else rows
-    weights = bootstrap_weights(weights, groups, keys, n_boot, fraction, replace, seed).filter(F.col("n_group_rows") >= least)
-    fit = nested_ols_categorical if categorical else nested_ols_numeric
-    out = fit(weights, [*groups, "boot_idx"], y, x1, x2, "weight")
-    sizes = weights.groupBy(*groups).agg(F.max("n_boot_rows").alias("n_boot_rows"), F.max("n_group_rows").alias("n_group_rows"))
+    if most:
+        rows = numbered(rows, groups, keys, f"{seed}|cap").filter(F.col("idx") < most).drop("idx", "n")
+    weights = bootstrap_weights(rows, groups, keys, n_boot, fraction, replace, seed).filter(F.col("n_group_rows") >= least)
+    fit, centres = (nested_ols_categorical, {"m_y": y, "m_a": x1}) if categorical else (nested_ols_numeric, {"m_y": y, "m_a": x1, "m_b": x2})
+    by_group = rows.groupBy(*groups)
+    out = fit(weights, [*groups, "boot_idx"], y, x1, x2, "weight", by_group.agg(*[F.avg(c).alias(m) for m, c in centres.items()]))
+    n = F.count("*")
+    sizes = by_group.agg((F.greatest(F.lit(2), F.bround(n * F.lit(fraction))).cast("long") if fraction else n).alias("n_boot_rows"), n.alias("n_group_rows"))
     return out.drop("n_rows").join(sizes, groups)
 
 

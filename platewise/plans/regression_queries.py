@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from platewise.operators import regression as G
 from platewise.plans.registry import query, table
 
+#: Resamples of every bootstrap.
+N_BOOT = 300
 GROUPS = ["l_returnflag", "l_linestatus"]
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 KEY_SQL = "concat_ws('|', '0', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
@@ -77,11 +79,11 @@ def _boot_moments(n_boot: int) -> str:
   ) GROUP BY 1, 2, 3, 4, 5"""
 
 
-def _boot(spark, d, n_boot=4):
-    return G.bootstrap_nested(table(spark, d, "lineitem"), GROUPS, KEYS, "l_extendedprice", "l_quantity", "l_discount", n_boot)
+def _boot(spark, d):
+    return G.bootstrap_nested(table(spark, d, "lineitem"), GROUPS, KEYS, "l_extendedprice", "l_quantity", "l_discount", N_BOOT)
 
 
-@query("bootstrap_nested", f"SELECT *, (SELECT 1) AS one FROM ({_numeric_sql(_boot_moments(4), 'l_returnflag, l_linestatus, boot_idx, size AS n_boot_rows, n AS n_group_rows')})")
+@query("bootstrap_nested", f"SELECT *, (SELECT 1) AS one FROM ({_numeric_sql(_boot_moments(N_BOOT), 'l_returnflag, l_linestatus, boot_idx, size AS n_boot_rows, n AS n_group_rows')})")
 def bootstrap_nested(spark, d):
     return _rounded(_boot(spark, d), [*GROUPS, "boot_idx", "n_boot_rows", "n_group_rows"]).withColumn("one", F.lit(1))
 
@@ -93,11 +95,11 @@ def standardize_in_group(spark, d):
     return rows.groupBy(*GROUPS).agg(F.round(F.sum(F.col("l_quantity") ** 2), 4).alias("zz"), F.round(F.max("l_quantity"), 6).alias("top"))
 
 
-@query("bootstrap_summary", f"""WITH b AS (SELECT l_returnflag, l_linestatus, ya * ya / (aa * yy) AS r, {_FULL} AS f FROM ({_boot_moments(8)}))
+@query("bootstrap_summary", f"""WITH b AS (SELECT l_returnflag, l_linestatus, ya * ya / (aa * yy) AS r, {_FULL} AS f FROM ({_boot_moments(N_BOOT)}))
   SELECT l_returnflag, l_linestatus, round(avg(r), 8) AS mean, round(quantile_cont(r, 0.025), 8) AS low, round(quantile_cont(r, 0.975), 8) AS high,
     round(avg((f - r) / (1 - r)), 8) AS partial FROM b GROUP BY 1, 2""")
 def bootstrap_summary(spark, d):
-    s = G.bootstrap_summary(_boot(spark, d, 8), GROUPS)
+    s = G.bootstrap_summary(_boot(spark, d), GROUPS)
     return s.select(*GROUPS, F.round("r2_restricted_mean", 8).alias("mean"), F.round("r2_restricted_low", 8).alias("low"), F.round("r2_restricted_high", 8).alias("high"), F.round("partial_r2_x2_mean", 8).alias("partial"))
 
 
@@ -108,21 +110,25 @@ def confound_bands(spark, d):
     return rows.groupBy("band").agg(F.count("*").alias("n"))
 
 
-def _suite_sql(name: str, where: str) -> str:
-    moments = _MOMENTS.replace("FROM lineitem", f"FROM lineitem WHERE {where}").replace("l_linestatus, regr", "l_linestatus, count(*) AS n, regr", 1) + " HAVING count(*) >= 25"
-    return _numeric_sql(moments, f"'{name}' AS analysis, l_returnflag, l_linestatus")
+#: analysis: (rows, groups, x2, whether x2 is a category). Two halves by a number, all rows by a flag, and by a category in each
+#: group and pooled over the line status.
+SUITE = {
+    "small": ("l_quantity <= 25", GROUPS, "l_discount", False),
+    "large": ("l_quantity > 25", GROUPS, "l_discount", False),
+    "flag": ("true", GROUPS, "cast(l_tax > 0.04 AS double)", False),
+    "category": ("true", GROUPS, "l_linenumber", True),
+    "pooled": ("true", GROUPS[:1], "l_linenumber", True),
+}
 
 
-SUITE = {"small": "l_quantity <= 25", "large": "l_quantity > 25", "all": "l_quantity IS NOT NULL"}
-
-
-@query("regression_suite", " UNION ALL ".join(_suite_sql(k, v) for k, v in SUITE.items()))
+@query("regression_suite")
 def regression_suite(spark, d):
+    """Five bootstrapped analyses, a row for each group and resample; without SQL, tested by brute force."""
     rows, out = table(spark, d, "lineitem"), None
-    for name, where in SUITE.items():
-        fit = G.nested_ols_numeric(rows.filter(where), GROUPS, "l_extendedprice", "l_quantity", "l_discount").filter("n_rows >= 25")
-        part = _rounded(fit.withColumn("analysis", F.lit(name)), ["analysis", *GROUPS])
-        out = part if out is None else out.unionByName(part)
+    for name, (where, groups, x2, categorical) in SUITE.items():
+        boot = G.bootstrap_nested(rows.filter(where).withColumn("x2", F.expr(x2)), groups, KEYS, "l_extendedprice", "l_quantity", "x2", N_BOOT, categorical=categorical)
+        part = _rounded(boot.withColumn("analysis", F.lit(name)), ["analysis", *groups, "boot_idx", "n_boot_rows", "n_group_rows"])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 

@@ -151,3 +151,46 @@ def test_failed_batches_are_marked(spark):
     df = spark.range(4).coalesce(1)
     assert {r.status for r in batch_predict(df, lambda: lambda pdf: pdf["id"] * 2.0).collect()} == {"ok"}
     assert all(r.status.startswith("error") for r in batch_predict(df, lambda: lambda pdf: [1.0]).collect())
+
+
+def test_regression_suite_by_brute_force(spark, tmp_path):
+    """Five analyses of 300 resamples each, drawn and fitted one by one."""
+    import hashlib
+
+    import numpy as np
+
+    from platewise.plans import regression_queries as R
+
+    rng = np.random.default_rng(5)
+    names = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+    rows = [(i, i % 5, i % 7, 3, float(rng.integers(100, 9000)) + 0.5, float(rng.integers(1, 51)), int(rng.integers(0, 11)) / 100, int(rng.integers(0, 9)) / 100, "A" if i < 130 else "N", "F" if i < 205 else "O") for i in range(215)]
+    spark.createDataFrame(rows, names).write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    got = {(r.analysis, r.l_returnflag, r.l_linestatus, r.boot_idx): r for r in R.regression_suite(spark, f"file://{tmp_path}").collect()}
+    md5 = lambda *parts: hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+    r2 = lambda x, y: 1 - ((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+    dummies = lambda v: (v[:, None] == np.unique(v)[None, :]).astype(float)
+    suite = {"small": (lambda r: r[5] <= 25, 2, lambda r: r[6]), "large": (lambda r: r[5] > 25, 2, lambda r: r[6]), "flag": (lambda r: True, 2, lambda r: float(r[7] > 0.04)), "category": (lambda r: True, 2, lambda r: r[1]), "pooled": (lambda r: True, 1, lambda r: r[1])}
+    want = set()
+    for name, (where, k, x2) in suite.items():
+        for group in sorted({r[8 : 8 + k] for r in rows}):
+            own = sorted((r for r in rows if where(r) and r[8 : 8 + k] == group), key=lambda r: md5(0, *r[:5]))
+            if len(own) < 25:
+                continue
+            size = max(2, round(len(own) * 0.5))
+            for boot in range(300):
+                drawn = [own[int(md5(0, *group, boot, i)[:12], 16) % len(own)] for i in range(size)]
+                y, a, b = (np.array(v, float) for v in ([r[4] for r in drawn], [r[5] for r in drawn], [x2(r) for r in drawn]))
+                one = np.ones_like(a)
+                full = np.column_stack([a, dummies(b)]) if name in ("category", "pooled") else np.column_stack([one, a, b])
+                key = (name, *group, *[None] * (2 - k), boot)
+                want.add(key)
+                assert abs(got[key].r2_restricted - r2(np.column_stack([one, a]), y)) < 1e-6 and abs(got[key].r2_full - r2(full, y)) < 1e-6
+    assert set(got) == want
+    assert all(got[k].n_boot_rows == max(2, round(got[k].n_group_rows * 0.5)) for k in want)
+
+
+def test_registered_bootstrap_has_300_resamples(spark):
+    from platewise.plans.catalog import QUERIES
+
+    counts = QUERIES["bootstrap_nested"](spark, "/root/testdata/sf0.001").groupBy("l_returnflag", "l_linestatus").count().collect()
+    assert counts and {r["count"] for r in counts} == {300}
