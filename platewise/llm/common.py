@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words of the contracts: runs of anything but ASCII white space.
@@ -31,15 +32,32 @@ _GRAM_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 CHUNK_BYTES = 1 << 20
 
 
+#: Schemes for which Spark and pyarrow have different names.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for one run below ``spark.checkpoint.dir``; where that is unset, below a temporary one."""
+    """A new folder for one run below ``spark.checkpoint.dir``. Where that is unset, a local master gets a temporary folder, and a
+    cluster an error, as its executors share no local folder."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.platewise.scratch", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="platewise-")
         spark.conf.set("spark.platewise.scratch", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """pyarrow's file system for a path as Spark writes it, and the place in it."""
+    scheme, colon, rest = path.partition(":")
+    if scheme == "dbfs":
+        return pafs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     path = shared_folder(df.sparkSession, name)

@@ -6,14 +6,19 @@ order of finish times, and the mix is what fits in the total budget. Every sourc
 so truncating the order at the budget gives all sources their targets, to within about a document.
 
 Sums run over hash buckets: bucket totals first (a small table), then a window inside each bucket, so a source
-with a third of all rows is spread over ``BUCKETS`` groups; the global order is cut the same way, and only the
-bucket in which the budget ends is sorted. Null texts have size 0 and are never taken; null sources form the
-last source; repeated rows are separate documents, in order of id and size.
+with a third of all rows is spread over 4096 groups. The global order is a range sort of all passes (thin rows, without
+texts) into stored partitions of about ``PART_ROWS``; the partitions' totals tell in which one the budget ends, and running
+sums are taken in that one alone. Two windows run in one task: over the table of sources (a row each) and over that of the
+sorted partitions (a row each, one in ``PART_ROWS`` of the passes).
+
+Null texts have size 0 and are never taken; null sources form the last source; repeated rows are separate documents, in order
+of id and size; rows with a null id are shuffled by their text. Columns of whatever name may be kept but those the result
+itself has; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,8 +26,8 @@ from platewise.llm.common import WORD, stored
 
 #: Hex digits of the shuffling hash that name a bucket.
 BUCKET_DIGITS = 3
-#: Buckets of finish times for each unit of time.
-TIME_BUCKETS = 4096
+#: Passes in a partition of the sorted queue, about.
+PART_ROWS = 2_000_000
 WEIGHTS = (3, 1, 2)
 
 
@@ -33,7 +38,7 @@ def sizes(df: DataFrame, text: str = "text", seed: str = "mix", keep: tuple[str,
         "doc_id",
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"),
+        F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null|"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))))).alias("h"),
     )
 
 
@@ -61,9 +66,12 @@ def source_targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: f
     return s.select(key_of(F.col("source")).alias("sk"), "source_size", "target", "place")
 
 
-def mix_sources(df: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, passes (how often the mix holds the document), taken of every row, after those
-    columns of its row that are to be kept (such as a key, where doc_id is none)."""
+#: The order of the queue: by virtual finish time, ties by source, pass and place in the source's shuffle.
+ORDER = ("f", "place", "pass", "h", "doc_id", "size")
+
+
+def finish_times(df: DataFrame, text: str, weights: tuple[int, ...], share: float, most: int, seed: str, keep: tuple[str, ...]) -> DataFrame:
+    """Every row once, with the finish time of each of its passes (f0, f1 ...); stored."""
     docs = stored(sizes(df, text, seed, keep), "mix-sizes").withColumn("sk", key_of(F.col("source"))).withColumn("b", F.substring("h", 1, BUCKET_DIGITS))
     targets = source_targets(docs, weights, share, most)
     prefix = docs.groupBy("sk", "b").agg(F.sum("size").alias("in_b"))
@@ -71,46 +79,67 @@ def mix_sources(df: DataFrame, text: str = "text", weights: tuple[int, ...] = WE
     inside = Window.partitionBy("sk", "b").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     queued = docs.join(prefix, ["sk", "b"]).withColumn("cum", F.col("before") + F.sum("size").over(inside)).join(targets, "sk")
     finish = lambda n: F.coalesce((F.col("cum") + n * F.col("source_size")) / F.nullif("target", F.lit(0.0)), F.lit(0.0))
-    queued = stored(queued.select(*keep, "doc_id", "source", "size", "source_size", "target", "place", "h", *[finish(n).alias(f"f{n}") for n in range(most)]), "mix-queue")
-
-    # How much of the budget each bucket of finish times uses, and the bucket in which it ends: three single rows.
-    # Buckets are even up to time 2 and grow beyond it, where only documents larger than their source's target are.
-    bucket = lambda f: F.when(f < 2, F.floor(f * TIME_BUCKETS)).otherwise(2 * TIME_BUCKETS + F.floor(F.log2(f / 2) * TIME_BUCKETS))
-    passes = queued.select("*", F.inline(F.array(*[F.struct(F.lit(n).alias("pass"), F.col(f"f{n}").alias("f")) for n in range(most)])))
-    budget = (queued.agg(F.sum("size")).first()[0] or 0) * share
-    used = passes.groupBy(bucket(F.col("f")).alias("tb")).agg(F.sum("size").alias("in_tb")).withColumn("upto", F.sum("in_tb").over(Window.orderBy("tb")))
-    full, spent, after = used.agg(
-        F.max(F.when(F.col("upto") <= budget, F.col("tb"))), F.max(F.when(F.col("upto") <= budget, F.col("upto"))), F.min(F.when(F.col("upto") > budget, F.col("tb")))
+    return stored(queued.select(*keep, "doc_id", "source", "size", "source_size", "target", "place", "h", *[finish(n).alias(f"f{n}") for n in range(most)]), "mix-times")
+
+
+def last_taken(times: DataFrame, most: int, budget: float) -> tuple[DataFrame, Row | None]:
+    """The sorted queue of all passes, with the partition (``part``) of each, and its last row that fits the budget."""
+    passes = times.select("place", "h", "doc_id", "size", F.inline(F.array(*[F.struct(F.col(f"f{n}").alias("f"), F.lit(n).alias("pass")) for n in range(most)])))
+    parts = max(int(times.sparkSession.conf.get("spark.sql.shuffle.partitions")), times.count() * most // PART_ROWS)
+    queue = stored(passes.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER).withColumn("part", F.spark_partition_id()), "mix-queue")
+    totals = queue.groupBy("part").agg(F.sum("size").alias("in_part")).withColumn("upto", F.sum("in_part").over(Window.orderBy("part")))
+    spent, whole, after = totals.agg(
+        F.max(F.when(F.col("upto") <= budget, F.col("upto"))), F.max(F.when(F.col("upto") <= budget, F.col("part"))), F.min(F.when(F.col("upto") > budget, F.col("part")))
     ).first()
-    full, spent, after = -1 if full is None else full, spent or 0, -1 if after is None else after
-    order = Window.orderBy("f", "place", "pass", "h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    last = passes.filter(bucket(F.col("f")) == after).withColumn("upto", F.sum("size").over(order) + spent)
-    edge = last.filter(F.col("upto") <= budget).orderBy(F.desc("upto"), F.desc("f"), F.desc("place"), F.desc("pass"), F.desc("h"), F.desc_nulls_last("doc_id")).first()
+    up = [F.desc_nulls_last(c) for c in ORDER]
+    if after is not None:
+        running = F.sum("size").over(Window.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)) + F.lit(spent or 0)
+        edge = queue.filter(F.col("part") == after).withColumn("upto", running).filter(F.col("upto") <= budget).orderBy(*up).first()
+        if edge is not None or whole is None:
+            return queue, edge
+    return queue, queue.filter(F.col("part") == whole).orderBy(*up).first() if whole is not None else None
+
+
+def up_to(edge: Row | None, f: Column, number: Column) -> Column:
+    """Whether a pass stands in the queue up to the last one that fits."""
+    if edge is None:
+        return F.lit(False)
+    here = F.struct(f.alias("f"), "place", number.alias("pass"), "h", "doc_id", "size")
+    kinds = {"f": "double", "place": "int", "pass": "int", "h": "string", "doc_id": "long", "size": "long"}
+    return here <= F.struct(*[F.lit(edge[c]).cast(kinds[c]).alias(c) for c in ORDER])
+
+
+def mix_sources(df: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, passes (how often the mix holds the document), taken of every row, and the
+    finish time of its first pass (``finish``), after those columns of its row that are to be kept (such as a key, where doc_id is
+    none)."""
+    times = finish_times(df.withColumn("doc_id", F.col("doc_id").cast("long")), text, weights, share, most, seed, keep)
+    budget = (times.agg(F.sum("size")).first()[0] or 0) * share
+    _, edge = last_taken(times, most, budget)
+    passes = sum((up_to(edge, F.col(f"f{n}"), F.lit(n)).cast("int") for n in range(most)), F.lit(0))
+    return times.select(*keep, "doc_id", "source", "size", "source_size", "target", passes.alias("passes"), (passes * F.col("size")).cast("long").alias("taken"), F.col("f0").alias("finish"))
 
-    def taken(n: int) -> Column:
-        whole = bucket(F.col(f"f{n}")) <= full
-        if edge is None:
-            return whole.cast("int")
-        # Up to the last document that fits, in the order of the queue.
-        here = F.struct(F.col(f"f{n}").alias("f"), "place", F.lit(n).alias("pass"), "h", "doc_id", "size")
-        there = F.struct(*[F.lit(edge[c]).cast(t).alias(c) for c, t in (("f", "double"), ("place", "int"), ("pass", "int"), ("h", "string"), ("doc_id", df.schema["doc_id"].dataType), ("size", "long"))])
-        return (whole | (here <= there)).cast("int")
 
-    times = sum((taken(n) for n in range(most)), F.lit(0))
-    return queued.select(*keep, "doc_id", "source", "size", "source_size", "target", times.alias("passes"), (times * F.col("size")).cast("long").alias("taken"))
+def mixed_queue(df: DataFrame, key: str, text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: str = "mix") -> DataFrame:
+    """The mix itself: ``key`` (unique in ``df``), and the columns of ``ORDER``, of every pass up to the total budget, a row each."""
+    times = finish_times(df.withColumn("doc_id", F.col("doc_id").cast("long")), text, weights, share, most, seed, (key,))
+    budget = (times.agg(F.sum("size")).first()[0] or 0) * share
+    _, edge = last_taken(times, most, budget)
+    each = F.array(*[F.struct(F.col(f"f{n}").alias("f"), F.lit(n).alias("pass")) for n in range(most)])
+    return times.select(key, "place", "h", "doc_id", "size", F.inline(each)).filter(up_to(edge, F.col("f"), F.col("pass")))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix takes of every document."""
+    """What the mix takes of every document, in the order of the queue."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(docs).orderBy("finish", "doc_id").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mix_sql(source: str = "documents") -> str:
     """DuckDB SQL of the same mix over ``source``."""
     return rf"""
 WITH d AS (
-  SELECT doc_id, source, md5('mix|' || coalesce(doc_id::VARCHAR, '')) AS h,
+  SELECT doc_id, source, md5('mix|' || coalesce(doc_id::VARCHAR, 'null|' || md5(coalesce(text, '')))) AS h,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
   FROM {source}
 ), s0 AS (

@@ -12,24 +12,25 @@ documents, and a footer, so any block or document can be reached without decodin
 
 Tasks write to the cluster's shared folder, each attempt under a name of its own; the stored manifest lists the
 files of the attempts that counted. Null texts count as empty (one end id); null ids sort first; repeated rows
-stay, in order of id and text hash. A task holds one piece of texts and one group of blocks at a time.
+stay, in order of id and text hash; other columns, of whatever name, are not read; an empty table gives no files and no
+rows. A task holds one piece of texts and one group of blocks at a time.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from platewise.llm.common import shared_folder, slices, span_hashes, stored, word_spans
+from platewise.llm.common import file_system, mix, shared_folder, slices, span_hashes, stored, string_buffers, word_spans
 
 MAGIC = b"PFOR1\0\0\0"
 BLOCK = 1024
@@ -98,14 +99,18 @@ _PUNCTUATION[list(b".,!?")] = True
 class WordEncoder:
     """Ids of texts by way of their words: the vocabulary drops white space and case and never joins what white space
     separates, so each distinct word is encoded once and remembered under a 64-bit hash (at most ``most`` words). A
-    run of ``.,!?`` that ends a word after a letter is a piece by itself, as the tokenizer cuts there too."""
+    run of ``.,!?`` that ends a word after a letter is a piece by itself, as the tokenizer cuts there too. The string of a
+    special token, exactly as the vocabulary spells it, is that token wherever it stands, as with the tokenizer's defaults."""
 
     def __init__(self, vocabulary: str, most: int = 1_500_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        # Pieces are lower-cased before they are encoded, so special tokens are found before that, and not here.
         self.tokenizer.encode_special_tokens = True
+        self.pattern = re.compile(b"|".join(re.escape(t.encode()) for t in sorted(self.special, key=len, reverse=True)) or rb"(?!)")
         self.most = most
         self.reset()
 
@@ -114,6 +119,10 @@ class WordEncoder:
         slots = 1 << (2 * self.most - 1).bit_length()
         self.keys, self.place = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
         self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        if self.special:
+            texts = pa.array(list(self.special))
+            keys = pieces_of(texts, self.pattern)[1]
+            self._keep(keys, np.array(list(self.special.values()), np.uint32), np.ones(len(keys), np.int64))
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their numbers for each word, encoded many at a time between spaces and told apart by offsets."""
@@ -127,8 +136,7 @@ class WordEncoder:
             counts.append(np.bincount(owner, minlength=len(group)))
         return np.concatenate(ids), np.concatenate(counts)
 
-    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
-        ids, counts = self._encode(words)
+    def _keep(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         value = np.arange(len(self.starts) - 1, len(self.starts) - 1 + len(keys), dtype=np.int32)
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts)])
         self.flat = np.concatenate([self.flat, ids])
@@ -155,16 +163,16 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id after each text, and the number of each text's ids."""
-        data, h, s, e, bounds = pieces_of(texts)
+        data, h, s, e, bounds = pieces_of(texts, self.pattern)
         place, known = self._find(h)
         if not known.all():
             if len(self.starts) > self.most:
                 self.reset()
-                known[:] = False
+                place, known = self._find(h)
             missing = np.flatnonzero(~known)
             keys, first = np.unique(h[missing], return_index=True)
             raw = data.tobytes()
-            self._learn(keys, [raw[s[i] : e[i]] for i in missing[first]])
+            self._keep(keys, *self._encode([raw[s[i] : e[i]] for i in missing[first]]))
             place, known = self._find(h)
         starts, lengths = self.starts[place], self.starts[place + 1] - self.starts[place]
         ends = np.cumsum(lengths)
@@ -175,11 +183,20 @@ class WordEncoder:
         return out, counts + 1
 
 
-def pieces_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes; hash, start and end of each piece of a word; and each text's bounds in the pieces."""
-    data, _, s, e, bounds = word_spans(texts)
+def pieces_of(texts: pa.Array, special: re.Pattern[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes; hash, start and end of each piece of a word; and each text's bounds in the pieces. What ``special``
+    matches inside a text is a piece by itself, whose hash no other piece has."""
+    data, offs, s, e, bounds = word_spans(texts)
     if not len(s):
         return data, np.zeros(0, np.uint64), s, e, bounds
+    # Matches are in the bytes before lower-casing, and inside one text.
+    found = np.array([m.span() for m in special.finditer(string_buffers(texts)[0].tobytes())], np.int64).reshape(-1, 2)
+    found = found[np.searchsorted(offs, found[:, 0], side="right") == np.searchsorted(offs, found[:, 1] - 1, side="right")]
+    if len(found):
+        a, b = found.T
+        word = np.searchsorted(s, a, side="right") - 1
+        s, e = np.unique(np.concatenate([s, a, b[b < e[word]]])), np.unique(np.concatenate([e, b, a[a > s[word]]]))
+        bounds = np.searchsorted(s, offs)
     # The last byte of each word that is no punctuation, where that is a letter and punctuation follows.
     last = np.maximum.accumulate(np.where(_PUNCTUATION[data], -1, np.arange(len(data))))[e - 1]
     cut = (last >= s) & (last < e - 1) & (data[last] >= 0x61) & (data[last] <= 0x7A)
@@ -189,7 +206,11 @@ def pieces_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     starts[body], ends[body] = s, np.where(cut, last + 1, e)
     tail = body[cut] + 1
     starts[tail], ends[tail] = last[cut] + 1, e[cut]
-    return data, np.maximum(span_hashes(data, starts, ends), np.uint64(1)), starts, ends, bounds + extra[bounds]
+    hashes = span_hashes(data, starts, ends)
+    if len(found):
+        own = np.searchsorted(starts, found[:, 0])
+        hashes[own] = mix(hashes[own] ^ np.uint64(0x3C6EF372FE94F82B))
+    return data, np.maximum(hashes, np.uint64(1)), starts, ends, bounds + extra[bounds]
 
 
 @functools.lru_cache(maxsize=2)
@@ -221,7 +242,7 @@ def write_token_files(df: DataFrame, folder: str, vocabulary: str = "word_bpe_49
             for batch in slices(whole, "text"):
                 if out is None:
                     path = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.pfor"
-                    system, where = pafs.FileSystem.from_uri(path)
+                    system, where = file_system(path)
                     system.create_dir(where.rpartition("/")[0], recursive=True)
                     out = system.open_output_stream(where)
                     out.write(MAGIC)
@@ -267,7 +288,7 @@ def decoded_blocks(f: pa.NativeFile, starts: np.ndarray, most: int = 1 << 20) ->
 
 def read_file(path: str) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, ids) of a file's documents, in order; holds one read and one document at a time."""
-    system, where = pafs.FileSystem.from_uri(path)
+    system, where = file_system(path)
     with system.open_input_file(where) as f:
         size = f.size()
         if f.read_at(len(MAGIC), 0) != MAGIC:

@@ -4,12 +4,14 @@ Each archive starts with a skippable frame that holds a dictionary built from th
 record is a frame of its own, compressed with it, so records can be reached one by one. Of records with equal
 payloads, that with the smallest page_id is a response and the others are revisits that refer to it.
 
-The response of each payload is found from digests alone (partial minima before the shuffle; a hot payload is
-one row for each task); pages then join by digest, which Spark may split where one payload is hot. Tasks write to
-the cluster's shared folder, each attempt under its own name; the stored manifest lists the files that counted.
-A task holds the records that the dictionary is built from (``SAMPLE_BYTES``) and one record. Null html is an empty
-payload; a null page_id never is the response while another page has the payload; rows that repeat the smallest
-page_id are all responses; a null url is left out.
+The response of each payload is found from digests alone (partial minima before the shuffle; a hot payload is one row for
+each task) and stored. A payload with more than one in ``HOT`` of all rows is hot: there are fewer than ``HOT`` of them, so
+they are broadcast and their pages are written where they are read; only the other pages join by digest, so no key of
+that join has more than one in ``HOT`` of the rows. Tasks write to the cluster's shared folder, each attempt
+under its own name; the stored manifest lists the files that counted. A task holds the records that the dictionary is built
+from (``SAMPLE_BYTES``) and one record. Null html is an empty payload; a null page_id never is the response while another
+page has the payload; rows that repeat the smallest page_id are all responses; a null url is left out; other columns, of
+whatever name, are not read; an empty table gives no archive and no rows.
 """
 
 from __future__ import annotations
@@ -22,12 +24,11 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm.common import shared_folder, slices, stored
+from platewise.llm.common import file_system, shared_folder, slices, stored
 
 #: Magic number of the skippable frame that holds a dictionary.
 DICTIONARY_FRAME = (0x184D2A5D).to_bytes(4, "little")
@@ -35,6 +36,8 @@ DICTIONARY_BYTES = 64 << 10
 #: The dictionary is built from so many bytes of an archive's first records (a bounded sample).
 SAMPLE_BYTES = 4 << 20
 LEVEL = 3
+#: Payloads of more than one in so many rows are not shuffled.
+HOT = 1000
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "part int, path string, n_records long, n_bytes long"
@@ -78,8 +81,11 @@ def with_responses(pages: DataFrame, least: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     digest = F.sha1(F.encode("html", "UTF-8"))
     rows = rows.withColumn("digest", F.when(F.octet_length("html") >= least, digest).otherwise(F.concat_ws("|", F.lit("small"), "page_id", digest)))
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("refers_to"))
-    return rows.join(first, "digest").withColumn("revisit", ~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    first = stored(rows.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")), "digests")
+    total = first.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(first.filter(F.col("n") * HOT > total).drop("n"))
+    others = rows.join(hot.select("digest"), "digest", "left_anti").join(first.filter(F.col("n") * HOT <= total).drop("n"), "digest")
+    return rows.join(hot, "digest").unionByName(others).withColumn("revisit", ~F.col("page_id").eqNullSafe(F.col("refers_to")))
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
@@ -94,7 +100,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
         def start() -> None:
             nonlocal out, path, compress
             path = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.zst"
-            system, where = pafs.FileSystem.from_uri(path)
+            system, where = file_system(path)
             system.create_dir(where.rpartition("/")[0], recursive=True)
             out = system.open_output_stream(where)
             dictionary = build_dictionary(sample)
@@ -130,7 +136,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
 
 def frames(path: str, most: int = 1 << 20) -> Iterator[bytes]:
     """The records of an archive, one after the other."""
-    system, where = pafs.FileSystem.from_uri(path)
+    system, where = file_system(path)
     with system.open_input_stream(where) as f:
         head = f.read(8)
         if head[:4] != DICTIONARY_FRAME:
