@@ -6,60 +6,61 @@ is mixed to the sources' weights and written as token ids. All stages but the la
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewise.llm.common import shared_folder, stored
 from platewise.llm.decontamination import contaminated
-from platewise.llm.mixing import mix_sources
+from platewise.llm.mixing import ORDER, mixed_queue
 from platewise.llm.ngram_join import near_duplicates
 from platewise.llm.quality_rules import quality_rules
 from platewise.llm.token_files import read_token_files, write_token_files
 
 
-#: Key of a row within a stage, as ids may repeat or be null.
-ROW = "_row"
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """``row``, a unique key of every row, as ids may repeat or be null, and ``doc``, the row itself.
 
-
-def with_row_key(docs: DataFrame) -> DataFrame:
-    """``docs`` and a unique key of every row, the same in all jobs: the place in its file, if ``docs`` is what one path of
-    Parquet files holds (as between stages); else a number that is written with the rows once."""
-    plan = docs._jdf.queryExecution().analyzed()
-    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().location().rootPaths().size() != 1:
-        return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    files = sorted(r[0] for r in placed.select("_file").distinct().collect())
-    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "_number long, _file string")
-    return placed.join(F.broadcast(numbers), "_file").select(*docs.columns, (F.shiftleft("_number", 40) + F.col("_at")).alias(ROW))
+    The key is the row's place in its file and stays the same in all jobs, if ``docs`` is read from files, as it is between stages
+    (rows may be left out, not multiplied). Rows that come from no file are numbered and written once. Files are numbered
+    on the driver, which lists them anyway to plan the scan."""
+    try:
+        placed = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), F.struct("*").alias("doc"))
+    except AnalysisException:
+        return stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "rows")
+    files = sorted(r.file for r in placed.select("file").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "number long, file string")
+    return placed.join(F.broadcast(numbers), "file").select((F.shiftleft("number", 40) + F.col("at")).alias("row"), "doc")
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules(docs).filter("kept").select(*docs.columns)
+    """Documents that the quality rules keep, whatever other columns they have; null and empty texts fail."""
+    return quality_rules(docs.select(F.struct("*").alias("doc"), "text")).filter("kept").select("doc.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates one row: that of the smallest id; if all ids are null, the first. Every row is decided
-    by its own text, so the other rows of a repeated id stay."""
-    rows = with_row_key(docs)
-    found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)
-    first = found.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(order).alias("first"))
-    return rows.join(first.select(f"first.{ROW}"), ROW, "left_semi").select(*docs.columns)
+    by its own text, so the other rows of a repeated id stay, and so do all rows without a word."""
+    rows = keyed_rows(docs)
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "doc.text")).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    first = found.join(rows.select("row", "doc.doc_id"), "row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select("first.row"), "row", "left_semi").select("doc.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in which no benchmark item is found, whatever their ids."""
-    rows = with_row_key(docs)
-    found = contaminated(rows.select(F.col(ROW).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return rows.join(found.select(F.col("doc_id").alias(ROW)).distinct(), ROW, "left_anti").select(*docs.columns)
+    rows = keyed_rows(docs)
+    found = contaminated(rows.select(F.col("row").alias("doc_id"), "doc.text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(found.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti").select("doc.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it, also where ids repeat or are null; a row that is taken twice is two rows."""
-    rows = with_row_key(docs)
-    mixed = mix_sources(rows.select(ROW, "doc_id", "text", "source"), keep=(ROW,)).filter("passes > 0").select(ROW, "passes")
-    return rows.join(mixed, ROW).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("_pass")).drop("_pass")
+    """Each row as often as the mix takes it, also where ids repeat or are null, in the order of the queue; a row that is taken
+    twice is two rows. Rows without a word are never counted against the budget; they stay if their place in the queue does."""
+    rows = keyed_rows(docs)
+    queue = mixed_queue(rows.select("row", "doc.doc_id", "doc.text", "doc.source"), "row")
+    return rows.join(queue, "row").repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).select("doc.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Each document's counts come from array functions of one row; a rule divides two counts and bounds the
 ratio. No shuffle, no Python. Texts that are null count as empty; an empty text has zero counts and fails the
-base rules. Rows are independent, so repeated ids and ties need no rule.
+base rules. Rows are independent, so repeated ids and ties need no rule; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -12,9 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SYMBOLS = "[#*$%&|<>]"
+UPPER = "[A-Z]"
 STOP_WORDS = sorted(set(
     "the of and to in is that for it as was with be by on not he this are or from at which a an "
     "der die das und den von zu mit sich des auf für ist im dem nicht ein eine als auch "
@@ -56,52 +55,44 @@ RULES = (
 )
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
-
-
 def rule_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds the counts that rules use: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines,
-    n_upper, n_exclaim, n_stop (all long). Columns of these names in ``df`` are replaced.
+    n_upper, n_exclaim, n_stop (all long). Columns of these names in ``df`` are replaced; others stay, whatever their names.
 
     n_repeat_words is the number of words in three-word windows that occur twice or more in the text. Windows
     are compared by a 64-bit hash inside one document.
     """
-    keep = [c for c in df.columns if c not in ("_t", "_w", "_h", "_s", "_p", *COUNTS)]
-    t, w, h, s, p = (F.col(c) for c in ("_t", "_w", "_h", "_s", "_p"))
-    step = df.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
-    has_word = lambda line: F.length(_without(line, SPACES)) > 0
+    t, w, h, s, p = (F.col(c) for c in "twhsp")
+    step = df.select(F.struct("*").alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     step = step.select(
-        *keep,
-        F.array_remove(F.split(t, r"[\x20\x09-\x0D]+"), "").alias("_w"),
-        F.filter(F.split(t, "\n"), has_word).alias("_s"),
-        F.length(_without(t, SPACES)).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(_without(t, SYMBOLS))).cast("long").alias("n_symbols"),
-        (F.length(t) - F.length(_without(t, UPPER))).cast("long").alias("n_upper"),
-        (F.length(t) - F.length(_without(t, "!"))).cast("long").alias("n_exclaim"),
+        "row",
+        F.array_remove(F.split(t, r"[\x20\x09-\x0D]+"), "").alias("w"),
+        F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("s"),
+        *[F.regexp_count(t, F.lit(x)).cast("long").alias(c) for c, x in (("n_symbols", SYMBOLS), ("n_upper", UPPER), ("n_exclaim", "!"))],
     )
-    done = ["word_chars", "n_symbols", "n_upper", "n_exclaim"]
+    done = ["n_symbols", "n_upper", "n_exclaim"]
     stop = [F.lit(x) for x in STOP_WORDS]
     window = lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))
     step = step.select(
-        *keep,
+        "row",
         *done,
         F.size(w).cast("long").alias("n_words"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.size(s).cast("long").alias("n_lines"),
         (F.size(s) - F.size(F.array_distinct(s))).cast("long").alias("n_dup_lines"),
         F.size(F.filter(w, lambda x: F.lower(x).isin(stop))).cast("long").alias("n_stop"),
-        F.when(F.size(w) >= 3, F.transform(F.slice(w, F.lit(1), F.size(w) - 2), window)).alias("_h"),
+        F.when(F.size(w) >= 3, F.transform(F.slice(w, F.lit(1), F.size(w) - 2), window)).alias("h"),
     )
-    done += ["n_words", "n_lines", "n_dup_lines", "n_stop"]
+    done += ["n_words", "word_chars", "n_lines", "n_dup_lines", "n_stop"]
     # Only documents with a repeated window sort their windows; the others stop here.
     pair = lambda x, i: F.struct(x.alias("h"), i.alias("i"))
     step = step.select(
-        *keep, *done, F.when(F.size(F.array_distinct(h)) < F.size(h), F.array_sort(F.transform(h, pair))).alias("_s")
+        "row", *done, F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(F.transform(h, pair))).alias("s")
     )
     same = lambda x, i: (
         (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"])
     )
-    step = step.select(*keep, *done, F.array_sort(F.transform(F.filter(s, same), lambda x: x["i"])).alias("_p"))
+    step = step.select("row", *done, F.sort_array(F.transform(F.filter(s, same), lambda x: x["i"])).alias("p"))
     start = F.struct(F.lit(-3).alias("at"), F.lit(0).alias("n"))
     covered = F.aggregate(
         p,
@@ -112,14 +103,16 @@ def rule_counts(df: DataFrame, text: str = "text") -> DataFrame:
     # The counts leave by a generator of one row: a filter on them stays above it, where pushing it down would write
     # the nested array functions out once for every count that it reads.
     counts = F.struct(*done, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
-    return step.select(*keep, F.inline(F.array(counts)))
+    kept = [c for c in df.columns if c not in COUNTS]
+    return step.select("row", F.inline(F.array(counts))).select(*[F.col("row").getField(c).alias(c) for c in kept], *COUNTS)
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaim", "n_stop"]
 
 
 def quality_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, least_words: int = 50, most_repeat_percent: int = 50) -> DataFrame:
-    """Adds the counts, ``base_failed``, one boolean ``passes_<rule>`` for each rule, and ``kept``."""
+    """Adds the counts, ``base_failed``, one boolean ``passes_<rule>`` for each rule, and ``kept``, in place of columns of the
+    same names; other columns stay."""
     counts = rule_counts(df, text)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
     verdict = ~failed
