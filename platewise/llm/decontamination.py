@@ -10,8 +10,12 @@ A window that reaches the similarity must have most of its shingles from items o
 fingerprinted only where a bitmap of those shingles says so. The bitmap has no false negatives, and its size
 follows the benchmark's within fixed bounds, so this skips only windows that verification would refuse.
 
+Windows carry no shingles: overlapping ones share a stretch of the text, which is stored once, so an item of any length costs
+its text's length. A pair of stretch and item is verified at all its starting places in one pass (running sums).
+
 Null and empty texts and items match nothing; an item of fewer than five words is one shingle of all its words.
-Repeated rows and ids each count; rows with a null id are reported with a null id.
+Repeated rows and ids each count; rows with a null id are reported with a null id; items of one id and text are one.
+Other columns, of whatever name, are not read; an empty table on either side finds nothing.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,13 +65,29 @@ def simhash(grams: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two bags of shingles."""
-    x, n = np.unique(a, return_counts=True)
-    y, m = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    common = int(np.minimum(n[i], m[j]).sum())
-    return common / (len(a) + len(b) - common) if len(a) + len(b) else 0.0
+def weighted_similarities(grams: np.ndarray, item: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of an item's bag of shingles and the windows of its size at ``starts``.
+
+    A shingle that the item holds ``c`` times adds one at every place to the windows that reach it but not the ``c``-th such
+    place before it, so the common weight of all windows is a running sum."""
+    n = len(item)
+    known, c = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+    places = np.flatnonzero(known[at] == grams)
+    kind = at[places]
+    order = np.argsort(kind, kind="stable")
+    places, kind = places[order], kind[order]
+    first = np.searchsorted(kind, np.arange(len(known)))
+    rank = np.arange(len(kind)) - first[kind]
+    back = np.arange(len(kind)) - c[kind]
+    earlier = np.where(rank >= c[kind], places[np.maximum(back, 0)], -1)
+    # Windows from ``low`` to the place itself hold this one and fewer than c before it.
+    low = np.maximum(earlier + 1, places - n + 1)
+    steps = np.zeros(len(grams) + 1, np.int64)
+    np.add.at(steps, np.maximum(low, 0), 1)
+    np.add.at(steps, places + 1, -1)
+    common = np.cumsum(steps)[starts]
+    return common / (2 * n - common)
 
 
 def block_changes(width: int, most: int = RADIUS // len(BLOCKS)) -> np.ndarray:
@@ -116,54 +137,70 @@ def close_hits(sizes: list[int], needed: Callable[[int], int]) -> tuple[int, int
     return run, max(1, min(run - (n - needed(n)) // (n // run) for n in sizes))
 
 
+def hits_needed(n: int, similarity: float) -> int:
+    """Least common weight of two bags of weight ``n`` at the similarity."""
+    return int(np.ceil(2 * n * similarity / (1 + similarity) - 1e-9))
+
+
+STRETCHES = "row long, doc_id long, at long, starts array<int>, lengths array<int>, fps array<long>, grams array<long>"
+
+
 def windows_of(df: DataFrame, table: np.ndarray, lengths: list[int], similarity: float = SIMILARITY) -> DataFrame:
-    """row, doc_id, start, length, fp, grams of the windows that may reach the similarity with an item of their length."""
+    """The stretches of the texts (row, doc_id, the first word ``at``, and the shingles of one size) that are covered by windows which
+    may reach the similarity with an item of their length, with those windows' starts in it, lengths and fingerprints. ``row``
+    and ``stretch`` number the texts and the stretches, so this is to be stored before it is read twice."""
     known = df.sparkSession.sparkContext.broadcast((table, lengths))
 
-    def hits_needed(n: int) -> int:
-        """Least common weight of two bags of weight ``n`` at the similarity."""
-        return int(np.ceil(2 * n * similarity / (1 + similarity) - 1e-9))
+    def stretches(own: np.ndarray, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """First and last shingle of each stretch of one text, and its windows."""
+        starts, sizes, fps = [], [], []
+        table, lengths = known.value
+        for length in lengths:
+            n = length - k + 1
+            if min(K, length) != k or len(own) < n:
+                continue
+            hits = np.concatenate([[0], np.cumsum(in_bitmap(table, _of_length(own, length)))])
+            s = np.flatnonzero(hits[n:] - hits[:-n] >= hits_needed(n, similarity))
+            if len(s):
+                starts.append(s)
+                sizes.append(np.full(len(s), n))
+                fps.append(simhash(own, s, n))
+        if not starts:
+            return
+        start, size, fp = np.concatenate(starts), np.concatenate(sizes), np.concatenate(fps)
+        order = np.argsort(start, kind="stable")
+        start, size, fp = start[order], size[order], fp[order]
+        reach = np.maximum.accumulate(start + size)
+        cuts = [0, *(np.flatnonzero(start[1:] >= reach[:-1]) + 1).tolist(), len(start)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield int(start[a]), int(reach[b - 1]), start[a:b] - start[a], size[a:b] + k - 1, fp[a:b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "doc_id", "start", "length", "fp", "grams"]
+        before = TaskContext.get().partitionId() << 40
         for whole in batches:
             for batch in slices(whole, "text"):
                 table, lengths = known.value
-                words, bounds = words_of(batch.column(2), ALNUM_SEPARATORS)
-                rows, ids = batch.column(0).to_numpy(), batch.column(1)
-                found: dict[str, list] = {n: [] for n in names}
-                flat, sizes = [], []
+                words, bounds = words_of(batch.column(1), ALNUM_SEPARATORS)
+                rows, ids, at, parts = [], [], [], []
                 for k in sorted({min(K, n) for n in lengths}):
                     grams, gram_bounds = grams_of(words, bounds, k, seed=k)
                     owner = np.repeat(np.arange(batch.num_rows), np.diff(gram_bounds))
                     # Texts that have enough shingles of any items close together are looked at by length.
-                    near, enough = close_hits([n - k + 1 for n in lengths if min(K, n) == k], hits_needed)
+                    near, enough = close_hits([n - k + 1 for n in lengths if min(K, n) == k], lambda n: hits_needed(n, similarity))
                     sums = np.concatenate([[0], np.cumsum(in_bitmap(table, grams))])
                     for i in np.unique(owner[np.flatnonzero(sums[near:] - sums[:-near] >= enough)]) if len(grams) >= near else ():
                         own = grams[gram_bounds[i] : gram_bounds[i + 1]]
-                        for length in lengths:
-                            n = length - k + 1
-                            if min(K, length) != k or len(own) < n:
-                                continue
-                            hits = np.concatenate([[0], np.cumsum(in_bitmap(table, _of_length(own, length)))])
-                            starts = np.flatnonzero(hits[n:] - hits[:-n] >= hits_needed(n))
-                            if not len(starts):
-                                continue
-                            found["row"] += [int(rows[i])] * len(starts)
-                            found["doc_id"] += [ids[int(i)].as_py()] * len(starts)
-                            found["start"] += starts.tolist()
-                            found["length"] += [length] * len(starts)
-                            found["fp"].append(simhash(own, starts, n))
-                            flat += [own[s : s + n] for s in starts]
-                            sizes += [n] * len(starts)
-                if not sizes:
-                    continue
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found["row"], pa.int64()), pa.array(found["doc_id"], pa.int64()), pa.array(found["start"], pa.int64()), pa.array(found["length"], pa.int32()), pa.array(np.concatenate(found["fp"]).view(np.int64)), list_array(np.concatenate(flat), np.concatenate([[0], np.cumsum(sizes)]))],
-                    names=names,
-                )
-
-    return df.mapInArrow(run, "row long, doc_id long, start long, length int, fp long, grams array<long>")
+                        for a, b, start, length, fp in stretches(own, k):
+                            rows.append(before + int(i))
+                            ids.append(batch.column(0)[int(i)].as_py())
+                            at.append(a)
+                            parts.append((start.astype(np.int32), length.astype(np.int32), fp.view(np.int64), own[a:b].view(np.int64)))
+                if ids:
+                    lists = [list_array(np.concatenate(p), np.concatenate([[0], np.cumsum([len(x) for x in p])])) for p in zip(*parts, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (rows, ids, at)), *lists], names=["row", "doc_id", "at", "starts", "lengths", "fps", "grams"])
+                before += batch.num_rows
+
+    return df.select("doc_id", "text").mapInArrow(run, STRETCHES).withColumn("stretch", F.monotonically_increasing_id())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -175,14 +212,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     keys = items.select("length", "grams").mapInArrow(_item_keys, "key long")
     table = bitmap(keys, "key", bits)
     index = item_index(items)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     for i in range(0, max(1, len(lengths)), LENGTHS_PER_PASS):
-        windows = stored(windows_of(rows, table, lengths[i : i + LENGTHS_PER_PASS], similarity), "windows")
+        stretches = stored(windows_of(rows, table, lengths[i : i + LENGTHS_PER_PASS], similarity), "stretches")
+        windows = stretches.select("stretch", F.inline(F.arrays_zip("starts", "lengths", "fps"))).toDF("stretch", "start", "length", "fp")
         blocks = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for k, (at, width) in enumerate(BLOCKS)])
-        near = windows.select("row", "start", "length", "fp", F.inline(blocks)).join(index, ["length", "block", "value"])
-        near = near.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("row", "start", "length", "item").distinct()
-        full = near.join(windows, ["row", "start", "length"]).join(items.select("item", "item_id", F.col("grams").alias("item_grams")), "item")
-        scored = full.select("row", "doc_id", "item_id", "start", "length", "grams", "item_grams").mapInArrow(_score, "row long, doc_id long, item_id long, start long, length int, similarity double")
+        near = windows.select("stretch", "start", "length", "fp", F.inline(blocks)).join(index, ["length", "block", "value"])
+        near = near.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).groupBy("stretch", "item").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+        full = near.join(stretches.select("stretch", "row", "doc_id", "at", "grams"), "stretch").join(items.select("item", "item_id", "length", F.col("grams").alias("item_grams")), "item")
+        scored = full.select("row", "doc_id", "item_id", "length", "at", "starts", "grams", "item_grams").mapInArrow(_score, SCORED)
         out = scored if out is None else out.unionByName(scored)
     best = out.filter(F.col("similarity") >= similarity).groupBy("row", "doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"), "length")).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.before")).alias("start"), F.col("best.length").alias("length"))
@@ -196,10 +234,20 @@ def _item_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g, _of_length(g, length)]).view(np.int64))], names=["key"])
 
 
+SCORED = "row long, doc_id long, item_id long, length int, start long, similarity double"
+
+
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best window of each pair of stretch and item; of equal ones, the first."""
     for batch in batches:
-        s = [weighted_similarity(a.values.to_numpy(), b.values.to_numpy()) for a, b in zip(batch.column(5), batch.column(6), strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(s, pa.float64())], names=["row", "doc_id", "item_id", "start", "length", "similarity"])
+        best, score = [], []
+        for at, starts, grams, item in zip(batch.column(4).to_pylist(), *(batch.column(k) for k in (5, 6, 7)), strict=True):
+            starts = starts.values.to_numpy()
+            s = weighted_similarities(grams.values.to_numpy(), item.values.to_numpy(), starts)
+            i = int(np.argmax(s))
+            best.append(at + int(starts[i]))
+            score.append(float(s[i]))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(best, pa.int64()), pa.array(score, pa.float64())], names=["row", "doc_id", "item_id", "length", "start", "similarity"])
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
