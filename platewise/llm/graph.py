@@ -14,17 +14,20 @@ def _signature(edges: DataFrame) -> tuple:
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step over edges u > v. Each node hands its smallest neighbour to its larger (large star) or smaller (small
-    star) neighbours; the minima are aggregated before the shuffle, so a hub costs one row for each task."""
+    star) neighbours. The minima are aggregated before the shuffle, so a hub costs one row for each task, and stored, so
+    that they join as a plain table and Spark can split a hub's rows."""
     both = edges.select("u", "v")
     if large:
         both = both.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
     pairs = both.join(least, "u")
     if large:
         out = pairs.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    out = stored(out.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    drop_stored(least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,8 +36,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stored(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = _signature(edges)
     while True:
-        old, edges = edges, stored(_star(_star(edges, large=True), large=False), "edges")
-        drop_stored(old)
+        half = _star(edges, large=True)
+        drop_stored(edges)
+        edges = _star(half, large=False)
+        drop_stored(half)
         after = _signature(edges)
         if after == before:
             break

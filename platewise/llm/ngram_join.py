@@ -14,11 +14,12 @@ Documents with equal sets are one class and compared once. Candidates are found
 copies is expanded into all pairs: first every key's documents are verified against one leader (the one whose
 tokens are most common, which is the original of near copies), and linked ones merge into components; then those
 pairs that share a key but not a component are verified, until every pair that shares a key is verified or in one
-component. Verification counts common shingles exactly.
+component. These meet by key and size, as partners' sizes differ by a third at most. Verification counts common shingles exactly.
 
 Texts that are null, empty or without words have an empty set and link with nothing; rows with equal texts always
 link (if the text has a word); a repeated doc_id is a document for each row; rows with a null id take the component
-of their text. Shingles are compared as 64-bit hashes.
+of their text. Other columns, of whatever name, are not read; an empty table gives no rows. Shingles are compared as 64-bit
+hashes.
 """
 
 from __future__ import annotations
@@ -33,17 +34,17 @@ from pyspark.sql import functions as F
 
 from platewise.llm.common import grams_of, drop_stored, list_array, mix, slices, stored, words_of
 from platewise.llm.graph import components
-from platewise.llm.sketches import COUNTERS, bitmap, count_classes, in_bitmap
+from platewise.llm.sketches import STEPS, bitmap, count_classes, in_bitmap, power_of_two
 
 K = 5
 #: Linked if 100 * intersection >= 75 * union, that is 7 * intersection >= 3 * (size + size).
 NUMERATOR, DENOMINATOR = 3, 7
 #: About so many frequent tokens of a head fall in one class.
 CLASS_TOKENS = 12
-#: Bits of the bitmap of the documents whose sets are fetched.
-FETCH_BITS = 1 << 24
-#: Most bits of the bitmap of repeated keys (32 MB).
-KEY_BITS = 1 << 28
+#: Least and most bits of a bitmap (at most 32 MB), and bits for each key between them.
+BITMAP_BITS, BITS_EACH = (1 << 20, 1 << 28), 8
+#: Base of the sizes' logarithm by which pairs meet; above 4/3, so partners are in the same or in neighbouring steps.
+SIZE_STEP = 1.34
 
 
 # --- sets -----------------------------------------------------------------------------------------------------
@@ -141,7 +142,7 @@ def index_rows(grams: np.ndarray, bounds: np.ndarray, classes: np.ndarray, limit
     """Keys of all sets, each key's set and lack, and each set's rank as a leader (least: most common tokens)."""
     n = np.diff(bounds)
     owner = np.repeat(np.arange(len(n)), n)
-    c = classes[(grams & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    c = classes[(grams & np.uint64(len(classes) - 1)).astype(np.int64)]
     order = np.lexsort((grams, c, owner))
     tokens, c = grams[order], c[order]
     frequent = c > limit
@@ -200,9 +201,16 @@ def key_table(df: DataFrame, classes: np.ndarray, limit: int, known: np.ndarray
     return df.mapInArrow(run, "key long, c long, n int, rank int, lack int")
 
 
-def fetch_sets(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(c, grams) of the wanted classes (column c), one row each. A bitmap of fixed size keeps other sets off the shuffle."""
-    table = df.sparkSession.sparkContext.broadcast(bitmap(wanted, "c", FETCH_BITS))
+def key_bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of stored keys. A larger table makes it larger, up to its most, and beyond that less sharp, never wrong."""
+    return bitmap(keys, column, power_of_two(BITS_EACH * keys.count(), *BITMAP_BITS))
+
+
+def fetch_sets(df: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(c, grams) of the sets in stored pairs (a, b), one row each. A bitmap keeps most other sets off the shuffle, and a join
+    drops the rest of them."""
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "wanted")
+    table = df.sparkSession.sparkContext.broadcast(key_bitmap(wanted, "c"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -217,7 +225,7 @@ def fetch_sets(df: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = list_array(grams, bounds)
                 yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), sets], names=["c", "grams"]).filter(pa.array(take & some))
 
-    rows = df.mapInArrow(run, "c long, grams array<long>")
+    rows = df.mapInArrow(run, "c long, grams array<long>").join(wanted, "c", "left_semi")
     return rows.groupBy("c").agg(F.any_value("grams").alias("grams"))
 
 
@@ -251,28 +259,34 @@ def may_link(n: str, lack: str, m: str, other_lack: str) -> Column:
     return (F.col(n) - F.col(lack) >= common) & (F.col(m) - F.col(other_lack) >= common)
 
 
-def links(df: DataFrame) -> DataFrame:
-    """Verified (a, b) of set hashes whose components are those of the whole join."""
-    classes, mean = count_classes(df.select("doc_id", "text"), _batch_sets)
+def size_step(n: str) -> Column:
+    return F.floor(F.log(F.col(n)) / F.log(F.lit(SIZE_STEP))).cast("int")
+
+
+def links(df: DataFrame, total: int) -> DataFrame:
+    """Verified (a, b) of set hashes whose components are those of the whole join; ``total`` shingles are expected."""
+    classes, mean = count_classes(df.select("doc_id", "text"), _batch_sets, total)
     # Frequent: clearly above what chance puts into one counter.
-    limit = int(4 * np.log2(1 + mean + 8 * np.sqrt(mean) + 64))
+    limit = int(STEPS * np.log2(1 + mean + 8 * np.sqrt(mean) + 64))
     keys = stored(shared_keys(df, classes, limit), "keys")
     lead = keys.groupBy("key").agg(F.min(F.struct("rank", "c", "n", "lack")).alias("lead"))
     near = keys.join(lead, "key").filter(F.col("c") != F.col("lead.c")).filter(may_link("n", "lack", "lead.n", "lead.lack"))
     first = stored(near.select(F.col("lead.c").alias("a"), F.col("c").alias("b")).distinct(), "pairs")
-    done = stored(verified(first, fetch_sets(df, first.select(F.explode(F.array("a", "b")).alias("c")))), "links")
+    done = stored(verified(first, fetch_sets(df, first)), "links")
     # What shares a key but not a component yet.
     roots = stored(components(done), "roots")
     labelled = keys.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select("key")
     left = stored(labelled.join(mixed, "key").select("key", "c", "n", "lack", "root"), "mixed")
     drop_stored(keys, roots)
-    other = left.select("key", F.col("c").alias("b"), F.col("n").alias("m"), F.col("lack").alias("other_lack"), F.col("root").alias("other"))
-    cross = left.withColumnRenamed("c", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("other"))).filter(may_link("n", "lack", "m", "other_lack"))
+    own = left.select("key", F.col("c").alias("a"), "n", "lack", "root", size_step("n").alias("step"))
+    near_steps = F.explode(F.array(*[size_step("n") + k for k in (-1, 0, 1)])).alias("step")
+    other = left.select("key", F.col("c").alias("b"), F.col("n").alias("m"), F.col("lack").alias("other_lack"), F.col("root").alias("other"), near_steps)
+    cross = own.join(other, ["key", "step"]).filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("other"))).filter(may_link("n", "lack", "m", "other_lack"))
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = stored(cross.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     drop_stored(left, first)
-    more = stored(verified(second, fetch_sets(df, second.select(F.explode(F.array("a", "b")).alias("c")))), "links")
+    more = stored(verified(second, fetch_sets(df, second)), "links")
     drop_stored(second)
     return done.unionByName(more)
 
@@ -281,11 +295,9 @@ def shared_keys(df: DataFrame, classes: np.ndarray, limit: int) -> DataFrame:
     """The rows of keys that at least two documents have, one for each set.
 
     Most keys belong to one document. The keys are counted first, alone; then the rows are made again, only where a bitmap
-    of the repeated keys says so, and an exact join removes what the bitmap lets through. A larger corpus makes the
-    bitmap larger, up to ``KEY_BITS``, and beyond that less sharp, never wrong."""
+    of the repeated keys says so, and an exact join removes what the bitmap lets through."""
     several = stored(key_table(df, classes, limit).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "several")
-    bits = min(max(1 << (8 * several.count()).bit_length(), 1 << 20), KEY_BITS)
-    rows = key_table(df, classes, limit, bitmap(several, "key", bits))
+    rows = key_table(df, classes, limit, key_bitmap(several, "key"))
     return rows.join(several, "key", "left_semi").distinct()
 
 
@@ -293,11 +305,13 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row of (doc_id, text)."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = stored(set_table(docs), "sets")
+    total = table.agg(F.sum("n_shingles")).first()[0] or 0
     nodes = table.filter("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("low"))
-    roots = stored(components(links(docs)), "roots")
-    linked = nodes.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    found = linked.join(lowest, "root").select("c", "component_id")
+    roots = stored(components(links(docs, total)), "roots")
+    # Stored, so that the joins with them are between plain tables, whose skewed keys (a large component) Spark splits.
+    linked = stored(nodes.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")), "linked")
+    lowest = stored(linked.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
+    found = stored(linked.join(lowest, "root").select("c", "component_id"), "found")
     out = table.join(found, "c", "left")
     alone = F.col("n_shingles") == 0
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -1,7 +1,7 @@
 """Fixed-size summaries of whole tables: a bitmap of keys, and logarithmic counts of hashed tokens.
 
 Both are sums over all rows, made in tasks, added up in tasks, and only then read: what reaches the driver and the
-executors has a fixed size, however large the table is. More rows make them coarser, never wrong: a bitmap has
+executors grows with the table up to a fixed size. Beyond that more rows make them coarser, never wrong: a bitmap has
 no false negatives, and all documents see the same count of a token.
 """
 
@@ -14,11 +14,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Counters of a count sketch; 4 MB as one byte each.
-COUNTERS = 1 << 22
+#: Least and most counters of a count sketch (one byte each), and tokens for each counter between them.
+COUNTERS, TOKENS_EACH = (1 << 20, 1 << 24), 16
+#: Classes for each doubling of a count.
+STEPS = 8
 _SLICE = 1 << 13
 
 
+def power_of_two(n: float, least: int, most: int) -> int:
+    """The next power of two within bounds (powers of two themselves)."""
+    return min(max(1 << max(0, int(n) - 1).bit_length(), least), most)
+
+
 def bitmap(df: DataFrame, column: str, bits: int = 1 << 24) -> np.ndarray:
     """Packed bits, set at ``column mod bits`` for each row (``bits`` / 8 bytes)."""
     at = F.pmod(F.col(column), F.lit(bits))
@@ -35,37 +42,40 @@ def in_bitmap(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def count_classes(df: DataFrame, tokens: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> tuple[np.ndarray, float]:
-    """For each counter, ``4 * log2(1 + count)`` of the tokens hashed to it (a byte), and the mean count.
-
-    ``tokens`` gives the uint64 tokens of a batch. Tasks count into arrays of ``COUNTERS`` and send them in slices; each
+def count_classes(df: DataFrame, tokens: Callable[[pa.RecordBatch], Iterator[np.ndarray]], total: int) -> tuple[np.ndarray, float]:
+    """For each counter, ``STEPS * log2(1 + count)`` of the tokens hashed to it (a byte), and the mean count; ``total`` tokens are
+    expected. ``tokens`` gives the uint64 tokens of a batch. Tasks count into arrays of counters and send them in slices; each
     slice is added up in a task that holds the sums of its slices only."""
+    counters = power_of_two(total / TOKENS_EACH, *COUNTERS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.uint32)  # sent as 16 bits: a task's larger counts stop there, for all documents alike
+        sums = np.zeros(counters, np.uint32)
         for batch in batches:
             for t in tokens(batch):
-                at, n = np.unique((t & np.uint64(COUNTERS - 1)).astype(np.uint32), return_counts=True)
-                total[at] += n.astype(np.uint32)
-        parts = total.reshape(-1, _SLICE)
-        used = np.flatnonzero(parts.any(axis=1))
+                at, n = np.unique((t & np.uint64(counters - 1)).astype(np.uint32), return_counts=True)
+                sums[at] += n.astype(np.uint32)
+        parts = sums.reshape(-1, _SLICE)
+        most = parts.max(axis=1)
+        used = np.flatnonzero(most)
         for i in range(0, len(used), 64):
             some = used[i : i + 64]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([np.minimum(parts[j], 65535).astype(np.uint16).tobytes() for j in some], pa.binary())], names=["slice", "counts"])
+            # As 16 bits each where they suffice.
+            raw = [parts[j].astype(np.uint16 if most[j] < 1 << 16 else np.uint32).tobytes() for j in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw, pa.binary())], names=["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for j, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[j] = sums.get(j, 0) + np.frombuffer(counts, np.uint16).astype(np.uint64)
+                sums[j] = sums.get(j, 0) + np.frombuffer(counts, np.uint16 if len(counts) == 2 * _SLICE else np.uint32).astype(np.uint64)
         if sums:
             keys = sorted(sums)
-            classes = [np.minimum(255, np.round(4 * np.log2(1.0 + sums[j].astype(float)))).astype(np.uint8).tobytes() for j in keys]
+            classes = [np.minimum(255, np.round(STEPS * np.log2(1.0 + sums[j].astype(float)))).astype(np.uint8).tobytes() for j in keys]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(classes, pa.binary()), pa.array([int(sums[j].sum()) for j in keys], pa.int64())], names=["slice", "classes", "total"])
 
     rows = df.mapInArrow(count, "slice int, counts binary").repartition("slice").mapInArrow(add, "slice int, classes binary, total long").toArrow()
-    out, total = np.zeros(COUNTERS, np.uint8), 0
+    out, found = np.zeros(counters, np.uint8), 0
     for j, classes, n in zip(*(rows.column(k).to_pylist() for k in range(3)), strict=True):
         out[j * _SLICE : (j + 1) * _SLICE] = np.frombuffer(classes, np.uint8)
-        total += n
-    return out, total / COUNTERS
+        found += n
+    return out, found / counters
