@@ -4,10 +4,11 @@ Each line is good or bad. Its features are properties of the line (length, chara
 its neighbours; transitions tie neighbouring labels. Forward-backward gives each line's probability to be good, and
 the mean weighted by length is the document's quality.
 
-Only documents are labelled, so lines learn their document's label. The fit is maximum likelihood by Adam in numpy
-on a bounded sample of labelled rows (``SAMPLE`` of each class); a monotone calibration puts the threshold 0.3 between
-the classes. Scoring reads whole texts, in tasks, without shuffles. Lines without a word carry no weight; a text
-without words (null, empty) has the prior ``EMPTY_SCORE``. Repeated rows are scored alike.
+Only documents are labelled, so lines learn their document's label. The fit maximises one penalised likelihood of features
+and transitions, by Adam in numpy, on a bounded sample of labelled rows (``SAMPLE`` of each class); a monotone calibration puts
+the threshold 0.3 between the classes. Scoring reads whole texts, in tasks, without shuffles. Lines without a word carry no
+weight; a text without words (null, empty) has the prior ``EMPTY_SCORE``. Repeated rows are scored alike; null ids stay null;
+columns but doc_id and text, of whatever name, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -113,21 +114,27 @@ def padded(chains: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
-def marginals(scores: list[np.ndarray], transitions: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Forward-backward over chains of (bad, good) scores: each line's (bad, good) probabilities, and the expected
-    number of each transition. All chains advance together; chains stand in order of length."""
+def marginals(scores: list[np.ndarray], transitions: np.ndarray, weight: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Forward-backward over chains of (bad, good) scores: each line's (bad, good) probabilities, the expected number of
+    each transition (weighted by chain), and each chain's log partition. All chains advance together, in order of length."""
     order = np.argsort([-len(s) for s in scores], kind="stable")
     s, n = padded([scores[i] for i in order])
+    weight = np.ones(len(order)) if weight is None else weight[order]
     steps, m = s.shape[0], s.shape[1]
     alive = [int(np.searchsorted(-n, -t, side="left")) for t in range(steps)]  # chains longer than t
     trans = np.exp(transitions - transitions.max())
-    e = np.exp(s - s.max(axis=2, keepdims=True))
+    top = s.max(axis=2, keepdims=True)
+    e = np.exp(s - top)
     f = np.zeros_like(e)
-    f[0] = e[0] / e[0].sum(axis=1, keepdims=True)
+    z = e[0].sum(axis=1, keepdims=True)
+    f[0] = e[0] / z
+    log_z = np.log(z[:, 0]) + top.sum(axis=(0, 2)) + np.maximum(n - 1, 0) * transitions.max()
     for t in range(1, steps):
         a = alive[t]
         x = (f[t - 1, :a] @ trans) * e[t, :a]
-        f[t, :a] = x / x.sum(axis=1, keepdims=True)
+        z = x.sum(axis=1, keepdims=True)
+        f[t, :a] = x / z
+        log_z[:a] += np.log(z[:, 0])
     b = np.ones_like(e)
     pairs = np.zeros((2, 2))
     for t in range(steps - 2, -1, -1):
@@ -135,19 +142,45 @@ def marginals(scores: list[np.ndarray], transitions: np.ndarray) -> tuple[list[n
         y = e[t + 1, :a] * b[t + 1, :a]
         x = y @ trans.T
         both = f[t, :a, :, None] * trans[None] * y[:, None, :]
-        pairs += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        pairs += (both * (weight[:a] / both.sum(axis=(1, 2)))[:, None, None]).sum(axis=0)
         b[t, :a] = x / x.sum(axis=1, keepdims=True)
     p = f * b
     p /= np.maximum(p.sum(axis=2, keepdims=True), 1e-300)
-    out: list[np.ndarray] = [np.zeros((0, 2))] * m
+    out, partition = [np.zeros((0, 2))] * m, np.zeros(m)
     for k, i in enumerate(order):
-        out[i] = p[: n[k], k]
-    return out, pairs
+        out[i], partition[i] = p[: n[k], k], log_z[k]
+    return out, pairs, partition
 
 
-def fit(rows: list[tuple[str, int]], rounds: int = 40, rate: float = 0.1, decay: float = 1e-3) -> dict[str, np.ndarray]:
-    """Weights of the features and transitions, and the calibration. The likelihood's gradient is observed less expected
-    counts; the observed labels of all lines are those of the document."""
+#: Penalty of the squared weights and transitions.
+DECAY = 1e-3
+
+
+class Likelihood:
+    """The penalised, weighted log likelihood of chains whose lines all have the chain's label."""
+
+    def __init__(self, chains: list[np.ndarray], labels: list[int]):
+        self.x, self.y = np.concatenate(chains).astype(np.float64), np.array(labels)
+        self.bounds = np.cumsum([0] + [len(c) for c in chains])
+        size = np.diff(self.bounds)
+        # A chain counts once, however long; classes count alike.
+        self.weight = 1 / size
+        for value in (0, 1):
+            self.weight[self.y == value] /= max(1, (self.y == value).sum())
+        self.observed = np.eye(2)[np.repeat(self.y, size)]
+        self.line_weight = np.repeat(self.weight, size)[:, None]
+        self.seen = np.diag([((size - 1) * self.weight)[self.y == value].sum() for value in (0, 1)])
+
+    def __call__(self, w: np.ndarray, t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Its value, and its gradients by the features' weights and by the transitions."""
+        s = self.x @ w
+        p, pairs, log_z = marginals([s[a:b] for a, b in zip(self.bounds[:-1], self.bounds[1:], strict=True)], t, self.weight)
+        value = (self.line_weight * self.observed * s).sum() + (self.seen * t).sum() - self.weight @ log_z - DECAY / 2 * ((w * w).sum() + (t * t).sum())
+        return value, self.x.T @ ((self.observed - np.concatenate(p)) * self.line_weight) - DECAY * w, self.seen - pairs - DECAY * t
+
+
+def fit(rows: list[tuple[str, int]], rounds: int = 60, rate: float = 0.1) -> dict[str, np.ndarray]:
+    """Weights of the features and transitions, and the calibration."""
     chains, labels, texts = [], [], []
     for text, label in rows:
         own, weight = line_features(text)
@@ -160,24 +193,13 @@ def fit(rows: list[tuple[str, int]], rounds: int = 40, rate: float = 0.1, decay:
     model = {"w": np.zeros((WIDTH, 2)), "t": np.zeros((2, 2)), "cut": np.array([0.0, 1.0])}
     if len(set(labels)) < 2:
         return model
-    flat, y = np.concatenate(chains).astype(np.float64), np.repeat(labels, [len(c) for c in chains])
-    # A chain counts once, however long; classes count alike.
-    share = np.concatenate([np.full(len(c), 1 / len(c)) for c in chains])
-    for value in (0, 1):
-        share[y == value] /= share[y == value].sum()
-    observed = np.eye(2)[y]
-    bounds = np.cumsum([0] + [len(c) for c in chains])
-    seen = np.zeros((2, 2))
-    for c, label in zip(chains, labels, strict=True):
-        seen[label, label] += len(c) - 1
+    likelihood = Likelihood(chains, labels)
     first, second = {k: np.zeros_like(model[k]) for k in "wt"}, {k: np.zeros_like(model[k]) for k in "wt"}
     for step in range(1, rounds + 1):
-        s = flat @ model["w"]
-        p, pairs = marginals([s[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], model["t"])
-        gradient = {"w": flat.T @ ((observed - np.concatenate(p)) * share[:, None]) - decay * model["w"], "t": (seen - pairs) / max(1, seen.sum()) - 0.1 * model["t"]}
-        for k in "wt":
-            first[k] = 0.9 * first[k] + 0.1 * gradient[k]
-            second[k] = 0.99 * second[k] + 0.01 * gradient[k] ** 2
+        _, *gradient = likelihood(model["w"], model["t"])
+        for k, g in zip("wt", gradient, strict=True):
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.99 * second[k] + 0.01 * g**2
             model[k] = model[k] + rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
     raw = np.array([document_scores([x @ model["w"]], [w], model["t"])[0] for x, w, _ in texts])
     model["cut"] = calibration(raw, np.array([label for *_, label in texts]))
@@ -206,7 +228,7 @@ def document_scores(scores: list[np.ndarray], weights: list[np.ndarray], transit
     out = np.full(len(scores), np.nan)
     some = [i for i, s in enumerate(scores) if len(s)]
     if some:
-        p, _ = marginals([scores[i] for i in some], transitions)
+        p = marginals([scores[i] for i in some], transitions)[0]
         for i, q in zip(some, p, strict=True):
             out[i] = float(q[:, 1] @ weights[i] / weights[i].sum())
     return out
@@ -232,6 +254,28 @@ def score_texts(df: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def line_labels(df: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+    """doc_id, line (its number in the text, from 0), good (probability) and label of every line that has a word."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 19):
+                ids, lines, scores = [], [], []
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    own, _ = line_features(text or "")
+                    if len(own):
+                        scores.append(with_neighbours(own) @ m["w"])
+                        ids += [doc] * len(own)
+                        lines += [i for i, line in enumerate(text.split("\n")) if _WORD.search(line)]
+                if ids:
+                    good = np.concatenate(marginals(scores, m["t"])[0])[:, 1]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32()), pa.array(good), pa.array((good >= 0.5).astype(np.int32))], names=["doc_id", "line", "good", "label"])
+
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, line int, good double, label int")
+
+
 def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; rows whose remainder is 0 are held out of the fit."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -1,14 +1,15 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A text's words stand in overlapping windows. Each step's input is the word's embedding (by hash) beside the mean
-embedding of its character n-grams, so inflected and unseen forms of a word are near it. Two GRUs read the window
-forwards and backwards, attention pools their states, and a logistic unit scores the window. A text scores as its
-worst window: every window of every text is read.
+A text's words stand in windows of ``WINDOW`` words that start every ``STRIDE`` words, half a window. Each step's input is the
+word's embedding (by hash) beside the mean embedding of its character n-grams, so inflected and unseen forms of a word are
+near it. Two GRUs read the window forwards and backwards, attention pools their states, and a logistic unit scores the
+window. A text scores as its worst window: every window of every text is read.
 
-Only documents are labelled, so a toxic document's worst window under the current model stands for it in training
-(first, the one with the most telling n-grams), against windows of other documents, the worst ones among them. The fit
+Only documents are labelled. The embeddings start from a plain descent on whole texts; then a toxic document's worst window
+under the current model stands for it in training, against windows of other documents, the worst ones among them. The fit
 uses a bounded sample of labelled rows (``SAMPLE`` of each class). A calibration puts 0.3 between the classes. Texts
-without words (null, empty) score ``EMPTY_SCORE``. Rows are scored one by one, so repeated rows score alike.
+without words (null, empty) score ``EMPTY_SCORE``. Rows are scored one by one, so repeated rows score alike; null ids stay
+null; columns but doc_id and text, of whatever name, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,23 +25,23 @@ from platewise.llm.common import ALNUM_SEPARATORS, mix, slices, span_hashes, wor
 from platewise.llm.labelled import remainder, training_sample
 
 #: At most so many training rows of each class.
-SAMPLE = 600
+SAMPLE = 800
 THRESHOLD = 0.3
 EMPTY_SCORE = 0.0
-WINDOW, STRIDE = 64, 48
-WORD_ROWS, GRAM_ROWS = 1 << 16, 1 << 16
-#: Rows of the n-grams' log odds: many and of one byte each, as a telling n-gram should share its row with no other.
-ODDS_ROWS, ODDS_UNIT = 1 << 22, 1 / 16
-WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 6, 10, 8, 8
-INPUT = WORD_DIM + GRAM_DIM + 1
+WINDOW, STRIDE = 64, 32
+WORD_ROWS, GRAM_ROWS = 1 << 16, 1 << 18
+WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 6, 8, 8, 8
+INPUT = WORD_DIM + GRAM_DIM
 #: Lengths of the n-grams in bytes, and of the word's beginnings (with its ``^``).
 GRAMS, HEADS = (3, 4, 5), (5, 6, 7, 8, 9)
 #: Windows that a task scores at a time.
 BATCH = 1024
-#: Texts that are added to each count of the log odds.
-PRIOR = 2.0
+#: Steps, step size of the bias, and that of the rows in terms of it, in the descent that starts the embeddings.
+WARM_STEPS, WARM_RATE, WARM_SCALE = 100, 2.0, 300.0
+#: What the warm start is divided by, to be of the size of the network's other inputs.
+LEAD = 4.0
 #: Step sizes of the weights and of the embeddings, by Adam.
-RATE, TABLE_RATE = 0.01, 0.002
+RATE, TABLE_RATE = 0.01, 0.0005
 
 
 # --- inputs ---------------------------------------------------------------------------------------------------
@@ -79,30 +80,29 @@ class Inputs:
             h = np.full(len(starts), n, np.uint64)
             for j in range(n):
                 h = h * np.uint64(1_000_003) + np.where(left[starts] > j, padded[np.minimum(starts + j, len(padded) - 1)], np.uint64(0))
-            rows.append((mix(h) % np.uint64(ODDS_ROWS)).astype(np.int64))
+            rows.append((mix(h) % np.uint64(GRAM_ROWS)).astype(np.int64))
             owners.append(form[starts])
         for n in HEADS:
             starts = at[:-1][size > n]
             h = np.full(len(starts), 100 + n, np.uint64)
             for j in range(1, n):
                 h = h * np.uint64(1_000_003) + padded[starts + j]
-            rows.append((mix(h) % np.uint64(ODDS_ROWS)).astype(np.int64))
+            rows.append((mix(h) % np.uint64(GRAM_ROWS)).astype(np.int64))
             owners.append(form[starts])
         owner, row = np.concatenate(owners), np.concatenate(rows)
         order = np.argsort(owner, kind="stable")
         return row[order], np.searchsorted(owner[order], np.arange(len(size) + 1))
 
     def embedded(self, model: dict[str, np.ndarray], forms: np.ndarray | None = None) -> np.ndarray:
-        """(forms, INPUT): the network's inputs for all forms, or for the given ones: the word's row, the mean row of its
-        n-grams, and the most telling n-gram's log odds."""
+        """(forms, INPUT): the network's inputs for all forms, or for the given ones: the word's row, and the mean row of its
+        n-grams."""
         words, grams, cut = self.word_row, self.gram_row, self.gram_cut
         if forms is not None:
             words, (grams, cut) = words[forms], self.grams_of(forms)
         out = np.zeros((len(words), INPUT), np.float32)
         if len(out):
             out[:, :WORD_DIM] = model["words"][words]
-            out[:, WORD_DIM:-1] = np.add.reduceat(model["grams"][grams % GRAM_ROWS], cut[:-1], axis=0) / np.diff(cut)[:, None]
-            out[:, -1] = np.maximum.reduceat(model["odds"][grams], cut[:-1]) * ODDS_UNIT
+            out[:, WORD_DIM:] = np.add.reduceat(model["grams"][grams], cut[:-1], axis=0) / np.diff(cut)[:, None]
         return out
 
     def grams_of(self, forms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,16 +220,30 @@ def add_rows(size: int, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 # --- training -------------------------------------------------------------------------------------------------
-def log_odds(inputs: Inputs, labels: np.ndarray, rows: np.ndarray, cut: np.ndarray, size: int) -> np.ndarray:
-    """For each embedding row, the log odds that a text which has it is toxic, near 0 for rows in few texts."""
-    counts = np.zeros((2, size))
-    for value in (0, 1):
-        for i in np.flatnonzero(labels == value):
-            forms = np.unique(inputs.form[inputs.bounds[i] : inputs.bounds[i + 1]])
-            counts[value, np.unique(np.concatenate([rows[cut[f] : cut[f + 1]] for f in forms]))] += 1 if len(forms) else 0
-    n = np.bincount(labels, minlength=2)
-    odds = np.log((counts[1] + PRIOR) / (n[1] + PRIOR)) - np.log((counts[0] + PRIOR) / (n[0] + PRIOR))
-    return odds.astype(np.float32)
+def warm_start(inputs: Inputs, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One number for each row of both tables, by gradient descent on the labels of whole texts: a form's score is its word's
+    number and the mean of its n-grams', a text's logit the log of the mean exponent of its forms' scores. Plain descent moves
+    a row by how many texts agree on it, so rows of single texts stay near zero."""
+    words, grams, bias = np.zeros(WORD_ROWS), np.zeros(GRAM_ROWS), 0.0
+    size = np.diff(inputs.gram_cut)
+    gram_form = np.repeat(np.arange(len(size)), size)
+    text = np.repeat(np.arange(len(labels)), np.diff(inputs.bounds))
+    pairs = np.unique(text.astype(np.int64) * len(size) + inputs.form)
+    text, form = pairs // len(size), pairs % len(size)
+    some, first, count = np.unique(text, return_index=True, return_counts=True)
+    y = labels[some]
+    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    for _ in range(WARM_STEPS):
+        score = words[inputs.word_row] + np.add.reduceat(grams[inputs.gram_row], inputs.gram_cut[:-1]) / size
+        e = np.exp(score[form])
+        total = np.add.reduceat(e, first)
+        logit = bias + np.log(total / count)
+        slope = weight * (y - 1 / (1 + np.exp(-logit)))
+        by_form = np.bincount(form, np.repeat(slope / total, count) * e, len(size))
+        bias += WARM_RATE * slope.sum()
+        words += WARM_RATE * WARM_SCALE * np.bincount(inputs.word_row, by_form, WORD_ROWS)
+        grams += WARM_RATE * WARM_SCALE * np.bincount(inputs.gram_row, (by_form / size)[gram_form], GRAM_ROWS)
+    return words, grams
 
 
 def start_model(seed: int = 7) -> dict[str, np.ndarray]:
@@ -237,7 +251,7 @@ def start_model(seed: int = 7) -> dict[str, np.ndarray]:
     normal = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
     model = {"wf": normal(d, 3 * HIDDEN), "wb": normal(d, 3 * HIDDEN), "uf": normal(HIDDEN, 3 * HIDDEN), "ub": normal(HIDDEN, 3 * HIDDEN)}
     model |= {"bf": np.zeros(3 * HIDDEN, np.float32), "bb": np.zeros(3 * HIDDEN, np.float32), "wa": normal(2 * HIDDEN, ATTENTION), "ba": np.zeros(ATTENTION, np.float32), "va": normal(ATTENTION), "wo": normal(2 * HIDDEN), "bo": np.zeros(1, np.float32)}
-    return model | {"words": np.zeros((WORD_ROWS, WORD_DIM), np.float32), "grams": np.zeros((GRAM_ROWS, GRAM_DIM), np.float32), "odds": np.zeros(ODDS_ROWS, np.int8), "cut": np.array([0.0], np.float32)}
+    return model | {"words": np.zeros((WORD_ROWS, WORD_DIM), np.float32), "grams": np.zeros((GRAM_ROWS, GRAM_DIM), np.float32), "cut": np.array([0.0], np.float32)}
 
 
 def window_logits(inputs: Inputs, model: dict[str, np.ndarray]) -> np.ndarray:
@@ -258,7 +272,7 @@ def worst(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def fit(rows: list[tuple[str, int]], epochs: int = 20, batch: int = 256, seed: int = 7) -> dict[str, np.ndarray]:
+def fit(rows: list[tuple[str, int]], epochs: int = 12, batch: int = 256, seed: int = 7) -> dict[str, np.ndarray]:
     """Weights, embeddings and calibration from (text, label) rows; the same rows give the same model."""
     # Every fourth row of a class is kept for the calibration.
     place = {y: iter(range(len(rows))) for y in (0, 1)}
@@ -268,22 +282,18 @@ def fit(rows: list[tuple[str, int]], epochs: int = 20, batch: int = 256, seed: i
     if len(set(labels.tolist())) < 2:
         return model
     inputs, rng = Inputs(pa.array([t for t, _ in rows])), np.random.default_rng(seed)
-    forms = len(inputs.word_row)
-    word_odds = log_odds(inputs, labels, inputs.word_row, np.arange(forms + 1), WORD_ROWS)
-    gram_odds = log_odds(inputs, labels, inputs.gram_row, inputs.gram_cut, ODDS_ROWS)
-    model["odds"] = np.clip(np.round(gram_odds / ODDS_UNIT), -127, 127).astype(np.int8)
-    # Rows of the sample start at random, led by their log odds; others stay at zero.
-    for table, odds, used in (("words", word_odds, inputs.word_row), ("grams", gram_odds, inputs.gram_row)):
+    words, grams = warm_start(inputs, labels)
+    # Rows of the sample start at random, led by the warm start; others stay at zero.
+    for table, lead, used in (("words", words, inputs.word_row), ("grams", grams, inputs.gram_row)):
         used = np.unique(used)
-        rows, size = used % len(model[table]), model[table].shape[1]
-        model[table][np.unique(rows)] = rng.normal(0, 0.05, (len(np.unique(rows)), size))
-        model[table][rows, 0] = odds[used] / 3
-    telling = np.maximum(inputs.embedded(model)[:, -1], word_odds[inputs.word_row])
-    first = np.concatenate([[0], np.cumsum(np.maximum(telling[inputs.form] - 1, 0))])
+        model[table][used] = rng.normal(0, 0.05, (len(used), model[table].shape[1]))
+        model[table][used, 0] = lead[used] / LEAD
+    telling = inputs.embedded(model)[:, [0, WORD_DIM]].sum(axis=1)
+    first = np.concatenate([[0], np.cumsum(np.maximum(telling[inputs.form], 0) ** 2)])
     values = first[inputs.start + inputs.length] - first[inputs.start]
     toxic_text = np.flatnonzero(labels == 1)
     clean_windows = np.flatnonzero(labels[inputs.owner] == 0)
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.items() if k not in ("cut", "odds")}
+    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.items() if k != "cut"}
     step = 0
     for epoch in range(epochs):
         if epoch and epoch % 4 == 0:
@@ -310,7 +320,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = 20, batch: int = 256, seed: i
             rows, cut = inputs.grams_of(used)
             sizes = np.diff(cut)
             g["words"] = add_rows(WORD_ROWS, inputs.word_row[used], dx[:, :WORD_DIM])
-            g["grams"] = add_rows(GRAM_ROWS, rows % GRAM_ROWS, np.repeat(dx[:, WORD_DIM:-1] / sizes[:, None], sizes, axis=0))
+            g["grams"] = add_rows(GRAM_ROWS, rows, np.repeat(dx[:, WORD_DIM:] / sizes[:, None], sizes, axis=0))
             step += 1
             for k, (m1, m2) in moments.items():
                 m1 *= 0.9
