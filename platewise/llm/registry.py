@@ -33,6 +33,7 @@ ORACLES = {
     "op3_warc": warc.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op6_chat_format": chat_format.ORACLE,
+    "op7_license_scan": license_scan.ORACLE,
     "op8_ngram_join": ngram_join.ORACLE,
     "op10_decontamination": decontamination.ORACLE,
 }
