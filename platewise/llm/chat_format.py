@@ -5,9 +5,11 @@ and the reserved ids spliced between them, so no text can ever produce a reserve
 the prefix sums of the segments' token counts. Control strings in a text are escaped: every ``<``, backslashes,
 ``|`` gets one backslash more, which unescaping takes away again.
 
-Conversations are dealt by id and sorted by turn; tasks stream, so a very long conversation needs no more
-memory than a short one. Null texts and roles count as empty. Null ids form one conversation; equal turns of a
-conversation are ordered by role and text; repeated rows stay.
+Turns are encoded, and decoded again, where they are read, so a conversation with a large part of all rows is spread over tasks;
+only the digest of a conversation, which must be taken in order, streams through one task, sorted by turn, with two
+running hashes as its state. Null texts and roles count as empty. Null ids form one conversation; equal turns of a
+conversation are ordered by role and text; repeated rows stay; other columns, of whatever name, are not read; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -53,6 +55,8 @@ def encoding(vocabulary: str):
 
     with open(public_tokenizers.path(vocabulary), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if max(ranks.values()) >= IM_START:
+        raise ValueError(f"{vocabulary} uses the ids reserved for control tokens")
     return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -73,86 +77,98 @@ def assemble(roles: list[str], texts: list[str], enc) -> tuple[list[np.ndarray],
 FORMATTED = T.StructType([
     T.StructField("conv_id", T.LongType()),
     T.StructField("turn", T.LongType()),
-    T.StructField("token_start", T.LongType()),
     T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
     T.StructField("loss_mask", T.ArrayType(T.ByteType(), False)),
 ])
 
 
 def format_chat(df: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", loss_role: str = "assistant") -> DataFrame:
-    """Turns (conv_id, turn, role, text) to their tokens, in order within a partition that holds whole
-    conversations: conv_id, turn, token_start (tokens of the conversation's earlier turns), ids, and loss_mask
-    (1 on the content of ``loss_role``)."""
+    """Turns (conv_id, turn, role, text) to their tokens: conv_id, turn, ids, and loss_mask (1 on the content of ``loss_role``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, current, before = encoding(vocabulary), object(), 0
+        enc = encoding(vocabulary)
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 batch = whole.slice(i, 256)
-                conv, turn, role, text = (batch.column(k).to_pylist() for k in range(4))
+                role, text = batch.column(2).to_pylist(), batch.column(3).to_pylist()
                 ids, spans = assemble(role, text, enc)
-                starts, masks = [], []
-                for c, x, r, (a, b) in zip(conv, ids, role, spans, strict=True):
-                    before = before if c == current else 0
-                    current = c
-                    starts.append(before)
-                    before += len(x)
+                masks = []
+                for x, r, (a, b) in zip(ids, role, spans, strict=True):
                     mask = np.zeros(len(x), np.int8)
                     mask[a:b] = r == loss_role
                     masks.append(mask)
                 bounds = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(starts, pa.int64()), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(ids))), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(masks)))],
-                    names=FORMATTED.names,
+                    [batch.column(0), batch.column(1), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(ids))), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(masks)))], names=FORMATTED.names
                 )
 
     turns = df.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, FORMATTED)
+    return turns.mapInArrow(run, FORMATTED)
+
+
+def read_turns(formatted: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """What each turn's tokens say: conv_id, turn, role, text, loss (the text under the mask, null without one), and chars (of
+    the formatted turn)."""
+    names = ["conv_id", "turn", "role", "text", "loss", "chars"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(vocabulary)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                batch = whole.slice(i, 256)
+                roles, texts, losses, chars = [], [], [], []
+                for ids, mask in zip(batch.column(2), batch.column(3), strict=True):
+                    x, mask = ids.values.to_numpy(), mask.values.to_numpy()
+                    cuts = np.flatnonzero((x == IM_START) | (x == IM_END))
+                    head, _, text = enc.decode(x[cuts[0] + 1 : cuts[1]].tolist()).partition("\n")
+                    roles.append(unescape_role(head))
+                    texts.append(unescape(text))
+                    losses.append(unescape(enc.decode(x[mask == 1].tolist())) if mask.any() else None)
+                    chars.append(sum(len(CONTROL[int(x[i])]) for i in cuts) + len(enc.decode(x[(x != IM_START) & (x != IM_END)].tolist())))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.string()) for c in (roles, texts, losses)), pa.array(chars, pa.int64())], names=names)
+
+    return formatted.mapInArrow(run, "conv_id long, turn long, role string, text string, loss string, chars long")
 
 
 def chat_digests(formatted: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """What the output of :func:`format_chat` says, read back from the tokens alone, by conversation."""
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, state, done = encoding(vocabulary), None, []
+        state, done = None, []
 
         def close():
             if state is not None:
                 done.append((state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5]))
 
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-
         def flush():
             columns = list(zip(*done, strict=True)) or [[]] * len(names)
             done.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-        for batch in batches:
-            conv = batch.column(0).to_pylist()
-            ids, masks = batch.column(3), batch.column(4)
-            for k, c in enumerate(conv):
-                x = ids[k].values.to_numpy()
-                mask = masks[k].values.to_numpy()
-                if state is None or state[0] != c:
-                    close()
-                    state = [c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                cuts = np.flatnonzero((x == IM_START) | (x == IM_END))
-                head, _, text = enc.decode(x[cuts[0] + 1 : cuts[1]].tolist()).partition("\n")
-                role, text = unescape_role(head), unescape(text)
-                state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode())
-                state[5] += sum(len(CONTROL[int(x[i])]) for i in cuts) + len(enc.decode(x[(x != IM_START) & (x != IM_END)].tolist()))
-                if mask.any():
-                    loss = unescape(enc.decode(x[mask == 1].tolist()))
-                    state[3] += len(loss)
-                    state[4].update(loss.encode())
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                for c, role, text, loss, chars in zip(*(whole.slice(i, 1024).column(k).to_pylist() for k in (0, 2, 3, 4, 5)), strict=True):
+                    if state is None or state[0] != c:
+                        close()
+                        state = [c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    state[1] += 1
+                    state[2].update(f"{role}\n{text}\n".encode())
+                    if loss is not None:
+                        state[3] += len(loss)
+                        state[4].update(loss.encode())
+                    state[5] += chars
             yield flush()
         close()
         yield flush()
 
-    return formatted.mapInArrow(run, schema)
+    turns = read_turns(formatted, vocabulary)
+    # A loss that is the turn's text is not sent twice.
+    turns = turns.withColumn("same", F.col("loss") == F.col("text")).withColumn("loss", F.when(~F.col("same"), F.col("loss")))
+    dealt = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    dealt = dealt.select("conv_id", "turn", "role", "text", F.when(F.col("same"), F.col("text")).otherwise(F.col("loss")).alias("loss"), "chars")
+    return dealt.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
