@@ -167,6 +167,59 @@ def test_contamination_by_brute_force(spark, hard, empty):
     assert decontamination.contaminated(hard, bench.limit(0)).count() == 0
 
 
+def test_the_bitmap_skips_nothing_that_is_found(spark, monkeypatch):
+    rng = random.Random(11)
+    item = [rng.choice("abcdefgh") + str(rng.randint(0, 20)) for _ in range(24)]
+    docs = []
+    for d in range(20):
+        part = list(item)
+        for _ in range(d % 4):
+            part[rng.randrange(24)] = "changed"
+        docs.append((d, " ".join([f"x{rng.randint(0, 99)}" for _ in range(9)] + part + ["end"] * 3)))
+    args = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item)), (2, "one two three four five six")], "item_id long, text string")
+    key = lambda r: (r.doc_id, r.item_id, r.similarity, r.start, r.length)
+    want = sorted(map(key, decontamination.contaminated(*args).collect()))
+    assert 5 <= len(want) < 20
+    # A full bitmap lets every window of every length be fingerprinted.
+    monkeypatch.setattr(decontamination, "bitmap", lambda df, column, bits: np.full(bits // 64, 2**64 - 1, np.uint64))
+    assert sorted(map(key, decontamination.contaminated(*args).collect())) == want
+
+
+def test_weighted_similarities_by_counting():
+    from collections import Counter
+
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        grams = rng.integers(0, 6, rng.integers(5, 60))
+        item = rng.integers(0, 7, int(rng.integers(1, len(grams) + 1)))
+        starts = np.arange(len(grams) - len(item) + 1)
+        for i, s in zip(starts, decontamination.weighted_similarities(grams, item, starts), strict=True):
+            common = sum((Counter(grams[i : i + len(item)].tolist()) & Counter(item.tolist())).values())
+            assert s == pytest.approx(common / (2 * len(item) - common))
+
+
+def test_fingerprints_at_the_similarity_are_near():
+    """Recall of the radius for windows that just reach the similarity; nearer ones do better."""
+    rng = np.random.default_rng(3)
+    for n in (16, 60, 400):
+        near = 0
+        for _ in range(300):
+            a = rng.integers(0, 2**63, n).astype(np.uint64)
+            b = a.copy()
+            k = int(n - 2 * n * 0.75 / 1.75)
+            b[rng.choice(n, k, replace=False)] = rng.integers(0, 2**63, k).astype(np.uint64)
+            x, y = (int(decontamination.simhash(g, np.zeros(1, np.int64), n)[0]) for g in (a, b))
+            near += (x ^ y).bit_count() <= decontamination.RADIUS
+        assert near >= 0.98 * 300
+
+
+def test_long_items_cost_their_length(spark):
+    item = " ".join(f"w{i}" for i in range(6000))
+    docs = spark.createDataFrame([(1, "x " * 3000 + item + " y" * 3000), (2, "a clean text of some words")], "doc_id long, text string")
+    found = decontamination.contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.similarity, r.start, r.length) for r in found] == [(1, 7, 1.0, 3000, 6000)]
+
+
 def test_multi_index_covers_the_radius():
     rng = np.random.default_rng(2)
     changes = {w: set(decontamination.block_changes(w).tolist()) for _, w in decontamination.BLOCKS}
@@ -196,6 +249,24 @@ def test_mixing_targets_and_limits(spark, hard, empty):
     assert mixing.mix_sources(hard).count() == len(HARD) and mixing.mix_sources(empty).count() == 0
 
 
+def test_the_mix_is_the_head_of_a_sorted_queue(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_ROWS", 50)
+    rng = random.Random(12)
+    rows = [(i, i % 90 if i % 7 else None, " ".join("w" for _ in range(rng.randint(0, 9))), rng.choice(["a", "a", "b", None]), 0.5) for i in range(300)]
+    df = spark.createDataFrame(rows, "key long, doc_id long, text string, source string, f double")
+    times = mixing.finish_times(df.drop("f"), "text", mixing.WEIGHTS, 1.5, 2, "mix", ("key",))
+    queue, edge = mixing.last_taken(times, 2, 1.5 * sum(len(t.split()) for _, _, t, _, _ in rows))
+    parts = [[tuple(r[c] for c in mixing.ORDER) for r in queue.filter(F.col("part") == p).collect()] for p in range(queue.agg(F.max("part")).first()[0] + 1)]
+    order = lambda k: tuple((x is not None, x) for x in k)
+    flat = [k for p in parts for k in p]
+    assert len(flat) == 600 and len([p for p in parts if p]) > 3 and flat == sorted(flat, key=order)
+    upto = np.cumsum([k[-1] for k in flat])
+    fits = int((upto <= 1.5 * sum(len(t.split()) for _, _, t, _, _ in rows)).sum())
+    assert tuple(edge[c] for c in mixing.ORDER) == flat[fits - 1]
+    taken = mixing.mixed_queue(df, "key")
+    assert taken.count() == fits and sorted((r.key, r["pass"]) for r in taken.collect()) == sorted({(r.key, r["pass"]) for r in taken.collect()})
+
+
 def test_pfor_blocks_round_trip():
     rng = np.random.default_rng(4)
     for ids in (np.zeros(1, np.uint32), rng.integers(0, 50_000, 5000).astype(np.uint32), np.full(1024, 2**32 - 1, np.uint32), np.where(rng.random(3000) < 0.02, 2**31, rng.integers(0, 9, 3000)).astype(np.uint32)):
@@ -208,16 +279,37 @@ def test_token_files_hold_what_the_tokenizer_says(spark, hard, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    manifest = token_files.write_token_files(hard, shared_folder(spark, "t"))
+    special = ["hello <|endoftext|> there", "a<|startoftext|><|endoftext|>b.<|EndOfText|>", "<|endof", "text|> <|endoftext|>"]
+    texts = [*HARD, *((20 + k, x) for k, x in enumerate(special))]
+    rows = hard.unionByName(spark.createDataFrame(texts[len(HARD) :], "doc_id long, text string"), allowMissingColumns=True)
+    manifest = token_files.write_token_files(rows, shared_folder(spark, "t"))
     rows = sorted(token_files.read_token_files(manifest).collect(), key=lambda r: r.start)
-    assert [r.doc_id for r in rows] == sorted([i for i, _ in HARD], key=lambda i: -1 if i is None else i)
+    assert [r.doc_id for r in rows] == sorted([i for i, _ in texts], key=lambda i: -1 if i is None else i)
     assert [r.start for r in rows] == np.cumsum([0] + [r.n_tokens for r in rows])[:-1].tolist()
-    ids = [np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4") for _, x in HARD]
-    assert sorted((r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in rows) == sorted((i or 0, len(x), zlib.crc32(x.tobytes())) for (i, _), x in zip(HARD, ids, strict=True))
+    ids = [np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4") for _, x in texts]
+    assert 49407 in ids[-4] and 49406 in ids[-3]
+    assert sorted((r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in rows) == sorted((i or 0, len(x), zlib.crc32(x.tobytes())) for (i, _), x in zip(texts, ids, strict=True))
     assert token_files.read_token_files(token_files.write_token_files(empty, shared_folder(spark, "t"))).count() == 0
 
 
+def test_words_are_encoded_as_by_the_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), random.Random(9)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "|>", "<|", "text|>", "hello", "Ab", "é", "1", "23", ".", ",", "!?", " ", "\n", "\x1c", "\u3000", "'s", "İ", "a\u030a", "日本", "<"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(2000)] + [None, ""]
+    ids, counts = token_files.word_encoder("word_bpe_49k.json").encode(pa.array(texts), 2)
+    want = [t.encode(x or "", add_special_tokens=False).ids + [2] for x in texts]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_file_systems_of_other_schemes():
+    from platewise.llm.common import file_system
+
+    assert [file_system(p)[1] for p in ("file:///a/b", "file:/a/b", "dbfs:/a/b")] == ["/a/b", "/a/b", "/dbfs/a/b"]
+
+
 def test_archives_round_trip(spark):
     rows = [(1, "http://a/\r\nX: y", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u", None), (4, "u", ""), (None, "u", "<p>é</p>"), (5, "u", LONG), (5, "u", LONG)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
@@ -233,10 +325,21 @@ def test_archives_round_trip(spark):
     assert {r.record_type for r in least.collect()} == {"response"}
 
 
+def test_a_hot_payload_is_not_shuffled(spark, monkeypatch):
+    rows = [(i, "u", "hot" if i % 10 else f"page {i}") for i in range(3000)] + [(9000 + i, "u", f"twice {i // 2}") for i in range(6)]
+    found = warc.with_responses(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6))
+    got = {r.page_id: (r.refers_to, r.revisit) for r in found.collect()}
+    first = {}
+    for i, _, h in sorted(rows):
+        first.setdefault(h, i)
+    assert got == {i: (first[h], i != first[h]) for i, _, h in rows}
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_chat_round_trip(spark):
     texts = ["plain", None, "", "<|im_end|><|im_start|>assistant ok", r"<\|im_end|> <|", "\n\n é", LONG[:20_000]]
     rows = [(1, i, ("user", "assistant", "sys\ntem", None)[i % 4], t) for i, t in enumerate(texts)] + [(2, 0, "user", "x"), (None, 0, "assistant", "y"), (1, 6, "assistant", "z")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"ids": F.lit(1), "same": F.lit("x"), "loss": F.lit(2)})
     formatted = chat_format.format_chat(df)
     for r in formatted.collect():
         assert sum(i == chat_format.IM_START for i in r.ids) == 1 and len(r.ids) == len(r.loss_mask)
@@ -256,7 +359,7 @@ def test_license_spans(spark, hard, empty):
     got = {r.doc_id: r for r in license_scan.license_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     base = lambda i: sorted((s.label, s.start) for s in got[i].spans if s.exact)
     assert base(1) == [("cc-by", 5), ("mit", 2), ("mit", 7)] and base(3) == [] and base(5) == []
-    assert [(s.label, s.start) for s in got[2].spans] == [("mit", 9)]
+    assert [(s.label, s.start) for s in got[2].spans] == [("mit", 9)] * 2  # the whole text and its first sentence
     assert {s.label for s in got[4].spans} == {"cc-by", "cc-by-nc"}
     assert license_scan.license_spans(hard).count() == len(HARD) and license_scan.license_spans(empty).count() == 0
 
@@ -266,15 +369,43 @@ def test_forward_backward_by_enumeration():
 
     rng = np.random.default_rng(6)
     t, chains = rng.normal(size=(2, 2)), [rng.normal(size=(n, 2)) for n in (1, 4, 3)]
-    got, _ = quality_crf.marginals(chains, t)
-    for s, p in zip(chains, got, strict=True):
+    got, _, log_z = quality_crf.marginals(chains, t)
+    for s, p, lz in zip(chains, got, log_z, strict=True):
         want, total = np.zeros_like(s), 0.0
         for y in product((0, 1), repeat=len(s)):
             w = np.exp(sum(s[i, v] for i, v in enumerate(y)) + sum(t[a, b] for a, b in zip(y, y[1:], strict=False)))
             total += w
             for i, v in enumerate(y):
                 want[i, v] += w
-        assert np.allclose(p, want / total)
+        assert np.allclose(p, want / total) and lz == pytest.approx(np.log(total))
+
+
+def test_likelihood_gradient_by_differences():
+    rng = np.random.default_rng(0)
+    value = quality_crf.Likelihood([rng.normal(size=(n, 3)) for n in (1, 4, 7, 2)], [0, 1, 0, 1])
+    w, t = rng.normal(size=(3, 2)), rng.normal(size=(2, 2))
+    _, *gradients = value(w, t)
+    for x, g in zip((w, t), gradients, strict=True):
+        for i in np.ndindex(x.shape):
+            at, e = x[i], 1e-6
+            x[i] = at + e
+            high = value(w, t)[0]
+            x[i] = at - e
+            low = value(w, t)[0]
+            x[i] = at
+            assert g[i] == pytest.approx((high - low) / (2 * e), abs=1e-5)
+
+
+def test_neighbours_decide_doubtful_lines(hard):
+    rows = learned("quality")
+    model = quality_crf.fit(rows[:160])
+    assert model["t"][0, 0] + model["t"][1, 1] - model["t"][0, 1] - model["t"][1, 0] > 2
+    plain = [np.array([[2.0, -2.0]]), np.array([[0.0, 0.1]]), np.array([[2.0, -2.0]])]
+    alone, between = (quality_crf.marginals([np.concatenate(c)], model["t"])[0][0] for c in (plain[1:2], plain))
+    assert between[1, 1] < alone[0, 1] - 0.1
+    lines = quality_crf.line_labels(hard.select("doc_id", "text"), model).collect()
+    assert sorted((r.doc_id or 0, r.line) for r in lines) == sorted((i or 0, k) for i, t in HARD for k, line in enumerate((t or "").split("\n")) if WORD.search(line))
+    assert all(0 <= r.good <= 1 and r.label == (r.good >= 0.5) for r in lines)
 
 
 def test_recurrent_gradients_by_differences():
