@@ -19,9 +19,9 @@ _FULL = """(CASE WHEN aa * bb - ab * ab <= 1e-12 * aa * bb THEN ya * ya / (aa *
 
 
 def _numeric_sql(moments: str, keys: str) -> str:
-    """Both models from the moments of each group, in round numbers."""
-    return f"""SELECT {keys}, round(ya / aa, 6) AS beta_x1_restricted, round((ya * bb - yb * ab) / (aa * bb - ab * ab), 6) AS beta_x1_full,
-  round((yb * aa - ya * ab) / (aa * bb - ab * ab), 6) AS beta_x2, round(ya * ya / (aa * yy), 8) AS r2_restricted, round({_FULL}, 8) AS r2_full FROM ({moments})"""
+    """Both models from the moments of each group, in round numbers: slopes to 4 places, as sums in another order differ beyond."""
+    return f"""SELECT {keys}, round(ya / aa, 4) AS beta_x1_restricted, round((ya * bb - yb * ab) / (aa * bb - ab * ab), 4) AS beta_x1_full,
+  round((yb * aa - ya * ab) / (aa * bb - ab * ab), 4) AS beta_x2, round(ya * ya / (aa * yy), 8) AS r2_restricted, round({_FULL}, 8) AS r2_full FROM ({moments})"""
 
 
 _MOMENTS = """SELECT l_returnflag, l_linestatus, regr_sxx(l_extendedprice, l_quantity) AS aa, regr_sxx(l_extendedprice, l_discount) AS bb, regr_syy(l_extendedprice, l_quantity) AS yy,
@@ -29,7 +29,7 @@ _MOMENTS = """SELECT l_returnflag, l_linestatus, regr_sxx(l_extendedprice, l_qua
 
 
 def _rounded(df, keys):
-    return df.select(*keys, *[F.round(c, 6).alias(c) for c in ("beta_x1_restricted", "beta_x1_full", "beta_x2")], *[F.round(c, 8).alias(c) for c in ("r2_restricted", "r2_full")])
+    return df.select(*keys, *[F.round(c, 4).alias(c) for c in ("beta_x1_restricted", "beta_x1_full", "beta_x2")], *[F.round(c, 8).alias(c) for c in ("r2_restricted", "r2_full")])
 
 
 def _fit(spark, d):
@@ -46,7 +46,7 @@ _CATEGORICAL = """WITH c AS (SELECT l_returnflag, l_linestatus, regr_sxx(l_exten
   l AS (SELECT l_returnflag, l_linestatus, p_brand, regr_sxx(l_extendedprice, l_quantity) AS aa, regr_syy(l_extendedprice, l_quantity) AS yy, regr_sxy(l_extendedprice, l_quantity) AS ya
     FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3),
   i AS (SELECT l_returnflag, l_linestatus, sum(aa) AS aa, sum(yy) AS yy, sum(ya) AS ya FROM l GROUP BY 1, 2)
-SELECT l_returnflag, l_linestatus, round(c.ya / c.aa, 6) AS beta_x1_restricted, round(i.ya / i.aa, 6) AS beta_x1_full, round(c.ya * c.ya / (c.aa * c.yy), 8) AS r2_restricted,
+SELECT l_returnflag, l_linestatus, round(c.ya / c.aa, 4) AS beta_x1_restricted, round(i.ya / i.aa, 4) AS beta_x1_full, round(c.ya * c.ya / (c.aa * c.yy), 8) AS r2_restricted,
   round(1 - (i.yy - i.ya * i.ya / i.aa) / c.yy, 8) AS r2_full FROM c JOIN i USING (l_returnflag, l_linestatus)"""
 
 
@@ -62,8 +62,17 @@ def effect_sizes(spark, d):
     return _fit(spark, d).select(*GROUPS, *[F.round(c, 8).alias(c) for c in ("delta_r2", "partial_r2_x2", "cohen_f2_x2")])
 
 
+def _mixed_sql(source: str, *columns: str) -> str:
+    """Three layers of a query that hash 32-bit columns as the library does."""
+    for _ in range(2):
+        source = f"SELECT * REPLACE ({', '.join(f'(xor({c}, {c} >> 16) * 73244475) & 4294967295 AS {c}' for c in columns)}) FROM ({source})"
+    return f"SELECT * REPLACE ({', '.join(f'xor({c}, {c} >> 16) AS {c}' for c in columns)}) FROM ({source})"
+
+
 def _boot_moments(n_boot: int) -> str:
     """Moments of resamples, drawn as the library draws them."""
+    draws = _mixed_sql("SELECT l_returnflag, l_linestatus, n, idx + 1 AS x FROM s WHERE idx < size", "x")
+    keyed = _mixed_sql("SELECT l_returnflag, l_linestatus, boot_idx, n, xor(x, ('0x' || substr(h, 1, 8))::BIGINT) AS hi, xor(x, ('0x' || substr(h, 9, 8))::BIGINT) AS lo FROM d JOIN m USING (l_returnflag, l_linestatus)", "hi", "lo")
     return f"""SELECT l_returnflag, l_linestatus, boot_idx, n, size, sum(w) AS sw,
     sum(w * a * a) - sum(w * a) * sum(w * a) / sum(w) AS aa, sum(w * b * b) - sum(w * b) * sum(w * b) / sum(w) AS bb, sum(w * y * y) - sum(w * y) * sum(w * y) / sum(w) AS yy,
     sum(w * y * a) - sum(w * y) * sum(w * a) / sum(w) AS ya, sum(w * y * b) - sum(w * y) * sum(w * b) / sum(w) AS yb, sum(w * a * b) - sum(w * a) * sum(w * b) / sum(w) AS ab
@@ -71,9 +80,10 @@ def _boot_moments(n_boot: int) -> str:
     WITH r AS (SELECT l_returnflag, l_linestatus, l_extendedprice AS y, l_quantity AS a, l_discount AS b, count(*) OVER (PARTITION BY l_returnflag, l_linestatus) AS n,
         row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY md5({KEY_SQL}), l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS idx FROM lineitem),
       s AS (SELECT *, greatest(2, round_even(n * 0.5::DOUBLE, 0))::BIGINT AS size FROM r),
-      t AS (SELECT l_returnflag, l_linestatus, boot_idx, ('0x' || substr(md5(concat_ws('|', '0', l_returnflag, l_linestatus, boot_idx, idx)), 1, 12))::BIGINT % n AS idx
-        FROM s, range(0, {n_boot}) b(boot_idx) WHERE idx < size),
-      k AS (SELECT l_returnflag, l_linestatus, boot_idx, idx, count(*)::DOUBLE AS w FROM t GROUP BY 1, 2, 3, 4)
+      d AS ({draws}),
+      m AS (SELECT l_returnflag, l_linestatus, boot_idx, md5(concat_ws('|', '0', l_returnflag, l_linestatus, boot_idx)) AS h
+        FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM s), range(0, {n_boot}) b(boot_idx)),
+      k AS (SELECT l_returnflag, l_linestatus, boot_idx, (hi * 1048576 + (lo >> 12)) % n AS idx, count(*)::DOUBLE AS w FROM ({keyed}) GROUP BY 1, 2, 3, 4)
     SELECT s.l_returnflag, s.l_linestatus, boot_idx::INT AS boot_idx, n, size, y - avg(y) OVER g AS y, a - avg(a) OVER g AS a, b - avg(b) OVER g AS b, w
     FROM s JOIN k USING (l_returnflag, l_linestatus, idx) WINDOW g AS (PARTITION BY l_returnflag, l_linestatus)
   ) GROUP BY 1, 2, 3, 4, 5"""
@@ -103,11 +113,17 @@ def bootstrap_summary(spark, d):
     return s.select(*GROUPS, F.round("r2_restricted_mean", 8).alias("mean"), F.round("r2_restricted_low", 8).alias("low"), F.round("r2_restricted_high", 8).alias("high"), F.round("partial_r2_x2_mean", 8).alias("partial"))
 
 
-@query("confound_bands", """SELECT band, count(*) AS n FROM (SELECT CASE WHEN y <= 0.1 * x / nullif(1 - x, 0) THEN '<=10%' WHEN y <= 0.5 * x / nullif(1 - x, 0) THEN '10-50%'
-  WHEN y <= x / nullif(1 - x, 0) THEN '50-100%' ELSE '>100%' END AS band FROM (SELECT l_discount * 5 AS x, l_tax * 5 AS y FROM lineitem)) GROUP BY 1""")
+@query("confound_bands", """WITH s(share, name) AS (VALUES (1.0::DOUBLE, '>100%'), (0.5::DOUBLE, '50-100%'), (0.1::DOUBLE, '10-50%')),
+  b AS (SELECT CASE WHEN y <= 0.1 * x / nullif(1 - x, 0) THEN '<=10%' WHEN y <= 0.5 * x / nullif(1 - x, 0) THEN '10-50%' WHEN y <= x / nullif(1 - x, 0) THEN '50-100%' ELSE '>100%' END AS band
+    FROM (SELECT l_discount * 5 AS x, l_tax * 5 AS y FROM lineitem))
+  SELECT band, i, n, round(x, 8) AS x, round(share * x / (1 - x), 8) AS y FROM (SELECT band, count(*) AS n FROM b GROUP BY 1) LEFT JOIN
+    (SELECT name, share, i, i / 20.0::DOUBLE / (1 + share) AS x FROM s, range(0, 20) r(i)) ON band = name""")
 def confound_bands(spark, d):
+    """Points in each band, with the grid of the curve below it (none below the lowest)."""
     rows = table(spark, d, "lineitem").select(G.confound_band(F.col("l_discount") * 5, F.col("l_tax") * 5).alias("band"))
-    return rows.groupBy("band").agg(F.count("*").alias("n"))
+    below = F.when(F.col("share") == 1.0, ">100%").when(F.col("share") == 0.5, "50-100%").otherwise("10-50%")
+    curve = G.confound_curve(spark, points=20).select(below.alias("band"), F.round(F.col("x") * (1 + F.col("share")) * 20).cast("long").alias("i"), F.round("x", 8).alias("x"), F.round("y", 8).alias("y"))
+    return rows.groupBy("band").agg(F.count("*").alias("n")).join(curve, "band", "left").select("band", "i", "n", "x", "y")
 
 
 #: analysis: (rows, groups, x2, whether x2 is a category). Two halves by a number, all rows by a flag, and by a category in each

@@ -100,6 +100,37 @@ def test_regression_equals_least_squares(spark):
     assert c.partial_r2_x2 == pytest.approx((c.r2_full - c.r2_restricted) / (1 - c.r2_restricted))
 
 
+def test_resamples_are_standardised_each_by_itself(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "g", float(rng.normal(5, 3)), float(rng.normal(-2, 9)), float(rng.normal())) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, g string, a double, b double, y double")
+    drawn = G.bootstrap_weights(df, ["g"], ["id"], 3).toPandas()
+    for r in G.bootstrap_nested(df, ["g"], ["id"], "y", "a", "b", n_boot=3, standardize=True).collect():
+        own = drawn[drawn.boot_idx == r.boot_idx]
+        own = own.loc[own.index.repeat(own.weight.astype(int))]
+        z = (own[["a", "b"]] - own[["a", "b"]].mean()) / own[["a", "b"]].std(ddof=0)
+        beta = np.linalg.lstsq(np.column_stack([np.ones(len(z)), z]), own.y.to_numpy(), rcond=None)[0]
+        assert len(z) == 30 and np.allclose([r.beta_x1_full, r.beta_x2], beta[1:])
+
+
+def test_constant_variables_explain_nothing(spark):
+    df = spark.createDataFrame([("g", 1.0, float(i), 2.0 * i + i % 2) for i in range(9)], "g string, a double, b double, y double")
+    r = G.nested_ols_numeric(df, ["g"], "y", "a", "b").first()
+    assert r.r2_restricted == 0 and r.partial_r2_x2 == pytest.approx(r.r2_full) and r.r2_full > 0.9
+    e = spark.createDataFrame([(None, None, 4.0, 1.0), (1.0, 1.0, 0.0, 0.0)], "r2_restricted double, r2_full double, ssr_restricted double, ssr_full double")
+    assert [x.partial_r2_x2 for x in G.effect_sizes(e).collect()] == [0.75, None]
+
+
+def test_blocks_and_draws_in_several_parts(spark, monkeypatch):
+    df = spark.range(50).select("id", F.lit("g").alias("g"), F.rand(1).alias("a"), F.rand(2).alias("b"), F.rand(3).alias("y"))
+    df = spark.createDataFrame(df.collect(), df.schema)
+    out = lambda: sorted(map(tuple, G.bootstrap_weights(df, ["g"], ["id"], 5).select("boot_idx", "id", "weight").collect()))
+    whole = out()
+    for name, value in (("BLOCK", 8), ("DRAWS", 7), ("BOOTS", 2)):
+        monkeypatch.setattr(G, name, value)
+    assert out() == whole
+
+
 def test_bootstrap_counts(spark):
     df = spark.range(40).select("id", F.lit("g").alias("g"), F.rand(1).alias("a"), F.rand(2).alias("b"), F.rand(3).alias("y"))
     w = G.bootstrap_weights(df, ["g"], ["id"], 3, 0.5)
@@ -167,6 +198,12 @@ def test_regression_suite_by_brute_force(spark, tmp_path):
     spark.createDataFrame(rows, names).write.parquet(f"file://{tmp_path}/lineitem.parquet")
     got = {(r.analysis, r.l_returnflag, r.l_linestatus, r.boot_idx): r for r in R.regression_suite(spark, f"file://{tmp_path}").collect()}
     md5 = lambda *parts: hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+
+    def mixed(x):
+        for _ in range(2):
+            x = ((x ^ (x >> 16)) * 73244475) % 2**32
+        return x ^ (x >> 16)
+
     r2 = lambda x, y: 1 - ((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).sum() / ((y - y.mean()) ** 2).sum()
     dummies = lambda v: (v[:, None] == np.unique(v)[None, :]).astype(float)
     suite = {"small": (lambda r: r[5] <= 25, 2, lambda r: r[6]), "large": (lambda r: r[5] > 25, 2, lambda r: r[6]), "flag": (lambda r: True, 2, lambda r: float(r[7] > 0.04)), "category": (lambda r: True, 2, lambda r: r[1]), "pooled": (lambda r: True, 1, lambda r: r[1])}
@@ -178,7 +215,9 @@ def test_regression_suite_by_brute_force(spark, tmp_path):
                 continue
             size = max(2, round(len(own) * 0.5))
             for boot in range(300):
-                drawn = [own[int(md5(0, *group, boot, i)[:12], 16) % len(own)] for i in range(size)]
+                key = md5(0, *group, boot)
+                place = lambda i: (mixed(mixed(i + 1) ^ int(key[:8], 16)) << 20) + (mixed(mixed(i + 1) ^ int(key[8:16], 16)) >> 12)  # noqa: B023, E731
+                drawn = [own[place(i) % len(own)] for i in range(size)]
                 y, a, b = (np.array(v, float) for v in ([r[4] for r in drawn], [r[5] for r in drawn], [x2(r) for r in drawn]))
                 one = np.ones_like(a)
                 full = np.column_stack([a, dummies(b)]) if name in ("category", "pooled") else np.column_stack([one, a, b])
