@@ -37,6 +37,15 @@ def output_path(path: Column, root: str, variant: Column) -> Column:
     return F.concat(F.regexp_replace(F.regexp_replace(relative, r"^/+", ""), r"\.[^./\\]+$", ""), F.lit("__"), variant, F.lit(".tiff"))
 
 
+def task_path(root: str, values: list[Column], index: Column, flat: bool = False, suffix: str = ".tiff") -> Column:
+    """Where a task's result goes: a folder for each value and the index as name, or one name of all, without slashes."""
+    values = [v.cast("string") for v in values]
+    if flat:
+        name = F.regexp_replace(F.concat_ws("_", *values), "/", "_")
+        return F.concat(F.lit(f"{root.rstrip('/')}/"), name, F.lit("_"), index.cast("string"), F.lit(suffix))
+    return F.concat(F.concat_ws("/", F.lit(root.rstrip("/")), *values, index.cast("string")), F.lit(suffix))
+
+
 def stable_hash(**params: Column) -> Column:
     """The first 16 hex digits of the SHA-1 of the parameters as JSON with sorted keys and floats of 8 places."""
     parts = [F.concat(F.lit(f'"{k}":'), v) for k, v in sorted(params.items())]
@@ -63,6 +72,8 @@ def uniform_of(key: Column) -> Column:
 
 
 def checkpoint_entry(df: DataFrame, keys: list[str], model_keys: list[str], optional: list[str], output: str, prefix: str = "Metadata_Model_") -> DataFrame:
-    """One row for each finished task: keys, prefixed model keys, optional columns (null where absent), output path."""
+    """One row for each finished task: keys, prefixed model keys, optional columns (null where absent), output path. A task without
+    a path is an error, so there are as many paths as tasks."""
+    path = F.coalesce(F.col(output).cast("string"), F.raise_error(F.lit("a finished task has no output path")).cast("string"))
     extra = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in optional]
-    return df.select(*keys, *[F.col(c).alias(prefix + c) for c in model_keys], *extra, F.col(output).alias("output_file"))
+    return df.select(*keys, *[F.col(c).alias(prefix + c) for c in model_keys], *extra, path.alias("output_file"))

@@ -73,14 +73,16 @@ def unpivot_together(df: DataFrame, ids: list[str], groups: dict[str, dict[str,
     return df.select(*ids, F.inline(rows))
 
 
-def unpivot_paths(df: DataFrame, file_prefix: str = "FileName_", path_prefix: str = "PathName_", meta_prefix: str = "Metadata_") -> DataFrame:
-    """channel, abs_path and meta_row for every stem that has both a file and a path column; rows without a path go."""
+def unpivot_paths(df: DataFrame, file_prefix: str = "FileName_", path_prefix: str = "PathName_") -> DataFrame:
+    """channel, abs_path and meta_row (all columns of the row, as JSON) for every stem that has both a file and a path column; rows
+    without a path go, and a table without such a stem gives none."""
     stems = [c.removeprefix(file_prefix) for c in df.columns if c.startswith(file_prefix) and path_prefix + c.removeprefix(file_prefix) in df.columns]
+    if not stems:
+        return df.sparkSession.createDataFrame([], "channel string, abs_path string, meta_row string")
     folder = lambda s: F.regexp_replace(F.rtrim(F.col(path_prefix + s), F.lit("/\\")), r"\\", "/")
     path = lambda s: F.concat(folder(s), F.lit("/"), F.col(file_prefix + s))
-    meta = F.to_json(F.struct(*[c for c in df.columns if c.startswith(meta_prefix)]))
     rows = F.array(*[F.struct(F.lit(s).alias("channel"), path(s).alias("abs_path")) for s in stems])
-    return df.select(F.inline(rows), meta.alias("meta_row")).filter(F.col("abs_path").isNotNull())
+    return df.select(F.inline(rows), F.to_json(F.struct(*df.columns)).alias("meta_row")).filter(F.col("abs_path").isNotNull())
 
 
 def pack_row(df: DataFrame, keys: list[str], name: str = "meta_row") -> DataFrame:
@@ -110,8 +112,15 @@ def last_row_lookup(rows: DataFrame, keys: list[str], *order: Column | str) -> D
     return first_rows(rows, keys, *flipped)
 
 
+#: Most levels of a grid that images carry as an array.
+GRID = 10_000
+
+
 def sweep(images: DataFrame, grid: DataFrame) -> DataFrame:
-    """Every image at every level. A grid is a handful of literal rows, which each image carries as an array."""
-    levels = grid.agg(F.collect_list(F.struct(*grid.columns)).alias("_grid")).first()[0]
+    """Every image at every level. A grid is a handful of rows, which each image carries as an array; beyond ``GRID`` of them it is an
+    error."""
+    levels = grid.limit(GRID + 1).collect()
+    if len(levels) > GRID:
+        raise ValueError(f"a grid has at most {GRID} levels")
     rows = F.array(*[F.struct(*[F.lit(r[c]).cast(grid.schema[c].dataType).alias(c) for c in grid.columns]) for r in levels])
     return images.select("*", F.inline(rows))

@@ -9,20 +9,22 @@ from platewise.functions.scalars import seed_of
 from platewise.operators import surface as U
 from platewise.plans.image_queries import images
 from platewise.plans.registry import query, table
-from platewise.sources.tables import shared_folder
+from platewise.sources.tables import scan_recursive_parts, shared_folder
 from platewise.streaming.incremental import batch_predict, finished, incremental_score
 
 
-@query("incremental_score", "SELECT o_orderkey, round(o_totalprice * 2, 2) AS score FROM orders")
+@query("incremental_score", """SELECT o_orderkey, round(o_totalprice * 2, 2) AS score, '/out/' || o_orderkey || '.tiff' AS output_file FROM orders""")
 def incremental(spark, d):
-    tasks, results, state = (shared_folder(spark, n) for n in ("tasks", "results", "state"))
+    """Results joined with the rows that say they are done."""
+    tasks, results, state, done = (shared_folder(spark, n) for n in ("tasks", "results", "state", "done"))
     rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    score = lambda df: df.select("o_orderkey", F.round(F.col("o_totalprice") * 2, 2).alias("score"))
+    path = F.concat(F.lit("/out/"), "o_orderkey", F.lit(".tiff")).alias("output_file")
+    score = lambda df: df.select("o_orderkey", F.round(F.col("o_totalprice") * 2, 2).alias("score"), path)
     # The second run gets all tasks again with the new ones, and scores the new ones only.
     for part in (rows.filter("o_orderkey % 2 = 0"), rows):
         part.write.mode("append").parquet(tasks)
-        incremental_score(spark, tasks, "o_orderkey long, o_totalprice double", ["o_orderkey"], score, results, state)
-    return spark.read.parquet(results)
+        incremental_score(spark, tasks, "o_orderkey long, o_totalprice double", ["o_orderkey"], score, results, state, done)
+    return scan_recursive_parts(spark, results).select("o_orderkey", "score").join(spark.read.parquet(done), "o_orderkey")
 
 
 @query("udf_transform", "SELECT vec_id AS image_id, round(list_sum(list_transform(embedding, lambda x: 1 - (x::DOUBLE + 1) / 2)), 6) AS total FROM embeddings")

@@ -100,9 +100,9 @@ def unpivot_metrics(spark, d):
     return table(spark, d, "lineitem").unpivot(["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"], "metric_name", "metric_value")
 
 
-@query("meta_row_pack", """SELECT n_nationkey, '{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS meta_row FROM nation""")
+@query("meta_row_pack", """SELECT o_orderkey, '{"o_orderstatus":"' || o_orderstatus || '","o_custkey":' || o_custkey || '}' AS meta_row FROM orders""")
 def meta_row_pack(spark, d):
-    return R.pack_row(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), ["n_nationkey"])
+    return R.pack_row(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"), ["o_orderkey"])
 
 
 @query("join_inner", "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")

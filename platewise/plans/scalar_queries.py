@@ -50,11 +50,12 @@ def derive_output_path(spark, d):
 
 
 @query("task_output_path", """SELECT l_orderkey, l_linenumber, '/r/' || l_suppkey || '/' || l_returnflag || '/' || l_linenumber || '.tiff' AS nested,
-  l_suppkey || '_' || l_returnflag || '_' || l_linenumber || '.tif' AS flat FROM lineitem""")
+  '/r/' || l_suppkey || '_' || l_returnflag || '_' || l_linestatus || '_' || l_linenumber || '.tiff' AS flat FROM lineitem""")
 def task_output_path(spark, d):
-    parts = [F.col(c).cast("string") for c in ("l_suppkey", "l_returnflag", "l_linenumber")]
-    nested = F.concat(F.concat_ws("/", F.lit("/r"), *parts), F.lit(".tiff"))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", nested.alias("nested"), F.concat(F.concat_ws("_", *parts), F.lit(".tif")).alias("flat"))
+    index = F.col("l_linenumber")
+    nested = X.task_path("/r", [F.col("l_suppkey"), F.col("l_returnflag")], index)
+    flat = X.task_path("/r", [F.col("l_suppkey"), F.concat_ws("/", "l_returnflag", "l_linestatus")], index, flat=True)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", nested.alias("nested"), flat.alias("flat"))
 
 
 @query("stable_param_hash", """SELECT event_id, substr(sha1('{"kind":"' || event_type || '","value":' || regexp_replace(regexp_replace(value::DECIMAL(30,8)::VARCHAR, '0+$', ''), '\\.$', '') || '}'), 1, 16) AS hash FROM events""")

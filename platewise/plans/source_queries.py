@@ -24,12 +24,26 @@ def scan_partition_dirs(spark, d):
     return S.scan_partition_dirs(spark, f"{path}/*/*.csv", "plate", SUPPLIER).groupBy("plate").agg(F.count("*").alias("n"))
 
 
-@query("scan_driven_by_table", "SELECT count(*) AS n, sum(s_suppkey)::BIGINT AS s FROM supplier")
+def _files_by_value(spark, rows, column):
+    """A folder with one CSV file for each value of a column, named after it."""
+    parts, path = S.shared_folder(spark, "parts"), S.shared_folder(spark, "named")
+    rows.withColumn("part", F.col(column)).repartition("part").write.partitionBy("part").option("header", True).csv(parts)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    system = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(hadoop(path))
+    for r in S.list_files(spark, parts, "*.csv").collect():
+        folder = r.path.rsplit("/", 2)[1]
+        system.rename(hadoop(r.path), hadoop(f"{path}/{folder.removeprefix('part=')}.csv"))
+    return path
+
+
+@query("scan_driven_by_table", """SELECT o_orderstatus AS file_stem, count(*) AS n, sum(o_orderkey)::BIGINT AS s FROM orders
+  WHERE o_orderstatus IN (SELECT l_linestatus FROM lineitem) GROUP BY 1""")
 def scan_driven_by_table(spark, d):
-    path = S.shared_folder(spark, "named")
-    S.sink_csv(table(spark, d, "supplier"), path)
-    names = S.scan_csv_union(spark, path, SUPPLIER).select("file_stem").distinct()
-    return S.scan_driven_by_table(spark, names, "file_stem", path, SUPPLIER).agg(F.count("*").alias("n"), F.sum("s_suppkey").alias("s"))
+    """Of the files of three statuses, those that the line items name."""
+    path = _files_by_value(spark, table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus")
+    rows = S.scan_driven_by_table(spark, table(spark, d, "lineitem"), "l_linestatus", path, "o_orderkey long, o_orderstatus string")
+    return rows.groupBy("file_stem").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("s"))
 
 
 @query("scan_common_columns", "SELECT p_partkey AS k, p_name AS name FROM part UNION ALL SELECT p_partkey + 1, p_name FROM part")
@@ -51,13 +65,17 @@ def _index_rows(events):
     )
 
 
-@query("scan_parquet_index", "SELECT event_type AS variant, count(*) AS n FROM events GROUP BY 1")
+@query("scan_parquet_index", "SELECT event_type AS variant, 2 * count(*) AS n FROM events GROUP BY 1")
 def scan_parquet_index(spark, d):
-    path = S.shared_folder(spark, "index")
-    rows = _index_rows(table(spark, d, "events"))
-    before = S.scan_parquet_index(spark, path)
-    S.append_index(rows, path)
-    return before.unionByName(S.scan_parquet_index(spark, path).select(before.columns)).groupBy("variant").agg(F.count("*").alias("n"))
+    """A plain index and one in folders of a key, each read before and after its first part."""
+    rows, out = _index_rows(table(spark, d, "events")), None
+    for keys in ((), ("run_id",)):
+        path = S.shared_folder(spark, "index")
+        before = S.scan_parquet_index(spark, path)
+        rows.write.mode("append").partitionBy(*keys).parquet(path)
+        for part in (before, S.scan_parquet_index(spark, path).select(before.columns)):
+            out = part if out is None else out.unionByName(part)
+    return out.groupBy("variant").agg(F.count("*").alias("n"))
 
 
 @query("scan_recursive_parts", "SELECT count(*) AS n, sum(c_custkey)::BIGINT AS s FROM customer")
@@ -74,27 +92,28 @@ def scan_pruned_filtered(spark, d):
     return rows.select("l_orderkey", "l_quantity")
 
 
-@query("scan_skip_missing", "SELECT count(*) AS n, 1::BIGINT AS missing FROM nation")
+@query("scan_skip_missing", "SELECT count(*) AS n, 1::BIGINT AS missing FROM lineitem")
 def scan_skip_missing(spark, d):
-    found, missing = S.scan_skip_missing(spark, [f"{d}/nation.parquet", f"{d}/no_such_plate.parquet"])
+    found, missing = S.scan_skip_missing(spark, [f"{d}/lineitem.parquet", f"{d}/no_such_plate.parquet"])
     return found.agg(F.count("*").alias("n"), F.lit(len(missing)).cast("long").alias("missing"))
 
 
-@query("list_image_files")
+@query("list_image_files", "SELECT event_type AS name, 1::BIGINT AS files FROM events GROUP BY 1")
 def list_image_files(spark, d):
-    return S.list_files(spark, d, "*.parquet").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length")
+    path = _files_by_value(spark, table(spark, d, "events").select("event_id", "event_type"), "event_type")
+    return S.list_files(spark, path, "*.csv").groupBy(F.regexp_extract("path", r"([^/]+)\.csv$", 1).alias("name")).agg(F.count("*").alias("files"))
 
 
-@query("require_columns", "SELECT r_regionkey, r_name FROM region")
+@query("require_columns", "SELECT o_orderkey, o_orderstatus FROM orders")
 def require_columns(spark, d):
-    return S.require_columns(table(spark, d, "region"), ["r_regionkey", "r_name"]).select("r_regionkey", "r_name")
+    return S.require_columns(table(spark, d, "orders"), ["o_orderkey", "o_orderstatus"]).select("o_orderkey", "o_orderstatus")
 
 
-@query("sink_csv", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("sink_csv", "SELECT c_custkey, c_name, c_nationkey FROM customer")
 def sink_csv(spark, d):
     path = S.shared_folder(spark, "csv")
-    S.sink_csv(table(spark, d, "nation"), path)
-    return spark.read.option("header", True).schema("n_nationkey int, n_name string, n_regionkey int").csv(path)
+    S.sink_csv(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey"), path)
+    return spark.read.option("header", True).schema("c_custkey long, c_name string, c_nationkey int").csv(path)
 
 
 @query("sink_append_index", "SELECT 2 * count(*) AS n, count(DISTINCT event_id) AS images FROM events")
@@ -113,9 +132,9 @@ def sink_metrics_partitioned(spark, d):
     return spark.read.parquet(path).groupBy("metric_name").agg(F.count("*").alias("n"), F.round(F.sum("metric_value"), 4).alias("total"))
 
 
-@query("sink_overwrite_result", "SELECT r_regionkey, r_name FROM region")
+@query("sink_overwrite_result", "SELECT o_orderkey, o_orderstatus FROM orders")
 def sink_overwrite_result(spark, d):
-    path, rows = S.shared_folder(spark, "result"), table(spark, d, "region").select("r_regionkey", "r_name")
+    path, rows = S.shared_folder(spark, "result"), table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
     S.sink_overwrite(rows, path)
     S.sink_overwrite(rows, path)
     return spark.read.parquet(path)

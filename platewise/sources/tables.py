@@ -16,8 +16,13 @@ INDEX_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in INDEX_COL
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset, below a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="platewise-")
+    """A new folder below ``spark.checkpoint.dir``. Where that is unset, a local master gets a temporary folder, and a cluster an
+    error, as its executors share no local folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="platewise-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -28,17 +33,39 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def has_parts(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds a Parquet part that Spark would read, in folders of partitions too; what starts with a dot or
+    an underscore does not count."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return False
+    waiting = [where]
+    while waiting:
+        for entry in system.listStatus(waiting.pop()):
+            name = entry.getPath().getName()
+            if name.startswith(("_", ".")):
+                continue
+            if entry.isDirectory():
+                waiting.append(entry.getPath())
+            elif name.endswith(".parquet"):
+                return True
+    return False
+
+
 def require_columns(df: DataFrame, required: list[str] | tuple[str, ...]) -> DataFrame:
     """``df`` itself, or an error that lists what is missing, required and found."""
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ValueError(f"Schema missing required columns: {missing}; required: {list(required)}; found: {df.columns}")
+        raise ValueError(f"table lacks columns {missing} of {list(required)}; it has {df.columns}")
     return df
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN becomes NULL, so that aggregates skip both alike."""
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType | T.FloatType)]
+    if not floats:
+        return df
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
 
 
@@ -66,28 +93,29 @@ def scan_driven_by_table(spark: SparkSession, names: DataFrame, column: str, pat
 
 
 def scan_common_columns(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Parquet files of differing schemas, cut to the columns that all of them have (footers are read first)."""
+    """Parquet files of differing schemas, cut to the columns that all of them have (footers are read first); NaN is NULL."""
     frames = [spark.read.parquet(p) for p in paths]
     common = [c for c in frames[0].columns if all(c in f.columns for f in frames)]
-    return reduce(DataFrame.unionByName, [f.select(common) for f in frames])
+    return nan_to_null(reduce(DataFrame.unionByName, [f.select(common) for f in frames]))
 
 
 def scan_parquet_index(spark: SparkSession, path: str, required: tuple[str, ...] = INDEX_COLUMNS) -> DataFrame:
-    """All parts of an append-only index; a missing or empty folder is an empty table with the required columns."""
-    if not exists(spark, f"{path.rstrip('/')}/*.parquet"):
+    """All parts of an append-only index, in folders of partitions too (their keys are columns); a missing or empty folder is
+    an empty table with the required columns."""
+    if not has_parts(spark, path):
         return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in required]))
-    return require_columns(spark.read.option("mergeSchema", True).parquet(path), required)
+    return nan_to_null(require_columns(spark.read.option("mergeSchema", True).parquet(path), required))
 
 
 def scan_recursive_parts(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet parts in nested session folders."""
-    return spark.read.option("recursiveFileLookup", "true").parquet(path)
+    """Parquet parts in nested session folders; NaN is NULL."""
+    return nan_to_null(spark.read.option("recursiveFileLookup", "true").parquet(path))
 
 
 def scan_skip_missing(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, list[str]]:
     """Those of the expected files that exist, as one table, and the paths that do not."""
     there = [p for p in paths if exists(spark, p)]
-    return (spark.read.parquet(*there) if there else None), [p for p in paths if p not in there]
+    return (nan_to_null(spark.read.parquet(*there)) if there else None), [p for p in paths if p not in there]
 
 
 def list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:

@@ -2,23 +2,34 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from platewise.functions.scalars import checkpoint_entry
 from platewise.operators.relational import not_done
-from platewise.sources.tables import exists
+from platewise.sources.tables import has_parts
 
 
-def incremental_score(spark: SparkSession, tasks: str, schema: str, keys: list[str], score: Callable[[DataFrame], DataFrame], results: str, checkpoint: str) -> None:
-    """Scores the tasks in new files below ``tasks`` that ``results`` does not hold yet, and appends them. A batch that is run
-    again after a failure adds nothing twice, as its keys are found in the results."""
+def incremental_score(spark: SparkSession, tasks: str, schema: str, keys: list[str], score: Callable[[DataFrame], DataFrame], results: str, checkpoint: str, done: str | None = None, output: str = "output_file") -> None:
+    """Scores the tasks in new files below ``tasks`` that are not done yet, and appends the results. With ``done``, every scored
+    task also gets a row there (its keys and its result's ``output`` path), after its result is written, and those rows say
+    what is done; without it the results do. A batch that is run again after a failure adds nothing twice to what its keys
+    are found in: a failure between both writes leaves results without a row, which are scored and written again."""
+    index = done or results
 
     def batch(rows: DataFrame, _: int) -> None:
-        done = spark.read.parquet(results) if exists(spark, f"{results}/*.parquet") else None
-        score(not_done(rows.dropDuplicates(keys), done, keys)).write.mode("append").parquet(results)
+        finished = spark.read.parquet(index).select(keys) if has_parts(spark, index) else None
+        scored = score(not_done(rows.dropDuplicates(keys), finished, keys))
+        if done is None:
+            scored.write.mode("append").parquet(results)
+            return
+        part = f"{results}/part-{uuid.uuid4().hex}"
+        scored.write.parquet(part)
+        checkpoint_entry(spark.read.schema(scored.schema).parquet(part), keys, [], [], output).write.mode("append").parquet(done)
 
     stream = spark.readStream.schema(schema).parquet(tasks)
     stream.writeStream.foreachBatch(batch).trigger(availableNow=True).option("checkpointLocation", checkpoint).start().awaitTermination()
