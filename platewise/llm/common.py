@@ -58,6 +58,14 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts travel to Python in Arrow batches of at most so many rows from now on in this session: Spark counts rows, not
+    bytes, and a batch stands in the memory of both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     path = shared_folder(df.sparkSession, name)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm.common import grams_of, drop_stored, list_array, mix, slices, stored, words_of
+from platewise.llm.common import grams_of, drop_stored, list_array, mix, slices, small_batches, stored, words_of
 from platewise.llm.graph import components
 from platewise.llm.sketches import STEPS, bitmap, count_classes, in_bitmap, power_of_two
 
@@ -303,6 +303,7 @@ def shared_keys(df: DataFrame, classes: np.ndarray, limit: int) -> DataFrame:
 
 def near_duplicates(df: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row of (doc_id, text)."""
+    small_batches(df.sparkSession)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = stored(set_table(docs), "sets")
     total = table.agg(F.sum("n_shingles")).first()[0] or 0

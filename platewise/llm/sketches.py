@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Least and most counters of a count sketch (one byte each), and tokens for each counter between them.
-COUNTERS, TOKENS_EACH = (1 << 20, 1 << 24), 16
+COUNTERS, TOKENS_EACH = (1 << 20, 1 << 24), 32
 #: Classes for each doubling of a count.
 STEPS = 8
 _SLICE = 1 << 13
