@@ -25,17 +25,23 @@ def collect_pixels(px: DataFrame) -> DataFrame:
 
 
 def normalized(pixels: Column, dtype: Column, bits: Column | None = None) -> Column:
-    """Pixels in [0, 1] with strategy, bit depth and scale. Unsigned integers divide by their largest value, with the depth
-    given or read from the data; booleans are 0 or 1; floats in [0, 1] stay; other floats need a depth."""
+    """Pixels in [0, 1] with strategy, bit depth, scale and warning. Unsigned integers divide by the largest value of their
+    depth: the one given, else that of their type, whatever the pixels are, so images of one plate have one scale. Booleans
+    are 0 or 1; floats in [0, 1] stay; other floats need a depth. Warnings: ``inferred`` (the type's depth may be more than
+    the camera's), ``below type``, ``above type``."""
     top, low = F.array_max(pixels), F.array_min(pixels)
-    inferred = F.when(top <= 255, 8).when(top <= 4095, 12).otherwise(16)
-    depth = F.coalesce(bits, inferred) if bits is not None else inferred
+    own = F.regexp_extract(dtype, r"^uint(\d+)$", 1).try_cast("int")
+    depth = F.coalesce(bits.cast("int"), own) if bits is not None else own
     is_float, in_range = dtype.startswith("float"), (low >= 0) & (top <= 1)
-    strategy = F.when(dtype == "bool", "bool").when(is_float & in_range, "identity").when(is_float | dtype.startswith("uint"), "scale")
-    bad = strategy.isNull() | (is_float & ~in_range & (F.lit(bits is None))) | (F.lit(False) if bits is None else bits <= 0)
+    strategy = F.when(dtype == "bool", "bool").when(is_float & in_range, "identity").when(is_float | own.isNotNull(), "scale")
+    bad = strategy.isNull() | ((strategy == "scale") & (depth.isNull() | (depth <= 0)))
     scale = F.when(strategy == "scale", F.pow(F.lit(2.0), depth) - 1).otherwise(1.0)
+    given = bits.isNotNull() if bits is not None else F.lit(False)
+    warning = F.when(own.isNull(), F.lit(None)).when(~given, "inferred").when(depth < own, "below type").when(depth > own, "above type")
     value = F.transform(pixels, lambda v: v / scale)
-    return F.when(bad, F.raise_error(F.concat(F.lit("cannot normalise pixels of type "), dtype))).otherwise(F.struct(value.alias("pixels"), strategy.alias("strategy"), F.when(strategy == "scale", depth).alias("bit_depth"), scale.alias("scale")))
+    shown = F.when(strategy == "scale", depth).when(strategy == "bool", 1)
+    out = F.struct(value.alias("pixels"), strategy.alias("strategy"), shown.alias("bit_depth"), scale.alias("scale"), warning.alias("warning"))
+    return F.when(bad, F.raise_error(F.concat(F.lit("cannot normalise pixels of type "), dtype))).otherwise(out)
 
 
 def denormalized(v: Column, scale: Column, top: Column) -> Column:
@@ -43,9 +49,10 @@ def denormalized(v: Column, scale: Column, top: Column) -> Column:
     return F.bround(F.least(F.greatest(v * scale, F.lit(0.0)), top))
 
 
-def gaussian_noise(px: DataFrame, std: Column | float, seed: str) -> DataFrame:
-    """Additive noise from two hashes of the pixel's place (Box-Muller), the same on every run."""
-    key = lambda k: F.concat_ws("|", F.lit(f"{seed}{k}"), "image_id", "r", "c")
+def gaussian_noise(px: DataFrame, std: Column | float, seed: str, channel: str | None = None) -> DataFrame:
+    """Additive noise from two hashes of the pixel's place (Box-Muller), the same on every run; with the name of a ``channel``
+    column, each channel of an image has a seed of its own."""
+    key = lambda k: F.concat_ws("|", F.lit(f"{seed}{k}"), "image_id", *([channel] if channel else []), "r", "c")
     normal = F.sqrt(-2 * F.log(uniform_of(key("a")))) * F.cos(F.lit(2 * math.pi) * uniform_of(key("b")))
     return px.withColumn("v", F.col("v") + F.lit(std) * normal)
 

@@ -20,7 +20,8 @@ def images(spark, d):
 
 
 def pixels(spark, d):
-    return P.explode_pixels(images(spark, d), 8).repartition("image_id")
+    # Arrays are dealt out, one row for each image; its pixels then are where the windows need them.
+    return P.explode_pixels(images(spark, d).repartition("image_id"), 8)
 
 
 def summed(px):
@@ -41,12 +42,15 @@ def explode_pixels(spark, d):
     return summed(P.explode_pixels(P.collect_pixels(pixels(spark, d)), 8))
 
 
-@query("bitdepth_normalize", "SELECT vec_id AS image_id, 'scale' AS strategy, CASE WHEN list_max(v) <= 255 THEN 8 WHEN list_max(v) <= 4095 THEN 12 ELSE 16 END::INT AS bit_depth, round(list_sum(v) / (CASE WHEN list_max(v) <= 255 THEN 255 WHEN list_max(v) <= 4095 THEN 4095 ELSE 65535 END), 6) AS total FROM (SELECT vec_id, list_transform(embedding, lambda x: floor((x::DOUBLE + 1) / 2 * (CASE vec_id % 3 WHEN 0 THEN 300 WHEN 1 THEN 4000 ELSE 65535 END))) AS v FROM embeddings)")
+@query("bitdepth_normalize", """SELECT vec_id AS image_id, 'scale' AS strategy, bits AS bit_depth, warning, round(list_sum(v) / (pow(2, bits) - 1), 6) AS total FROM (
+  SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 8 WHEN 1 THEN 12 ELSE 16 END::INT AS bits, CASE WHEN vec_id % 3 = 1 THEN 'below type' ELSE 'inferred' END AS warning,
+    list_transform(embedding, lambda x: floor((x::DOUBLE + 1) / 2 * 200)) AS v FROM embeddings)""")
 def bitdepth_normalize(spark, d):
-    top = F.when(F.col("image_id") % 3 == 0, 300).when(F.col("image_id") % 3 == 1, 4000).otherwise(65535)
-    raw = images(spark, d).withColumn("raw", F.transform("pixels", lambda v: F.floor(v * top).cast("double")))
-    n = raw.select("image_id", P.normalized(F.col("raw"), F.lit("uint16")).alias("n"))
-    return n.select("image_id", "n.strategy", "n.bit_depth", F.round(F.aggregate("n.pixels", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    """Images of small values: their type or a given depth says the scale, not their largest pixel."""
+    kind = F.when(F.col("image_id") % 3 == 0, "uint8").otherwise("uint16")
+    raw = images(spark, d).withColumn("raw", F.transform("pixels", lambda v: F.floor(v * 200).cast("double")))
+    n = raw.select("image_id", P.normalized(F.col("raw"), kind, F.when(F.col("image_id") % 3 == 1, 12)).alias("n"))
+    return n.select("image_id", "n.strategy", "n.bit_depth", "n.warning", F.round(F.aggregate("n.pixels", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 @query("bitdepth_denormalize", f"{PX} SELECT image_id, sum(round_even(least(greatest(v * 255, 0), 150), 0))::DOUBLE AS total FROM px GROUP BY 1")
@@ -179,11 +183,22 @@ def metric_fg_ssim(spark, d):
     return Q.fg_ssim(Q.with_mask(pairs(spark, d)), 3).withColumn("fg_ssim", F.round("fg_ssim", 6))
 
 
-@query("metric_table", f"""{PAIRS} SELECT image_id, 'mae' AS metric_name, round(avg(abs(x - y)), 6) AS metric_value FROM pairs GROUP BY 1
-  UNION ALL SELECT image_id, 'psnr', round(-10 * log10(avg((x - y) * (x - y))), 6) FROM pairs GROUP BY 1""")
+def _named_ssim_sql(size: int, source: str, prefix: str, fg: str = "1.0") -> str:
+    """The layers of a similarity map under names of their own."""
+    sql = _ssim_sql(size, source, fg)
+    for name in ("m0", "m1", "m2"):
+        sql = sql.replace(f"{name} ", f"{prefix}{name} ").replace(f"FROM {name})", f"FROM {prefix}{name})")
+    return sql.replace("  m AS (", f"  {prefix}m AS (")
+
+
+@query("metric_table", f"""{PAIRS}, {_OTSU}, {_named_ssim_sql(7, 'pairs', 'a')}, {_named_ssim_sql(3, 'masked', 'b', 'fg')}
+  SELECT image_id, 'mae' AS metric_name, round(avg(abs(x - y)), 6) AS metric_value FROM pairs GROUP BY 1
+  UNION ALL SELECT image_id, 'psnr', round(-10 * log10(avg((x - y) * (x - y))), 6) FROM pairs GROUP BY 1
+  UNION ALL SELECT image_id, 'ssim', round(avg(ssim), 6) FROM am GROUP BY 1
+  UNION ALL SELECT image_id, 'fg_psnr', round({_FG_PSNR}, 6) FROM masked GROUP BY 1
+  UNION ALL SELECT image_id, 'fg_ssim', round({_FG_SSIM}, 6) FROM bm GROUP BY 1""")
 def metric_table(spark, d):
-    rows = Q.metric_table(pairs(spark, d), {k: Q.METRICS[k] for k in ("mae", "psnr")})
-    return rows.withColumn("metric_value", F.round("metric_value", 6))
+    return Q.metric_table(pairs(spark, d)).withColumn("metric_value", F.round("metric_value", 6))
 
 
 @query("replicate_channels", "SELECT vec_id AS image_id, 3::INT AS channels, round(3 * list_sum(list_transform(embedding, lambda x: (x::DOUBLE + 1) / 2)), 6) AS total FROM embeddings")

@@ -20,7 +20,7 @@ from platewise.streaming.incremental import batch_predict
 def test_required_columns_and_empty_index(spark, tmp_path):
     df = spark.createDataFrame([(1,)], "a int")
     assert T.require_columns(df, ["a"]) is df
-    with pytest.raises(ValueError, match="Schema missing required columns"):
+    with pytest.raises(ValueError, match="table lacks columns"):
         T.require_columns(df, ["a", "variant"])
     assert T.scan_parquet_index(spark, f"file://{tmp_path}/none").columns == list(T.INDEX_COLUMNS)
     with pytest.raises(ValueError):
@@ -142,12 +142,39 @@ def test_bootstrap_counts(spark):
     assert G.bootstrap_nested(df.limit(20), ["g"], ["id"], "y", "a", "b", n_boot=2).count() == 0
 
 
-@pytest.mark.parametrize(("dtype", "values", "want"), [("uint8", [0.0, 255.0], [0.0, 1.0]), ("uint16", [0.0, 4095.0], [0.0, 1.0]), ("float32", [0.0, 0.5], [0.0, 0.5]), ("bool", [0.0, 1.0], [0.0, 1.0])])
+@pytest.mark.parametrize(("dtype", "values", "want"), [("uint8", [0.0, 255.0], [0.0, 1.0]), ("uint16", [0.0, 65535.0], [0.0, 1.0]), ("uint16", [0.0, 200.0], [0.0, 200 / 65535]), ("float32", [0.0, 0.5], [0.0, 0.5]), ("bool", [0.0, 1.0], [0.0, 1.0])])
 def test_normalisation(spark, dtype, values, want):
     df = spark.createDataFrame([(values, dtype)], "p array<double>, t string")
     assert df.select(P.normalized(F.col("p"), F.col("t")).alias("n")).first().n.pixels == want
 
 
+def test_depth_comes_from_the_type_or_is_given(spark):
+    rows = [("uint8", None), ("uint16", None), ("uint16", 12), ("uint8", 12), ("bool", None), ("float32", None)]
+    df = spark.createDataFrame([([0.0, 1.0], t, b) for t, b in rows], "p array<double>, t string, b int")
+    got = [(r.n.bit_depth, r.n.scale, r.n.warning) for r in df.select(P.normalized(F.col("p"), F.col("t"), F.col("b")).alias("n")).collect()]
+    assert got == [(8, 255.0, "inferred"), (16, 65535.0, "inferred"), (12, 4095.0, "below type"), (12, 4095.0, "above type"), (1, 1.0, None), (None, 1.0, None)]
+
+
+def test_partitioned_index_is_read_again(spark, tmp_path):
+    rows = spark.createDataFrame([tuple("abcdefghi")], T.INDEX_SCHEMA)
+    rows.write.partitionBy("run_id").parquet(f"file://{tmp_path}/index")
+    assert T.scan_parquet_index(spark, f"file://{tmp_path}/index").count() == 1
+    (tmp_path / "none" / "_tmp").mkdir(parents=True)
+    assert not T.has_parts(spark, f"file://{tmp_path}/none") and not T.has_parts(spark, f"file://{tmp_path}/nowhere")
+
+
+def test_channels_have_their_own_noise(spark):
+    px = spark.createDataFrame([(1, ch, r, 0, 0.5) for ch in "ab" for r in range(4)], "image_id int, ch string, r int, c int, v double")
+    v = {(r.ch, r.r): r.v for r in P.gaussian_noise(px, 0.1, "n", "ch").collect()}
+    assert all(v["a", r] != v["b", r] for r in range(4))
+
+
+def test_task_without_a_path_is_an_error(spark):
+    df = spark.createDataFrame([(1, "/a"), (2, None)], "k int, path string")
+    with pytest.raises(Exception, match="no output path"):
+        X.checkpoint_entry(df, ["k"], [], [], "path").collect()
+
+
 @pytest.mark.parametrize(("dtype", "values"), [("int16", [1.0]), ("float32", [0.0, 127.5])])
 def test_normalisation_refuses(spark, dtype, values):
     df = spark.createDataFrame([(values, dtype)], "p array<double>, t string")
