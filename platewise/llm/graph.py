@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from platewise.llm.common import drop_stored, stored
 
 
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every edge u > v joins a leaf to its root: no leaf has two edges, and no root is a leaf. The nodes are aggregated
+    before the shuffle, so a hub costs one row for each task."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("leaf")), F.struct(F.col("v").alias("node"), F.lit(0).alias("leaf")))).alias("e")).select("e.*")
+    nodes = ends.groupBy("node").agg(F.sum("leaf").alias("edges"), F.min("leaf").alias("leaf"))
+    return nodes.filter((F.col("edges") > 1) | ((F.col("edges") == 1) & (F.col("leaf") == 0))).isEmpty()
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,17 +36,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge (columns a, b): root is the smallest node of its component. Each
-    round is written to the shared folder; the number of rounds grows with the logarithm of the graph."""
+    round is written to the shared folder; the number of rounds grows with the logarithm of the graph, and stars take none."""
     edges = stored(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = _signature(edges)
-    while True:
+    while not _all_stars(edges):
         half = _star(edges, large=True)
         drop_stored(edges)
         edges = _star(half, large=False)
         drop_stored(half)
-        after = _signature(edges)
-        if after == before:
-            break
-        before = after
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -264,7 +264,8 @@ def size_step(n: str) -> Column:
 
 
 def links(df: DataFrame, total: int) -> DataFrame:
-    """Verified (a, b) of set hashes whose components are those of the whole join; ``total`` shingles are expected."""
+    """Pairs (a, b) of set hashes whose components are those of the whole join: the stars of the first round's components, and
+    the second round's links. ``total`` shingles are expected."""
     classes, mean = count_classes(df.select("doc_id", "text"), _batch_sets, total)
     # Frequent: clearly above what chance puts into one counter.
     limit = int(STEPS * np.log2(1 + mean + 8 * np.sqrt(mean) + 64))
@@ -278,7 +279,7 @@ def links(df: DataFrame, total: int) -> DataFrame:
     labelled = keys.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select("key")
     left = stored(labelled.join(mixed, "key").select("key", "c", "n", "lack", "root"), "mixed")
-    drop_stored(keys, roots)
+    drop_stored(keys, done)
     own = left.select("key", F.col("c").alias("a"), "n", "lack", "root", size_step("n").alias("step"))
     near_steps = F.explode(F.array(*[size_step("n") + k for k in (-1, 0, 1)])).alias("step")
     other = left.select("key", F.col("c").alias("b"), F.col("n").alias("m"), F.col("lack").alias("other_lack"), F.col("root").alias("other"), near_steps)
@@ -288,7 +289,7 @@ def links(df: DataFrame, total: int) -> DataFrame:
     drop_stored(left, first)
     more = stored(verified(second, fetch_sets(df, second)), "links")
     drop_stored(second)
-    return done.unionByName(more)
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
 
 
 def shared_keys(df: DataFrame, classes: np.ndarray, limit: int) -> DataFrame:
