@@ -12,10 +12,10 @@ from platewise.functions.scalars import uniform_of
 ROWS, COLUMNS = ("image_id", "c"), ("image_id", "r")
 
 
-def explode_pixels(df: DataFrame, width: int, image_id: str = "image_id", pixels: str = "pixels") -> DataFrame:
-    """Arrays in row order to pixels."""
-    each = df.select(F.col(image_id).alias("image_id"), F.posexplode(pixels).alias("i", "v"))
-    return each.select("image_id", F.floor(F.col("i") / width).cast("int").alias("r"), (F.col("i") % width).cast("int").alias("c"), F.col("v").cast("double").alias("v"))
+def explode_pixels(df: DataFrame, width: int, image_id: str = "image_id", pixels: str = "pixels", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Arrays in row order to pixels, which ``keep`` columns of their image."""
+    each = df.select(F.col(image_id).alias("image_id"), *keep, F.posexplode(pixels).alias("i", "v"))
+    return each.select("image_id", *keep, F.floor(F.col("i") / width).cast("int").alias("r"), (F.col("i") % width).cast("int").alias("c"), F.col("v").cast("double").alias("v"))
 
 
 def collect_pixels(px: DataFrame) -> DataFrame:
@@ -57,16 +57,20 @@ def gaussian_noise(px: DataFrame, std: Column | float, seed: str, channel: str |
     return px.withColumn("v", F.col("v") + F.lit(std) * normal)
 
 
-def _weighted(px: DataFrame, axis: str, weights: list[float], value: str = "v") -> DataFrame:
-    """Weighted mean along one axis, the weights renormalised at the borders."""
+def weighted(px: DataFrame, axis: str, columns: dict[str, tuple[str, list[float]]]) -> DataFrame:
+    """Weighted means along one axis, the weights renormalised at the borders: each new column from a source and its weights.
+    All of them share one window."""
     by = Window.partitionBy(*(COLUMNS if axis == "c" else ROWS)).orderBy(axis)
-    radius = len(weights) // 2
-    shifted = [(F.lag(value, radius - i).over(by) if i < radius else F.lead(value, i - radius).over(by) if i > radius else F.col(value)) for i in range(len(weights))]
-    names = [f"_s{i}" for i in range(len(weights))]
-    out = px.withColumns(dict(zip(names, shifted, strict=True)))
-    total = sum((F.coalesce(F.col(n), F.lit(0.0)) * w for n, w in zip(names, weights, strict=True)), F.lit(0.0))
-    weight = sum((F.when(F.col(n).isNotNull(), w).otherwise(0.0) for n, w in zip(names, weights, strict=True)), F.lit(0.0))
-    return out.withColumn(value, total / weight).drop(*names)
+    wanted = sorted({(source, i - len(w) // 2) for source, w in columns.values() for i in range(len(w))})
+    names = {k: f"_near{i}" for i, k in enumerate(wanted)}
+    near = {n: F.lead(s, by_).over(by) if by_ > 0 else F.lag(s, -by_).over(by) if by_ < 0 else F.col(s) for (s, by_), n in names.items()}
+
+    def mean(source: str, weights: list[float]) -> Column:
+        places = [(F.col(names[source, i - len(weights) // 2]), w) for i, w in enumerate(weights)]
+        total = sum((F.coalesce(v, F.lit(0.0)) * w for v, w in places), F.lit(0.0))
+        return total / sum((F.when(v.isNotNull(), w).otherwise(0.0) for v, w in places), F.lit(0.0))
+
+    return px.withColumns(near).withColumns({c: mean(*spec) for c, spec in columns.items()}).drop(*names.values())
 
 
 def gaussian_weights(sigma: float, radius: int | None = None) -> list[float]:
@@ -76,23 +80,52 @@ def gaussian_weights(sigma: float, radius: int | None = None) -> list[float]:
 
 
 def gaussian_blur(px: DataFrame, sigma: float, radius: int | None = None) -> DataFrame:
-    weights = gaussian_weights(sigma, radius)
-    return _weighted(_weighted(px, "c", weights), "r", weights)
+    along = {"v": ("v", gaussian_weights(sigma, radius))}
+    return weighted(weighted(px, "c", along), "r", along)
+
+
+def _by_level(px: DataFrame, columns: dict[float, str]) -> DataFrame:
+    """One row of each pixel and level, from a column of each level."""
+    rows = [F.struct(F.lit(level).alias("level"), F.col(c).alias("v")) for level, c in columns.items()]
+    return px.select("image_id", "r", "c", F.inline(F.array(*rows)))
+
+
+def blur_sweep(px: DataFrame, sigmas: dict[float, float]) -> DataFrame:
+    """Blurred images of all levels, each with a width of its own, in one pass along each axis."""
+    names = {level: f"_v{i}" for i, level in enumerate(sigmas)}
+    weights = {level: gaussian_weights(sigma) for level, sigma in sigmas.items()}
+    first = weighted(px, "c", {n: ("v", weights[level]) for level, n in names.items()})
+    return _by_level(weighted(first, "r", {n: (n, weights[level]) for level, n in names.items()}), names)
+
+
+def _reach(size: int, passes: int) -> int:
+    """How far passes of a square see; an even size counts as the next odd one."""
+    return passes * ((size | 1) - 1) // 2
 
 
-def _extreme(px: DataFrame, size: int, passes: int, f) -> DataFrame:
-    """Minimum or maximum over a square; an even size counts as the next odd one; passes widen the square."""
-    h = passes * ((size | 1) - 1) // 2
-    along = lambda keys, axis: Window.partitionBy(*keys).orderBy(axis).rangeBetween(-h, h)
-    return px.withColumn("v", f("v").over(along(COLUMNS, "c"))).withColumn("v", f("v").over(along(ROWS, "r")))
+def _extreme(px: DataFrame, reaches: dict[str, int], f) -> DataFrame:
+    """Minimum or maximum over squares, a column for each reach, in one pass along each axis."""
+    along = lambda keys, axis, h: Window.partitionBy(*keys).orderBy(axis).rangeBetween(-h, h)
+    across = px.withColumns({n: f("v").over(along(COLUMNS, "c", h)) for n, h in reaches.items()})
+    return across.withColumns({n: f(n).over(along(ROWS, "r", h)) for n, h in reaches.items()})
 
 
 def erode(px: DataFrame, size: int, passes: int = 1) -> DataFrame:
-    return _extreme(px, size, passes, F.min)
+    return _extreme(px, {"v": _reach(size, passes)}, F.min)
 
 
 def dilate(px: DataFrame, size: int, passes: int = 1) -> DataFrame:
-    return _extreme(px, size, passes, F.max)
+    return _extreme(px, {"v": _reach(size, passes)}, F.max)
+
+
+def erode_sweep(px: DataFrame, size: int, passes: list[int]) -> DataFrame:
+    """Eroded images; a level is a number of passes."""
+    return _by_level(_extreme(px, {f"_v{p}": _reach(size, p) for p in passes}, F.min), {p: f"_v{p}" for p in passes})
+
+
+def dilate_sweep(px: DataFrame, size: int, passes: list[int]) -> DataFrame:
+    """Dilated images; a level is a number of passes."""
+    return _by_level(_extreme(px, {f"_v{p}": _reach(size, p) for p in passes}, F.max), {p: f"_v{p}" for p in passes})
 
 
 def gamma(px: DataFrame, level: Column | float) -> DataFrame:
@@ -105,23 +138,30 @@ def shift(px: DataFrame, height: int, width: int, dr: int, dc: int) -> DataFrame
     return px.withColumns({"r": F.pmod(F.col("r") + dr, F.lit(height)), "c": F.pmod(F.col("c") + dc, F.lit(width))})
 
 
-def grid_distort(px: DataFrame, height: int, width: int, steps: int, limit: float, seed: str) -> DataFrame:
-    """A piecewise linear warp of both axes. Each axis has ``steps`` cells that a hash of the image and cell stretches by up
-    to ``limit``; the cells' borders, scaled to the axis, map a place to the source it shows (nearest pixel)."""
+def _let(value: Column, use) -> Column:
+    """``use(value)``, the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def grid_distort(pixels: Column, image_id: Column, height: int, width: int, steps: int, limit: Column | float, seed: str) -> Column:
+    """Arrays in row order, warped piecewise linearly along both axes without a shuffle. Each axis has ``steps`` cells that a hash
+    of the image and cell stretches by up to ``limit``; the cells' borders, scaled to the axis, map a place to the source it
+    shows (nearest pixel)."""
+
+    def sources(axis: str, size: int) -> Column:
+        stretch = lambda k: F.lit(1.0) + F.lit(limit) * (2 * uniform_of(F.concat_ws("|", F.lit(f"{seed}{axis}"), image_id, F.lit(k))) - 1)
+        upto = lambda cells, n: F.aggregate(F.slice(cells, F.lit(1), n), F.lit(0.0), lambda a, x: a + x)
+
+        def source(cells: Column, place: Column) -> Column:
+            at = place * F.lit(float(steps)) / size
+            cell = F.floor(at).cast("int")
+            shown = (upto(cells, cell) + (at - cell) * F.get(cells, cell)) / upto(cells, F.lit(steps)) * size
+            return F.least(F.greatest(F.floor(shown + 0.5), F.lit(0)), F.lit(size - 1)).cast("int")
 
-    def source(axis: str, size: int) -> Column:
-        stretch = lambda k: F.lit(1.0) + F.lit(limit) * (2 * uniform_of(F.concat_ws("|", F.lit(f"{seed}{axis}"), "image_id", F.lit(k))) - 1)
-        cells = F.array(*[stretch(k) for k in range(steps)])
-        whole = F.aggregate(cells, F.lit(0.0), lambda a, x: a + x)
-        at = F.col(axis) * F.lit(float(steps)) / size
-        cell = F.floor(at).cast("int")
-        before = F.aggregate(F.slice(cells, F.lit(1), cell), F.lit(0.0), lambda a, x: a + x)
-        place = (before + (at - cell) * cells[cell]) / whole * size
-        return F.least(F.greatest(F.floor(place + 0.5), F.lit(0)), F.lit(size - 1)).cast("int")
+        return _let(F.array(*[stretch(k) for k in range(steps)]), lambda cells: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda p: source(cells, p)))
 
-    asked = px.select("image_id", "r", "c", source("r", height).alias("_r"), source("c", width).alias("_c"))
-    shown = px.select("image_id", F.col("r").alias("_r"), F.col("c").alias("_c"), "v")
-    return asked.join(shown, ["image_id", "_r", "_c"]).select("image_id", "r", "c", "v")
+    both = F.struct(sources("r", height).alias("r"), sources("c", width).alias("c"))
+    return _let(both, lambda s: F.flatten(F.transform(s["r"], lambda r: F.transform(s["c"], lambda c: F.get(pixels, r * width + c)))))
 
 
 def crop_patches(px: DataFrame, centres: DataFrame, size: int, height: int, width: int) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from platewise.operators.relational import filter_condition_map
+
 
 def draw_order(seed: str, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys]))
@@ -51,6 +53,16 @@ def pick_even_levels(df: DataFrame, groups: list[str], level: str, n: int) -> Da
     return ranked.join(last, groups).filter(keep).select(*groups, level)
 
 
+def exploration_set(df: DataFrame, conditions: dict[str, object], unit: str, level: str, value: str, n: int, seed: str = "0") -> DataFrame:
+    """Of the rows that satisfy the conditions one original (``unit``, drawn by hash) with at most ``n`` of its levels, evenly spaced
+    and sorted, and for each the lowest and highest ``value``, the limits of its gray scale. Rows without unit or level count for nothing."""
+    rows = filter_condition_map(df, conditions).dropna(subset=[unit, level])
+    chosen = rows.select(unit).distinct().orderBy(draw_order(seed, unit), unit).limit(1)
+    own = rows.join(chosen, unit, "left_semi")
+    limits = own.groupBy(unit, level).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    return pick_even_levels(own, [unit], level, n).join(limits, [unit, level]).orderBy(level)
+
+
 def latest_artifact(df: DataFrame, run: str, name: str) -> DataFrame:
     """One artifact of each run: names with generator before model before best; among those one with ``best``, else the
     largest trailing number."""

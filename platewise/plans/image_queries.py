@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from platewise.operators import pixels as P
 from platewise.operators import quality as Q
-from platewise.operators.sampling import draw_order, pick_even_levels
+from platewise.operators.sampling import exploration_set
 from platewise.plans.registry import query, table
 
 #: Pixels in SQL, and the sum by which queries report an image.
 PX = """WITH e AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
   px AS (SELECT vec_id AS image_id, (i // 8)::INT AS r, (i % 8)::INT AS c, (x + 1) / 2 AS v FROM e)"""
 SUM = "SELECT image_id, round(sum(v * (r * 8 + c + 1)), 6) AS total FROM {px} GROUP BY 1"
+SUMS = "SELECT image_id, level, round(sum(v * (r * 8 + c + 1)), 6) AS total FROM {px} GROUP BY 1, 2"
 
 
 def images(spark, d):
@@ -24,8 +25,8 @@ def pixels(spark, d):
     return P.explode_pixels(images(spark, d).repartition("image_id"), 8)
 
 
-def summed(px):
-    return px.groupBy("image_id").agg(F.round(F.sum(F.col("v") * (F.col("r") * 8 + F.col("c") + 1)), 6).alias("total"))
+def summed(px, *by):
+    return px.groupBy("image_id", *by).agg(F.round(F.sum(F.col("v") * (F.col("r") * 8 + F.col("c") + 1)), 6).alias("total"))
 
 
 def pairs(spark, d):
@@ -61,56 +62,71 @@ def bitdepth_denormalize(spark, d):
 _U = "((('0x' || substr(md5(concat_ws('|', 'n{k}', image_id, r, c)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
 
 
-@query("noise_sweep", f"{PX} SELECT image_id, level, round(sum(v + level * sqrt(-2 * ln({_U.format(k='a')})) * cos(2 * pi() * {_U.format(k='b')})), 6) AS total FROM px, (VALUES (0.1::DOUBLE), (0.2::DOUBLE)) l(level) GROUP BY 1, 2")
+_NOISE = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3)
+
+
+@query("noise_sweep", f"""{PX} SELECT image_id, level, round(sum(v + level * sqrt(-2 * ln({_U.format(k='a')})) * cos(2 * pi() * {_U.format(k='b')})), 6) AS total
+  FROM px, (SELECT unnest({list(_NOISE)})::DOUBLE AS level) GROUP BY 1, 2""")
 def noise_sweep(spark, d):
-    px = pixels(spark, d)
-    one = lambda level: P.gaussian_noise(px, level, "n").groupBy("image_id").agg(F.round(F.sum("v"), 6).alias("total")).withColumn("level", F.lit(level))
-    return one(0.1).unionByName(one(0.2))
+    px = pixels(spark, d).withColumn("level", F.explode(F.array(*map(F.lit, _NOISE))))
+    return P.gaussian_noise(px, F.col("level"), "n").groupBy("image_id", "level").agg(F.round(F.sum("v"), 6).alias("total"))
 
 
-_W = [round(w, 17) for w in P.gaussian_weights(0.8, 2)]
-_BLUR1 = " + ".join(f"coalesce({w!r}::DOUBLE * {{v{k}}}, 0)" for k, w in enumerate(_W))
-_BLUR2 = " + ".join(f"CASE WHEN {{v{k}}} IS NULL THEN 0 ELSE {w!r}::DOUBLE END" for k, w in enumerate(_W))
-_LAGS = {f"v{k}": ("v" if k == 2 else f"{'lag' if k < 2 else 'lead'}(v, {abs(k - 2)}) OVER w") for k in range(5)}
-_AXIS = f"(({_BLUR1}) / ({_BLUR2}))".format(**_LAGS)
+_SIGMA = "0.8::DOUBLE * sqrt(level)"
 
 
-@query("blur_sweep", f"{PX}, h AS (SELECT image_id, r, c, {_AXIS} AS v FROM px WINDOW w AS (PARTITION BY image_id, r ORDER BY c)), b AS (SELECT image_id, r, c, {_AXIS} AS v FROM h WINDOW w AS (PARTITION BY image_id, c ORDER BY r)) {SUM.format(px='b')}")
+@query("blur_sweep", f"""{PX}, l AS (SELECT unnest(range(1, 7)) AS level), near AS (SELECT unnest(range(-6, 7)) AS k),
+  w AS (SELECT level, k, exp(-(k * k) / (2 * pow({_SIGMA}, 2))) AS w FROM l, near WHERE abs(k) <= ceil(3 * {_SIGMA})),
+  h AS (SELECT image_id, level, r, c + k AS c, sum(w * v) / sum(w) AS v FROM px, w WHERE c + k BETWEEN 0 AND 7 GROUP BY ALL),
+  b AS (SELECT image_id, level, r + k AS r, c, sum(w * v) / sum(w) AS v FROM h JOIN w USING (level) WHERE r + k BETWEEN 0 AND 7 GROUP BY ALL) {SUMS.format(px='b')}""")
 def blur_sweep(spark, d):
-    return summed(P.gaussian_blur(pixels(spark, d), 0.8, 2))
+    return summed(P.blur_sweep(pixels(spark, d), {it: 0.8 * it**0.5 for it in range(1, 7)}), "level")
 
 
-def _extreme_sql(f: str, h: int) -> str:
-    w = f"RANGE BETWEEN {h} PRECEDING AND {h} FOLLOWING"
-    return f"{PX}, h AS (SELECT image_id, r, c, {f}(v) OVER (PARTITION BY image_id, r ORDER BY c {w}) AS v FROM px), b AS (SELECT image_id, r, c, {f}(v) OVER (PARTITION BY image_id, c ORDER BY r {w}) AS v FROM h) {SUM.format(px='b')}"
+def _extreme_sql(f: str) -> str:
+    """Six levels of a 3 x 3 filter; each pass sees one pixel further."""
+    w = lambda h: f"RANGE BETWEEN {h} PRECEDING AND {h} FOLLOWING"
+    across = ", ".join(f"{f}(v) OVER (PARTITION BY image_id, r ORDER BY c {w(h)}) AS v{h}" for h in range(1, 7))
+    down = ", ".join(f"{f}(v{h}) OVER (PARTITION BY image_id, c ORDER BY r {w(h)}) AS v{h}" for h in range(1, 7))
+    levels = " UNION ALL ".join(f"SELECT image_id, {h} AS level, r, c, v{h} AS v FROM b" for h in range(1, 7))
+    return f"{PX}, h AS (SELECT image_id, r, c, {across} FROM px), b AS (SELECT image_id, r, c, {down} FROM h), s AS ({levels}) {SUMS.format(px='s')}"
 
 
-@query("erode_sweep", _extreme_sql("min", 2))
+@query("erode_sweep", _extreme_sql("min"))
 def erode_sweep(spark, d):
-    return summed(P.erode(pixels(spark, d), 2, 2))
+    return summed(P.erode_sweep(pixels(spark, d), 2, list(range(1, 7))), "level")
 
 
-@query("dilate_sweep", _extreme_sql("max", 1))
+@query("dilate_sweep", _extreme_sql("max"))
 def dilate_sweep(spark, d):
-    return summed(P.dilate(pixels(spark, d), 3))
+    return summed(P.dilate_sweep(pixels(spark, d), 3, list(range(1, 7))), "level")
+
 
+_GAMMA = (40, 60, 80, 125, 150, 200)
 
-@query("gamma_sweep", f"{PX} SELECT image_id, g AS level, round(sum(pow(v, g / 100.0::DOUBLE)), 6) AS total FROM px, (VALUES (60), (150)) l(g) GROUP BY 1, 2")
+
+@query("gamma_sweep", f"{PX} SELECT image_id, g AS level, round(sum(pow(v, g / 100.0::DOUBLE)), 6) AS total FROM px, (SELECT unnest({list(_GAMMA)}) AS g) GROUP BY 1, 2")
 def gamma_sweep(spark, d):
-    px = pixels(spark, d).withColumn("level", F.explode(F.array(F.lit(60), F.lit(150))))
-    return px.withColumn("v", F.pow("v", F.col("level") / 100)).groupBy("image_id", "level").agg(F.round(F.sum("v"), 6).alias("total"))
+    px = P.gamma(pixels(spark, d).withColumn("level", F.explode(F.array(*map(F.lit, _GAMMA)))), F.col("level"))
+    return px.groupBy("image_id", "level").agg(F.round(F.sum("v"), 6).alias("total"))
+
+
+_LIMITS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6)
 
 
 def _source_sql(axis: str) -> str:
-    u = lambda k: f"(1 + 0.3::DOUBLE * (2 * (('0x' || substr(md5(concat_ws('|', 'g{axis}', image_id, {k})), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE - 1))"
+    u = lambda k: f"(1 + level * (2 * (('0x' || substr(md5(concat_ws('|', 'g{axis}', image_id, {k})), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE - 1))"
     cells = "[" + ", ".join(u(k) for k in range(4)) + "]"
     cell = f"floor({axis} / 2.0)::INT"
     return f"least(greatest(floor((coalesce(list_sum(list_slice({cells}, 1, {cell})), 0) + ({axis} / 2.0::DOUBLE - {cell}) * {cells}[{cell} + 1]) / list_sum({cells}) * 8 + 0.5::DOUBLE), 0), 7)::INT"
 
 
-@query("grid_distort_sweep", f"{PX}, q AS (SELECT image_id, r, c, {_source_sql('r')} AS sr, {_source_sql('c')} AS sc FROM px), b AS (SELECT q.image_id, q.r, q.c, px.v FROM q JOIN px ON q.image_id = px.image_id AND q.sr = px.r AND q.sc = px.c) {SUM.format(px='b')}")
+@query("grid_distort_sweep", f"""{PX}, q AS (SELECT image_id, level, r, c, {_source_sql('r')} AS sr, {_source_sql('c')} AS sc FROM px, (SELECT unnest({list(_LIMITS)})::DOUBLE AS level)),
+  b AS (SELECT q.image_id, q.level, q.r, q.c, px.v FROM q JOIN px ON q.image_id = px.image_id AND q.sr = px.r AND q.sc = px.c) {SUMS.format(px='b')}""")
 def grid_distort_sweep(spark, d):
-    return summed(P.grid_distort(pixels(spark, d), 8, 8, 4, 0.3, "g"))
+    levels = images(spark, d).withColumn("level", F.explode(F.array(*map(F.lit, _LIMITS))))
+    warped = levels.withColumn("pixels", P.grid_distort(F.col("pixels"), F.col("image_id"), 8, 8, 4, F.col("level"), "g"))
+    return summed(P.explode_pixels(warped, 8, keep=("level",)), "level")
 
 
 @query("shift_sweep", f"{PX}, b AS (SELECT image_id, (r + 2) % 8 AS r, (c + 7) % 8 AS c, v FROM px) {SUM.format(px='b')}")
@@ -149,9 +165,22 @@ def _ssim_sql(size: int, source: str, fg: str = "1.0") -> str:
   m AS (SELECT image_id, f, (2 * sx / n * sy / n + 0.0001) * (2 * (sxy / n - sx / n * sy / n) + 0.0009) / ((sx / n * sx / n + sy / n * sy / n + 0.0001) * (sxx / n - sx / n * sx / n + syy / n - sy / n * sy / n + 0.0009)) AS ssim FROM m2)"""
 
 
-@query("metric_ssim", f"{PAIRS}, {_ssim_sql(7, 'pairs')} SELECT image_id, round(avg(ssim), 6) AS ssim FROM m GROUP BY 1")
+#: Gaussian weights over all pairs of pixels at most five apart along each axis.
+_GAUSS = """g AS (SELECT a.image_id, a.r, a.c, sum(w) AS w, sum(w * b.x) / sum(w) AS mx, sum(w * b.y) / sum(w) AS my, sum(w * b.x * b.x) / sum(w) AS xx,
+    sum(w * b.y * b.y) / sum(w) AS yy, sum(w * b.x * b.y) / sum(w) AS xy
+    FROM (SELECT a.*, b.r AS br, b.c AS bc, exp(-((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c)) / 4.5::DOUBLE) AS w FROM pairs a
+      JOIN (SELECT DISTINCT r, c FROM pairs) b ON abs(a.r - b.r) <= 5 AND abs(a.c - b.c) <= 5) a
+    JOIN pairs b ON b.image_id = a.image_id AND b.r = a.br AND b.c = a.bc GROUP BY 1, 2, 3),
+  gm AS (SELECT image_id, (2 * mx * my + 0.0001) * (2 * (xy - mx * my) + 0.0009) / ((mx * mx + my * my + 0.0001) * (xx - mx * mx + yy - my * my + 0.0009)) AS ssim FROM g)"""
+
+
+@query("metric_ssim", f"""{PAIRS}, {_ssim_sql(7, 'pairs')}, {_GAUSS} SELECT image_id, round(avg(m.ssim), 6) AS ssim_uniform, min(gs.ssim) AS ssim FROM m
+  JOIN (SELECT image_id, round(avg(ssim), 6) AS ssim FROM gm GROUP BY 1) gs USING (image_id) GROUP BY 1""")
 def metric_ssim(spark, d):
-    return Q.ssim(pairs(spark, d)).withColumn("ssim", F.round("ssim", 6))
+    """With Gaussian weights (11, sigma 1.5), and with uniform ones."""
+    px = pairs(spark, d)
+    both = Q.gaussian_ssim(px).join(Q.ssim(px).withColumnRenamed("ssim", "ssim_uniform"), "image_id")
+    return both.select("image_id", F.round("ssim", 6).alias("ssim"), F.round("ssim_uniform", 6).alias("ssim_uniform"))
 
 
 _OTSU = """h AS (SELECT image_id, least(floor(y * 64), 63)::INT AS b, count(*)::DOUBLE AS n FROM pairs GROUP BY 1, 2),
@@ -191,10 +220,10 @@ def _named_ssim_sql(size: int, source: str, prefix: str, fg: str = "1.0") -> str
     return sql.replace("  m AS (", f"  {prefix}m AS (")
 
 
-@query("metric_table", f"""{PAIRS}, {_OTSU}, {_named_ssim_sql(7, 'pairs', 'a')}, {_named_ssim_sql(3, 'masked', 'b', 'fg')}
+@query("metric_table", f"""{PAIRS}, {_OTSU}, {_GAUSS}, {_named_ssim_sql(3, 'masked', 'b', 'fg')}
   SELECT image_id, 'mae' AS metric_name, round(avg(abs(x - y)), 6) AS metric_value FROM pairs GROUP BY 1
   UNION ALL SELECT image_id, 'psnr', round(-10 * log10(avg((x - y) * (x - y))), 6) FROM pairs GROUP BY 1
-  UNION ALL SELECT image_id, 'ssim', round(avg(ssim), 6) FROM am GROUP BY 1
+  UNION ALL SELECT image_id, 'ssim', round(avg(ssim), 6) FROM gm GROUP BY 1
   UNION ALL SELECT image_id, 'fg_psnr', round({_FG_PSNR}, 6) FROM masked GROUP BY 1
   UNION ALL SELECT image_id, 'fg_ssim', round({_FG_SSIM}, 6) FROM bm GROUP BY 1""")
 def metric_table(spark, d):
@@ -208,12 +237,12 @@ def replicate_channels(spark, d):
     return rows.select("image_id", F.size("channels").alias("channels"), F.round(total, 6).alias("total"))
 
 
-@query("explore_random_set", """WITH o AS (SELECT user_id FROM events WHERE event_type = 'click' GROUP BY 1 ORDER BY md5('3|' || user_id), user_id LIMIT 1),
-  l AS (SELECT user_id, k, row_number() OVER (ORDER BY k) - 1 AS pos FROM (SELECT DISTINCT user_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events JOIN o USING (user_id) WHERE event_type = 'click')),
+@query("explore_random_set", """WITH e AS (SELECT user_id, json_extract_string(props, '$.k')::BIGINT AS k, value FROM events WHERE event_type = 'click'),
+  o AS (SELECT user_id FROM e WHERE k IS NOT NULL GROUP BY 1 ORDER BY md5('3|' || user_id), user_id LIMIT 1),
+  l AS (SELECT user_id, k, min(value) AS low, max(value) AS high, row_number() OVER (ORDER BY k) - 1 AS pos FROM e JOIN o USING (user_id) WHERE k IS NOT NULL GROUP BY 1, 2),
   s AS (SELECT max(pos) AS top FROM l)
-  SELECT user_id, k FROM l, s WHERE top < 4 OR pos IN (0, round_even(top / 3.0::DOUBLE, 0), round_even(2 * top / 3.0::DOUBLE, 0), top)""")
+  SELECT user_id, k, low, high FROM l, s WHERE top < 4 OR pos IN (0, round_even(top / 3.0::DOUBLE, 0), round_even(2 * top / 3.0::DOUBLE, 0), top)""")
 def explore_random_set(spark, d):
-    """One original, drawn by hash, with at most four of its levels, evenly spaced."""
-    rows = table(spark, d, "events").filter("event_type = 'click'").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
-    chosen = rows.select("user_id").distinct().orderBy(draw_order("3", "user_id"), "user_id").limit(1)
-    return pick_even_levels(rows.join(chosen, "user_id", "left_semi"), ["user_id"], "k", 4)
+    """One original, drawn by hash, with at most four of its levels, evenly spaced, and their gray limits."""
+    rows = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return exploration_set(rows, {"event_type": "click"}, "user_id", "k", "value", 4, "3")

@@ -172,10 +172,13 @@ def lookup_metadata(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(known, "c_custkey", "left").fillna("{}", ["props"])
 
 
-@query("cross_join_sweep", """SELECT vec_id, name, level FROM embeddings,
-  (VALUES ('blur', 1.0), ('blur', 2.0), ('noise', 0.1), ('noise', 0.2)) g(name, level)""")
+_SWEEPS = ("noise", "blur", "erode", "dilate", "brighten", "darken", "distort")
+
+
+@query("cross_join_sweep", f"SELECT vec_id, name, level::DOUBLE AS level FROM embeddings, (SELECT unnest({list(_SWEEPS)}) AS name), (SELECT unnest(range(1, 7)) AS level)")
 def cross_join_sweep(spark, d):
-    grid = spark.createDataFrame([("blur", 1.0), ("blur", 2.0), ("noise", 0.1), ("noise", 0.2)], "name string, level double")
+    """Seven sweeps of six levels."""
+    grid = spark.createDataFrame([(name, float(level)) for name in _SWEEPS for level in range(1, 7)], "name string, level double")
     return R.sweep(table(spark, d, "embeddings").select("vec_id"), grid)
 
 

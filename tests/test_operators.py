@@ -260,3 +260,34 @@ def test_registered_bootstrap_has_300_resamples(spark):
 
     counts = QUERIES["bootstrap_nested"](spark, "/root/testdata/sf0.001").groupBy("l_returnflag", "l_linestatus").count().collect()
     assert counts and {r["count"] for r in counts} == {300}
+
+
+def test_exact_quantiles(spark, monkeypatch):
+    """Groups large and small against the built-in percentile; a low accuracy makes the estimates work."""
+    rows = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 3 = 1 THEN 'b' END AS g", "CASE WHEN id % 7 = 0 THEN NULL ELSE (id * 7919 % 1000) * 1.0D END AS v")
+    rows = rows.union(spark.createDataFrame([("one", 5.0), ("none", None), ("two", 1.0), ("two", 2.0)], "g string, v double"))
+    ps = [0.0, 0.025, 0.25, 0.5, 0.975, 1.0]
+    for accuracy in (20, 10_000):
+        monkeypatch.setattr(A, "ACCURACY", accuracy)
+        for keys in (["g"], []):
+            got = {tuple(r[k] for k in keys): list(r)[len(keys) :] for r in A.exact_quantiles(rows, keys, "v", ps).collect()}
+            want = {tuple(r[k] for k in keys): r.q for r in rows.groupBy(*keys).agg(F.percentile("v", F.array(*map(F.lit, ps))).alias("q")).collect() if r.q}
+            assert got == {k: pytest.approx(v) for k, v in want.items()}
+    none = A.exact_quantiles(rows.filter("false"), [], "v", [0.5])
+    assert [tuple(r) for r in none.collect()] == [(None,)]
+    band = A.mean_quantile_band(rows, ["g"], ["v"])
+    assert {r.g for r in band.collect()} == {"a", "b", None, "one", "two", "none"}
+
+
+def test_grid_distort_keeps_or_moves(spark):
+    images = spark.createDataFrame([(1, [float(i) for i in range(24)])], "image_id int, pixels array<double>")
+    warp = lambda limit: images.select(P.grid_distort(F.col("pixels"), F.col("image_id"), 4, 6, 2, limit, "s").alias("p")).first().p
+    assert warp(0.0) == [float(i) for i in range(24)]
+    moved = warp(0.9)
+    assert len(moved) == 24 and set(moved) <= set(range(24)) and moved != warp(0.0)
+
+
+def test_gaussian_ssim_is_one_for_equal_images(spark):
+    px = spark.range(144).selectExpr("1 AS image_id", "int(id div 12) AS r", "int(id % 12) AS c", "(id * 37 % 100) / 100D AS x").withColumn("y", F.col("x"))
+    assert Q.gaussian_ssim(px).first().ssim == pytest.approx(1)
+    assert Q.gaussian_ssim(px.withColumn("x", F.lit(0.5))).first().ssim < 0.5
