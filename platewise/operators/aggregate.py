@@ -9,6 +9,9 @@ from pyspark.sql.window import Window
 #: Accuracy of a quantile's estimate: it decides how many rows the exact step sorts, never the result.
 ACCURACY = 10_000
 
+#: Groups whose estimates are broadcast to their rows (some 100 bytes a group); more are joined by shuffling.
+BROADCAST_GROUPS = 20_000
+
 
 def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Joined to one row of each group, null keys too; without keys to the only row."""
@@ -21,11 +24,15 @@ def exact_quantiles(df: DataFrame, keys: list[str], column: str, probabilities:
     """For each group with values, interpolated quantiles ``_q0``, ``_q1``, ... (without keys one row, of nulls if there is no value).
 
     Estimates enclose each quantile; values below count in one number, values between one by one, as ranks. So no buffer holds the
-    values of a group, and a window sorts some 4 / ``ACCURACY`` of them (all those of groups of up to 4 * ``ACCURACY`` rows)."""
+    values of a group, and a window sorts some 4 / ``ACCURACY`` of them (all those of groups of up to 4 * ``ACCURACY`` rows). Estimates
+    are read first; those of few groups are broadcast, so the rows of a hot group stay where they are until they are counted."""
     known = df.select(*keys, F.col(column).alias("_v")).filter(F.col("_v").isNotNull())
     slack = 2 / ACCURACY
     asked = [min(max(p + s, 0.0), 1.0) for p in probabilities for s in (-slack, slack)]
     bounds = known.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", asked, ACCURACY).alias("_b"))
+    few = bounds.limit(BROADCAST_GROUPS + 1).collect()
+    if len(few) <= BROADCAST_GROUPS:
+        bounds = F.broadcast(df.sparkSession.createDataFrame(few, bounds.schema))
     each = [F.struct(F.lit(i).alias("_i"), F.lit(float(p)).alias("_p"), F.get("_b", F.lit(2 * i)).alias("_low"), F.get("_b", F.lit(2 * i + 1)).alias("_high")) for i, p in enumerate(probabilities)]
     rows = _joined(known, bounds, keys, "inner").select(*keys, "_v", "_n", F.inline(F.array(*each)))
     small = F.col("_n") <= 4 * ACCURACY

@@ -58,19 +58,23 @@ def gaussian_noise(px: DataFrame, std: Column | float, seed: str, channel: str |
 
 
 def weighted(px: DataFrame, axis: str, columns: dict[str, tuple[str, list[float]]]) -> DataFrame:
-    """Weighted means along one axis, the weights renormalised at the borders: each new column from a source and its weights.
-    All of them share one window."""
+    """Weighted means along one axis, the weights renormalised at the borders: each new column from a source and its weights. A
+    missing value makes those round it missing.
+    All of them share one window, in which each neighbour is fetched once with all its sources."""
     by = Window.partitionBy(*(COLUMNS if axis == "c" else ROWS)).orderBy(axis)
-    wanted = sorted({(source, i - len(w) // 2) for source, w in columns.values() for i in range(len(w))})
-    names = {k: f"_near{i}" for i, k in enumerate(wanted)}
-    near = {n: F.lead(s, by_).over(by) if by_ > 0 else F.lag(s, -by_).over(by) if by_ < 0 else F.col(s) for (s, by_), n in names.items()}
+    sources = F.struct(*sorted({source for source, _ in columns.values()}))
+    reach = max(len(w) // 2 for _, w in columns.values())
+    near = {f"_near{i}": F.lag(sources, reach - i).over(by) if i < reach else F.lead(sources, i - reach).over(by) if i > reach else sources for i in range(2 * reach + 1)}
 
-    def mean(source: str, weights: list[float]) -> Column:
-        places = [(F.col(names[source, i - len(weights) // 2]), w) for i, w in enumerate(weights)]
-        total = sum((F.coalesce(v, F.lit(0.0)) * w for v, w in places), F.lit(0.0))
-        return total / sum((F.when(v.isNotNull(), w).otherwise(0.0) for v, w in places), F.lit(0.0))
+    kinds = {tuple(w): f"_weight{i}" for i, w in enumerate(dict.fromkeys(tuple(w) for _, w in columns.values()))}
 
-    return px.withColumns(near).withColumns({c: mean(*spec) for c, spec in columns.items()}).drop(*names.values())
+    def over_places(weights: tuple[float, ...], value) -> Column:
+        places = [(F.col(f"_near{reach - len(weights) // 2 + i}"), w) for i, w in enumerate(weights)]
+        return sum((F.when(p.isNotNull(), value(p, w)).otherwise(0.0) for p, w in places), F.lit(0.0))
+
+    present = {name: over_places(w, lambda p, w: F.lit(w)) for w, name in kinds.items()}
+    means = {c: over_places(tuple(w), lambda p, w, source=source: p[source] * w) / F.col(kinds[tuple(w)]) for c, (source, w) in columns.items()}
+    return px.withColumns(near).withColumns(present).withColumns(means).drop(*near, *present)
 
 
 def gaussian_weights(sigma: float, radius: int | None = None) -> list[float]:
