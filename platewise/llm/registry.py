@@ -13,6 +13,7 @@ from platewise.llm import (
     token_files,
     toxicity_gru,
     warc,
+    whitening,
 )
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_token_files": token_files.op9_token_files,
     "op10_decontamination": decontamination.op10_decontamination,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLES = {
