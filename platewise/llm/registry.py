@@ -5,6 +5,7 @@ from __future__ import annotations
 from platewise.llm import (
     chat_format,
     decontamination,
+    hard_negatives,
     license_scan,
     mixing,
     ngram_join,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_token_files": token_files.op9_token_files,
     "op10_decontamination": decontamination.op10_decontamination,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_whitening": whitening.op13_whitening,
 }
 
@@ -38,4 +40,5 @@ ORACLES = {
     "op7_license_scan": license_scan.ORACLE,
     "op8_ngram_join": ngram_join.ORACLE,
     "op10_decontamination": decontamination.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
