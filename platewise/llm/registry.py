@@ -11,6 +11,7 @@ from platewise.llm import (
     ngram_join,
     quality_crf,
     quality_rules,
+    token_counts,
     token_files,
     toxicity_gru,
     warc,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_token_files": token_files.op9_token_files,
     "op10_decontamination": decontamination.op10_decontamination,
+    "op11_token_counts": token_counts.op11_token_counts,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_whitening": whitening.op13_whitening,
 }
