@@ -161,12 +161,12 @@ def bidiagonalise(products, width: int, most: int, seed: int = SEED) -> tuple[np
         j = v.shape[1]
         y = right - beta * w[:, -1] if beta else right
         v = np.column_stack([v, right])
-        while True:
+        for _ in range(3):
             left, back = products(np.column_stack([w, y]))
             c, square = left[:-1], left[-1] - left[:-1] @ left[:-1]
             alpha = float(np.sqrt(max(square, 0.0)))
             y, back = y - w @ c, back - z @ c
-            # A second pass where the first one took away more than rounding.
+            # Another pass where this one took away more than rounding (which it does of directions with almost no variance).
             if alpha <= width * np.finfo(float).eps * max(scale, np.sqrt(left[-1])) or np.linalg.norm(c) <= 1e-10 * alpha:
                 break
         scale = max(scale, alpha)
