@@ -1,15 +1,16 @@
-"""Images as tables: ``(image_id, r, c, v)`` pixels, degraded by expressions and windows inside each image."""
+"""Images as tables: ``(image_id, r, c, v)`` pixels, degraded by expressions, and by filters of tiles."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.scalars import uniform_of
-
-ROWS, COLUMNS = ("image_id", "c"), ("image_id", "r")
+from platewise.operators.tiles import extreme, filtered, tile_rows, weighted_mean
 
 
 def explode_pixels(df: DataFrame, width: int, image_id: str = "image_id", pixels: str = "pixels", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -57,49 +58,30 @@ def gaussian_noise(px: DataFrame, std: Column | float, seed: str, channel: str |
     return px.withColumn("v", F.col("v") + F.lit(std) * normal)
 
 
-def weighted(px: DataFrame, axis: str, columns: dict[str, tuple[str, list[float]]]) -> DataFrame:
-    """Weighted means along one axis, the weights renormalised at the borders: each new column from a source and its weights. A
-    missing value makes those round it missing.
-    All of them share one window, in which each neighbour is fetched once with all its sources."""
-    by = Window.partitionBy(*(COLUMNS if axis == "c" else ROWS)).orderBy(axis)
-    sources = F.struct(*sorted({source for source, _ in columns.values()}))
-    reach = max(len(w) // 2 for _, w in columns.values())
-    near = {f"_near{i}": F.lag(sources, reach - i).over(by) if i < reach else F.lead(sources, i - reach).over(by) if i > reach else sources for i in range(2 * reach + 1)}
-
-    kinds = {tuple(w): f"_weight{i}" for i, w in enumerate(dict.fromkeys(tuple(w) for _, w in columns.values()))}
-
-    def over_places(weights: tuple[float, ...], value) -> Column:
-        places = [(F.col(f"_near{reach - len(weights) // 2 + i}"), w) for i, w in enumerate(weights)]
-        return sum((F.when(p.isNotNull(), value(p, w)).otherwise(0.0) for p, w in places), F.lit(0.0))
-
-    present = {name: over_places(w, lambda p, w: F.lit(w)) for w, name in kinds.items()}
-    means = {c: over_places(tuple(w), lambda p, w, source=source: p[source] * w) / F.col(kinds[tuple(w)]) for c, (source, w) in columns.items()}
-    return px.withColumns(near).withColumns(present).withColumns(means).drop(*near, *present)
-
-
 def gaussian_weights(sigma: float, radius: int | None = None) -> list[float]:
     radius = radius if radius is not None else max(1, math.ceil(3 * sigma))
     raw = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-radius, radius + 1)]
     return [w / sum(raw) for w in raw]
 
 
-def gaussian_blur(px: DataFrame, sigma: float, radius: int | None = None) -> DataFrame:
-    along = {"v": ("v", gaussian_weights(sigma, radius))}
-    return weighted(weighted(px, "c", along), "r", along)
+def _levels(px: DataFrame, halo: int, levels: dict[float, Callable]) -> DataFrame:
+    return filtered(tile_rows(px, ["v"], halo), levels)
+
 
+def _blur(weights: list[float]) -> Callable:
+    return lambda v, there: weighted_mean(v, there, weights)
 
-def _by_level(px: DataFrame, columns: dict[float, str]) -> DataFrame:
-    """One row of each pixel and level, from a column of each level."""
-    rows = [F.struct(F.lit(level).alias("level"), F.col(c).alias("v")) for level, c in columns.items()]
-    return px.select("image_id", "r", "c", F.inline(F.array(*rows)))
+
+def gaussian_blur(px: DataFrame, sigma: float, radius: int | None = None) -> DataFrame:
+    """Weights are renormalised where the kernel leaves the image."""
+    weights = gaussian_weights(sigma, radius)
+    return _levels(px, len(weights) // 2, {0: _blur(weights)}).drop("level")
 
 
 def blur_sweep(px: DataFrame, sigmas: dict[float, float]) -> DataFrame:
-    """Blurred images of all levels, each with a width of its own, in one pass along each axis."""
-    names = {level: f"_v{i}" for i, level in enumerate(sigmas)}
+    """Blurred images of all levels, each with a width of its own; every tile is read once."""
     weights = {level: gaussian_weights(sigma) for level, sigma in sigmas.items()}
-    first = weighted(px, "c", {n: ("v", weights[level]) for level, n in names.items()})
-    return _by_level(weighted(first, "r", {n: (n, weights[level]) for level, n in names.items()}), names)
+    return _levels(px, max(len(w) for w in weights.values()) // 2, {level: _blur(w) for level, w in weights.items()})
 
 
 def _reach(size: int, passes: int) -> int:
@@ -107,29 +89,27 @@ def _reach(size: int, passes: int) -> int:
     return passes * ((size | 1) - 1) // 2
 
 
-def _extreme(px: DataFrame, reaches: dict[str, int], f) -> DataFrame:
-    """Minimum or maximum over squares, a column for each reach, in one pass along each axis."""
-    along = lambda keys, axis, h: Window.partitionBy(*keys).orderBy(axis).rangeBetween(-h, h)
-    across = px.withColumns({n: f("v").over(along(COLUMNS, "c", h)) for n, h in reaches.items()})
-    return across.withColumns({n: f(n).over(along(ROWS, "r", h)) for n, h in reaches.items()})
+def _extremes(px: DataFrame, reaches: dict[float, int], f: np.ufunc) -> DataFrame:
+    each = lambda h: lambda v, there: extreme(v, h, f)
+    return _levels(px, max(reaches.values()), {level: each(h) for level, h in reaches.items()})
 
 
 def erode(px: DataFrame, size: int, passes: int = 1) -> DataFrame:
-    return _extreme(px, {"v": _reach(size, passes)}, F.min)
+    return _extremes(px, {0: _reach(size, passes)}, np.minimum).drop("level")
 
 
 def dilate(px: DataFrame, size: int, passes: int = 1) -> DataFrame:
-    return _extreme(px, {"v": _reach(size, passes)}, F.max)
+    return _extremes(px, {0: _reach(size, passes)}, np.maximum).drop("level")
 
 
 def erode_sweep(px: DataFrame, size: int, passes: list[int]) -> DataFrame:
     """Eroded images; a level is a number of passes."""
-    return _by_level(_extreme(px, {f"_v{p}": _reach(size, p) for p in passes}, F.min), {p: f"_v{p}" for p in passes})
+    return _extremes(px, {p: _reach(size, p) for p in passes}, np.minimum)
 
 
 def dilate_sweep(px: DataFrame, size: int, passes: list[int]) -> DataFrame:
     """Dilated images; a level is a number of passes."""
-    return _by_level(_extreme(px, {f"_v{p}": _reach(size, p) for p in passes}, F.max), {p: f"_v{p}" for p in passes})
+    return _extremes(px, {p: _reach(size, p) for p in passes}, np.maximum)
 
 
 def gamma(px: DataFrame, level: Column | float) -> DataFrame:
@@ -170,11 +150,17 @@ def grid_distort(pixels: Column, image_id: Column, height: int, width: int, step
 
 def crop_patches(px: DataFrame, centres: DataFrame, size: int, height: int, width: int) -> DataFrame:
     """Patches (patch_idx, r and c from 0) of a size round centres (image_id, patch_idx, cy, cx); a patch that leaves the
-    field is dropped."""
+    field is dropped. Pixels and patches meet by cells of the patches' size, of which a patch touches four, so the work follows
+    the patches and not an image's pixels times its centres."""
     h = size // 2
-    inside = (F.col("cy") >= h) & (F.col("cy") + size - h <= height) & (F.col("cx") >= h) & (F.col("cx") + size - h <= width)
-    near = px.join(centres.filter(inside), "image_id").filter(F.col("r").between(F.col("cy") - h, F.col("cy") + size - h - 1) & F.col("c").between(F.col("cx") - h, F.col("cx") + size - h - 1))
-    return near.select("image_id", "patch_idx", (F.col("r") - F.col("cy") + h).alias("r"), (F.col("c") - F.col("cx") + h).alias("c"), "v")
+    top, left = F.col("cy") - h, F.col("cx") - h
+    inside = (top >= 0) & (top + size <= height) & (left >= 0) & (left + size <= width)
+    cell = lambda x: F.floor(x / size).cast("int")
+    each = lambda x: F.explode(F.array_distinct(F.array(cell(x), cell(x + size - 1))))
+    wanted = centres.filter(inside).select("image_id", "patch_idx", top.alias("_top"), left.alias("_left"), each(top).alias("_i")).select("*", each(F.col("_left")).alias("_j"))
+    near = px.withColumns({"_i": cell(F.col("r")), "_j": cell(F.col("c"))}).join(wanted, ["image_id", "_i", "_j"])
+    r, c = F.col("r") - F.col("_top"), F.col("c") - F.col("_left")
+    return near.filter(r.between(0, size - 1) & c.between(0, size - 1)).select("image_id", "patch_idx", r.alias("r"), c.alias("c"), "v")
 
 
 def center_crop(px: DataFrame, height: int, width: int, size: int) -> DataFrame:

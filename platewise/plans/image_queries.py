@@ -178,8 +178,7 @@ _GAUSS = """g AS (SELECT a.image_id, a.r, a.c, sum(w) AS w, sum(w * b.x) / sum(w
   JOIN (SELECT image_id, round(avg(ssim), 6) AS ssim FROM gm GROUP BY 1) gs USING (image_id) GROUP BY 1""")
 def metric_ssim(spark, d):
     """With Gaussian weights (11, sigma 1.5), and with uniform ones."""
-    px = pairs(spark, d)
-    both = Q.gaussian_ssim(px).join(Q.ssim(px).withColumnRenamed("ssim", "ssim_uniform"), "image_id")
+    both = Q.measured(pairs(spark, d), {"ssim": Q.gaussian_ssim_metric(), "ssim_uniform": Q.ssim_metric()})
     return both.select("image_id", F.round("ssim", 6).alias("ssim"), F.round("ssim_uniform", 6).alias("ssim_uniform"))
 
 
@@ -201,15 +200,28 @@ _FG_PSNR = "-10 * log10(greatest(sum(CASE WHEN fg THEN (x - y) * (x - y) ELSE 0
 
 @query("metric_fg_psnr", f"{PAIRS}, {_OTSU} SELECT image_id, round({_FG_PSNR}, 6) AS fg_psnr FROM masked GROUP BY 1")
 def metric_fg_psnr(spark, d):
-    return Q.fg_psnr(Q.with_mask(pairs(spark, d))).withColumn("fg_psnr", F.round("fg_psnr", 6))
+    return Q.fg_psnr(pairs(spark, d)).withColumn("fg_psnr", F.round("fg_psnr", 6))
 
 
-_FG_SSIM = "coalesce(avg(ssim) FILTER (f = 9), 0)"
+_FG_SSIM = "coalesce(avg(ssim) FILTER (f = 121), 0)"
 
+#: Sixteen embeddings as one image of 32 x 32, its right half brighter, and a blunted copy.
+MOSAICS = """WITH e AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+  px AS (SELECT vec_id // 16 AS image_id, ((vec_id % 16) // 4 * 8 + i // 8)::INT AS r, (vec_id % 4 * 8 + i % 8)::INT AS c, 0.2 * (x + 1) + CASE WHEN vec_id % 4 > 1 THEN 0.6 ELSE 0 END AS v FROM e),
+  pairs AS (SELECT image_id, r, c, floor(v * 16) / 16 AS x, v AS y FROM px)"""
 
-@query("metric_fg_ssim", f"{PAIRS}, {_OTSU}, {_ssim_sql(3, 'masked', 'fg')} SELECT image_id, round({_FG_SSIM}, 6) AS fg_ssim FROM m GROUP BY 1")
+
+def mosaics(spark, d):
+    """The pixels of an array travel as they are; they are dealt to tiles once."""
+    each = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e"))
+    place = F.floor(F.col("vec_id") / 16).alias("image_id"), (F.floor(F.col("vec_id") % 16 / 4) * 8 + F.floor(F.col("i") / 8)).cast("int").alias("r"), (F.col("vec_id") % 4 * 8 + F.col("i") % 8).cast("int").alias("c")
+    px = each.select(*place, (0.2 * (F.col("e").cast("double") + 1) + F.when(F.col("vec_id") % 4 > 1, 0.6).otherwise(0.0)).alias("v"))
+    return px.select("image_id", "r", "c", (F.floor(F.col("v") * 16) / 16).alias("x"), F.col("v").alias("y"))
+
+
+@query("metric_fg_ssim", f"{MOSAICS}, {_OTSU}, {_ssim_sql(11, 'masked', 'fg')} SELECT image_id, round({_FG_SSIM}, 6) AS fg_ssim FROM m GROUP BY 1")
 def metric_fg_ssim(spark, d):
-    return Q.fg_ssim(Q.with_mask(pairs(spark, d)), 3).withColumn("fg_ssim", F.round("fg_ssim", 6))
+    return Q.fg_ssim(mosaics(spark, d)).withColumn("fg_ssim", F.round("fg_ssim", 6))
 
 
 def _named_ssim_sql(size: int, source: str, prefix: str, fg: str = "1.0") -> str:
@@ -220,14 +232,14 @@ def _named_ssim_sql(size: int, source: str, prefix: str, fg: str = "1.0") -> str
     return sql.replace("  m AS (", f"  {prefix}m AS (")
 
 
-@query("metric_table", f"""{PAIRS}, {_OTSU}, {_GAUSS}, {_named_ssim_sql(3, 'masked', 'b', 'fg')}
+@query("metric_table", f"""{MOSAICS}, {_OTSU}, {_GAUSS}, {_named_ssim_sql(11, 'masked', 'b', 'fg')}
   SELECT image_id, 'mae' AS metric_name, round(avg(abs(x - y)), 6) AS metric_value FROM pairs GROUP BY 1
   UNION ALL SELECT image_id, 'psnr', round(-10 * log10(avg((x - y) * (x - y))), 6) FROM pairs GROUP BY 1
   UNION ALL SELECT image_id, 'ssim', round(avg(ssim), 6) FROM gm GROUP BY 1
   UNION ALL SELECT image_id, 'fg_psnr', round({_FG_PSNR}, 6) FROM masked GROUP BY 1
   UNION ALL SELECT image_id, 'fg_ssim', round({_FG_SSIM}, 6) FROM bm GROUP BY 1""")
 def metric_table(spark, d):
-    return Q.metric_table(pairs(spark, d)).withColumn("metric_value", F.round("metric_value", 6))
+    return Q.metric_table(mosaics(spark, d)).withColumn("metric_value", F.round("metric_value", 6))
 
 
 @query("replicate_channels", "SELECT vec_id AS image_id, 3::INT AS channels, round(3 * list_sum(list_transform(embedding, lambda x: (x::DOUBLE + 1) / 2)), 6) AS total FROM embeddings")
