@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from platewise.operators.relational import is_missing
+
 #: Accuracy of a quantile's estimate: it decides how many rows the exact step sorts, never the result.
 ACCURACY = 10_000
 
@@ -26,7 +28,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], column: str, probabilities:
     Estimates enclose each quantile; values below count in one number, values between one by one, as ranks. So no buffer holds the
     values of a group, and a window sorts some 4 / ``ACCURACY`` of them (all those of groups of up to 4 * ``ACCURACY`` rows). Estimates
     are read first; those of few groups are broadcast, so the rows of a hot group stay where they are until they are counted."""
-    known = df.select(*keys, F.col(column).alias("_v")).filter(F.col("_v").isNotNull())
+    known = df.select(*keys, F.col(column).alias("_v")).filter(~is_missing(df, column))
     slack = 2 / ACCURACY
     asked = [min(max(p + s, 0.0), 1.0) for p in probabilities for s in (-slack, slack)]
     bounds = known.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", asked, ACCURACY).alias("_b"))
@@ -47,12 +49,24 @@ def exact_quantiles(df: DataFrame, keys: list[str], column: str, probabilities:
 
 
 def mean_quantile_band(df: DataFrame, keys: list[str], columns: list[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """For each group and column: mean, interpolated low and high quantile, and their distances from the mean."""
-    out = df.groupBy(*keys).agg(*[F.avg(c).alias(f"{c}_mean") for c in columns])
+    """For each group and column: mean, interpolated low and high quantile, and their distances from the mean. Missing values (NULL or NaN)
+    count for nothing."""
+    out = df.groupBy(*keys).agg(*[F.avg(F.when(~is_missing(df, c), F.col(c))).alias(f"{c}_mean") for c in columns])
     for c in columns:
         out = _joined(out, exact_quantiles(df, keys, c, [low, high]), keys, "left").withColumnsRenamed({"_q0": f"{c}_low", "_q1": f"{c}_high"})
-        out = out.withColumns({f"{c}_minus": F.col(f"{c}_mean") - F.col(f"{c}_low"), f"{c}_plus": F.col(f"{c}_high") - F.col(f"{c}_mean")})
-    return out
+    return _distances(out, columns)
+
+
+def _distances(bands: DataFrame, columns: list[str]) -> DataFrame:
+    return bands.withColumns({k: v for c in columns for k, v in ((f"{c}_minus", F.col(f"{c}_mean") - F.col(f"{c}_low")), (f"{c}_plus", F.col(f"{c}_high") - F.col(f"{c}_mean")))})
+
+
+def small_group_bands(df: DataFrame, keys: list[str], columns: list[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """The same in one aggregation of all columns, whose buffers hold a group's values: for groups whose size has a known bound."""
+    known = {c: F.when(~is_missing(df, c), F.col(c)) for c in columns}
+    found = df.groupBy(*keys).agg(*[x for c, v in known.items() for x in (F.avg(v).alias(f"{c}_mean"), F.percentile(v, [low, high]).alias(f"_{c}"))])
+    out = found.select(*keys, *[x for c in columns for x in (f"{c}_mean", F.get(f"_{c}", F.lit(0)).alias(f"{c}_low"), F.get(f"_{c}", F.lit(1)).alias(f"{c}_high"))])
+    return _distances(out, columns)
 
 
 def min_group_filter(df: DataFrame, keys: list[str], least: int) -> DataFrame:

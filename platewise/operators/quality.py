@@ -114,12 +114,12 @@ class Metric:
 
 def gaussian_ssim_metric(size: int = 11, sigma: float = 1.5) -> Metric:
     of, name = _gaussian(size, sigma), f"gaussian_{size}_{sigma}".replace(".", "_")
-    return Metric({name: Sum(of, size // 2), f"{name}_n": Sum(_count(of), size // 2)}, lambda: F.col(name) / F.col(f"{name}_n"))
+    return Metric({name: Sum(of, size // 2), f"{name}_n": Sum(_count(of), size // 2)}, lambda: F.try_divide(name, f"{name}_n"))
 
 
 def ssim_metric(size: int = 7) -> Metric:
     of, name = _uniform(size), f"uniform_{size}"
-    return Metric({name: Sum(of, size // 2), f"{name}_n": Sum(_count(of), size // 2)}, lambda: F.col(name) / F.col(f"{name}_n"))
+    return Metric({name: Sum(of, size // 2), f"{name}_n": Sum(_count(of), size // 2)}, lambda: F.try_divide(name, f"{name}_n"))
 
 
 def fg_ssim_metric(size: int = 11) -> Metric:
@@ -136,8 +136,8 @@ def fg_psnr_metric(top: float = 1.0) -> Metric:
 
 _MEAN_ERROR = {"error_n": Sum(_count(_error))}
 METRICS: dict[str, Metric] = {
-    "mae": Metric(_MEAN_ERROR | {"error": Sum(lambda t: np.abs(_error(t)))}, lambda: F.col("error") / F.col("error_n")),
-    "psnr": Metric(_MEAN_ERROR | {"error_2": Sum(lambda t: _error(t) ** 2)}, lambda: F.when(F.col("error_2") == 0, float("inf")).otherwise(-10 * F.log10(F.col("error_2") / F.col("error_n")))),
+    "mae": Metric(_MEAN_ERROR | {"error": Sum(lambda t: np.abs(_error(t)))}, lambda: F.try_divide("error", "error_n")),
+    "psnr": Metric(_MEAN_ERROR | {"error_2": Sum(lambda t: _error(t) ** 2)}, lambda: F.when(F.col("error_2") == 0, float("inf")).otherwise(-10 * F.log10(F.try_divide("error_2", "error_n")))),
     "ssim": gaussian_ssim_metric(),
     "fg_psnr": fg_psnr_metric(),
     "fg_ssim": fg_ssim_metric(),

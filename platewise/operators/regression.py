@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from platewise.operators.aggregate import mean_quantile_band
+from platewise.operators.aggregate import small_group_bands
+from platewise.operators.relational import coerce_finite, is_missing
 from platewise.operators.sampling import draw_order
 
 #: Hex digits of the hash that numbers rows in two steps.
@@ -40,6 +42,14 @@ def effect_sizes(df: DataFrame) -> DataFrame:
     return df.withColumns({"delta_r2": delta, "partial_r2_x2": partial, "cohen_f2_x2": F.when(fu < 1, delta / F.nullif(1 - fu, F.lit(0.0)))})
 
 
+def complete_rows(df: DataFrame, groups: list[str], numeric: dict[str, str], level: str | None = None, keys: list[str] = ()) -> DataFrame:
+    """What a fit can rest on: the groups, ``_k_<key>`` of the keys, numbers by new name, and ``level``, of the rows in which none of
+    groups, numbers and level is missing or infinite. Text that is a number becomes one; other text counts as missing."""
+    picked = df.select(*groups, *[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(c).alias(n) for n, c in numeric.items()], *([F.col(level).alias("level")] if level else []))
+    labels = [*groups, *(["level"] if level else [])]
+    return coerce_finite(reduce(lambda d, c: d.filter(~is_missing(d, c)), labels, picked), list(numeric))
+
+
 def _centred(df: DataFrame, groups: list[str], columns: list[str]) -> DataFrame:
     """Columns less their group's means, which stay as ``m_<column>``; sums are exact about any centre near them."""
     means = df.groupBy(*groups).agg(*[F.avg(c).alias(f"m_{c}") for c in columns])
@@ -108,15 +118,15 @@ def categorical_fit(by: DataFrame, groups: list[str], standardize: bool = False)
 
 
 def nested_ols_numeric(df: DataFrame, groups: list[str], y: str = "y", x1: str = "x1", x2: str = "x2", standardize: bool = False) -> DataFrame:
-    """y on x1, and y on x1 and x2, for each group."""
-    rows = df.select(*groups, F.col(y).alias("y"), F.col(x1).alias("a"), F.col(x2).alias("b"))
+    """y on x1, and y on x1 and x2, for each group, over its complete rows."""
+    rows = complete_rows(df, groups, {"y": y, "a": x1, "b": x2})
     s = _centred(rows, groups, ["y", "a", "b"]).groupBy(*groups).agg(*_sums(["y", "a", "b"]), *[F.first(f"m_{c}").alias(f"m_{c}") for c in "yab"])
     return numeric_fit(s, groups, standardize)
 
 
 def nested_ols_categorical(df: DataFrame, groups: list[str], y: str = "y", x1: str = "x1", x2: str = "x2", standardize: bool = False) -> DataFrame:
     """The same with a level of x2 as intercept."""
-    rows = df.select(*groups, F.col(y).alias("y"), F.col(x1).alias("a"), F.col(x2).alias("level"))
+    rows = complete_rows(df, groups, {"y": y, "a": x1}, x2)
     return categorical_fit(_centred(rows, groups, ["y", "a"]).groupBy(*groups, "level").agg(*_sums(["y", "a"])), groups, standardize)
 
 
@@ -237,16 +247,16 @@ def bootstrap_sums(df: DataFrame, groups: list[str], keys: list[str], columns: l
 
 
 def bootstrap_nested(df: DataFrame, groups: list[str], keys: list[str], y: str, x1: str, x2: str, n_boot: int = 300, fraction: float | None = 0.5, categorical: bool = False, least: int = 25, replace: bool = True, seed: str = "0", most: int | None = None, standardize: bool = False) -> DataFrame:
-    """One row for each group of at least ``least`` rows and each resample; ``most`` caps a group's rows (a draw). With
+    """One row for each group of at least ``least`` complete rows and each resample; ``most`` caps a group's rows (a draw). With
     ``standardize`` x1 (and a numeric x2) are z-scores within each resample."""
-    rows = df.dropna(subset=[*groups, y, x1, x2])
+    columns = {"y": y, "a": x1} | ({} if categorical else {"b": x2})
+    # Keys have names of their own, as they may be among the columns that are centred.
+    rows, keys = complete_rows(df, groups, columns, x2 if categorical else None, keys), [f"_k_{k}" for k in keys]
     if most:
         rows = numbered(rows, groups, keys, f"{seed}|cap").filter(F.col("idx") < most).drop("idx", "n")
     sizes = group_sizes(rows, groups, fraction).filter(F.col("n_group_rows") >= least)
-    columns = {"y": y, "a": x1} | ({} if categorical else {"b": x2})
-    # Keys under names of their own, as they may be among the columns that are centred.
-    rows = rows.join(sizes.select(groups), groups, "left_semi").select(*groups, *[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(c).alias(n) for n, c in columns.items()], *([F.col(x2).alias("level")] if categorical else []))
-    sums = bootstrap_sums(rows, groups, [f"_k_{k}" for k in keys], list(columns), "level" if categorical else None, n_boot, fraction, replace, seed)
+    rows = rows.join(sizes.select(groups), groups, "left_semi")
+    sums = bootstrap_sums(rows, groups, keys, list(columns), "level" if categorical else None, n_boot, fraction, replace, seed)
     by = [*groups, "boot_idx"]
     if categorical:
         out = categorical_fit(sums, by, standardize)
@@ -256,7 +266,9 @@ def bootstrap_nested(df: DataFrame, groups: list[str], keys: list[str], y: str,
 
 
 def bootstrap_summary(boot: DataFrame, groups: list[str], columns: tuple[str, ...] = ("r2_restricted", "partial_r2_x2")) -> DataFrame:
-    return mean_quantile_band(boot, groups, list(columns))
+    """Mean and 2.5 to 97.5 % band of each group's resamples. A group has as many rows as there are resamples, so its quantiles are taken
+    in the one aggregation that reads them."""
+    return small_group_bands(boot, groups, list(columns))
 
 
 def standardized(df: DataFrame, groups: list[str], columns: list[str]) -> DataFrame:

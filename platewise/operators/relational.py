@@ -57,7 +57,8 @@ def any_missing(df: DataFrame) -> DataFrame:
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    return df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
+    """Rows of each value; missing ones (NULL or NaN) are no value."""
+    return df.filter(~is_missing(df, column)).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
 
 
 def first_rows(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,8 +21,32 @@ def sample_per_group(df: DataFrame, groups: list[str], keys: list[str], n: int |
         short = df.groupBy(*groups).agg(F.count("*").alias("n")).filter(F.col("n") < n)
         if not short.isEmpty():
             raise ValueError(f"groups with fewer than {n} rows: {short.limit(5).collect()}")
-    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(draw_order(seed, *keys), *keys))
-    return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+    return least_hashes(df, groups, keys, n, seed)
+
+
+#: Numbers of rows up to which Spark keeps the first rows of each task before it shuffles, and hex digits that deal a group's rows to buckets.
+FEW, BUCKET_DIGITS = 1000, 3
+
+
+def least_hashes(df: DataFrame, groups: list[str], keys: list[str], n: int | Column, seed: str = "0") -> DataFrame:
+    """The ``n`` rows of each group (null is a group) whose hashes of the keys are least; ties in the order of the keys. ``n`` may be a column
+    that is the same in all rows of a group.
+
+    Where ``n`` is a small number, each task keeps its own least rows before the shuffle. Otherwise rows are counted by bucket of the hash: a bucket
+    is taken whole, in part or not at all, rows of buckets that are not taken are never shuffled, and a window ranks one bucket of a group."""
+    own = draw_order(seed, *keys)
+    if isinstance(n, int) and n <= FEW:
+        rank = F.row_number().over(Window.partitionBy(*groups).orderBy(own, *keys))
+        return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+    names = {g: f"_group{i}" for i, g in enumerate(groups)}
+    rows = df.withColumns({"_h": own, "_n": F.lit(n).cast("long") if isinstance(n, int) else n.cast("long")}).withColumn("_bucket", F.substring("_h", 1, BUCKET_DIGITS))
+    counts = rows.groupBy(*groups, "_bucket").agg(F.count("*").alias("_c"), F.max("_n").alias("_most"))
+    before = F.sum("_c").over(Window.partitionBy(*groups).orderBy("_bucket")) - F.col("_c")
+    open_ = counts.withColumn("_left", F.col("_most") - before).filter(F.col("_left") > 0)
+    open_ = open_.select(*[F.col(g).alias(k) for g, k in names.items()], F.col("_bucket").alias("_b"), F.least("_left", "_c").alias("_left"))
+    test = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(k)) for g, k in names.items()], F.col("_bucket") == F.col("_b"))
+    rank = F.row_number().over(Window.partitionBy(*groups, "_bucket").orderBy("_h", *keys))
+    return rows.join(open_, test).withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_left")).drop("_h", "_n", "_bucket", "_b", "_left", "_rank", *names.values())
 
 
 def two_level_quota(df: DataFrame, top: str, outer: str, inner: str, keys: list[str], total: int, seed: str = "0") -> DataFrame:

@@ -9,8 +9,9 @@ from platewise.functions.scalars import seed_of
 from platewise.operators import surface as U
 from platewise.plans.image_queries import images
 from platewise.plans.registry import query, table
-from platewise.sources.tables import scan_recursive_parts, shared_folder
-from platewise.streaming.incremental import batch_predict, finished, incremental_score
+from platewise.sources.done import read_done
+from platewise.sources.tables import shared_folder
+from platewise.streaming.incremental import batch_predict, committed_results, finished, incremental_score
 
 
 @query("incremental_score", """SELECT o_orderkey, round(o_totalprice * 2, 2) AS score, '/out/' || o_orderkey || '.tiff' AS output_file FROM orders""")
@@ -24,7 +25,7 @@ def incremental(spark, d):
     for part in (rows.filter("o_orderkey % 2 = 0"), rows):
         part.write.mode("append").parquet(tasks)
         incremental_score(spark, tasks, "o_orderkey long, o_totalprice double", ["o_orderkey"], score, results, state, done)
-    return scan_recursive_parts(spark, results).select("o_orderkey", "score").join(spark.read.parquet(done), "o_orderkey")
+    return committed_results(spark, results, done).select("o_orderkey", "score").join(read_done(spark, done).select("o_orderkey", "output_file"), "o_orderkey")
 
 
 @query("udf_transform", "SELECT vec_id AS image_id, round(list_sum(list_transform(embedding, lambda x: 1 - (x::DOUBLE + 1) / 2)), 6) AS total FROM embeddings")

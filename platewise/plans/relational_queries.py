@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from platewise.operators import relational as R
 from platewise.plans.registry import query, table
+from platewise.sources.done import left_to_do, write_done
+from platewise.sources.tables import shared_folder
 
 
 @query("select_by_name", "SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem")
@@ -153,8 +155,10 @@ def anti_done_pairs(spark, d):
 
 @query("anti_done_tasks", "SELECT o_orderkey, 'unet' AS model FROM orders WHERE o_orderstatus <> 'F'")
 def anti_done_tasks(spark, d):
-    tasks = table(spark, d, "orders").select("o_orderkey", "o_orderstatus").withColumn("model", F.lit("unet"))
-    return R.not_done(tasks, tasks.filter("o_orderstatus = 'F'"), ["o_orderkey", "model"]).select("o_orderkey", "model")
+    """Against an index of finished tasks in folders by key."""
+    tasks, index, keys = table(spark, d, "orders").select("o_orderkey", "o_orderstatus").withColumn("model", F.lit("unet")), shared_folder(spark, "done"), ["o_orderkey", "model"]
+    write_done(tasks.filter("o_orderstatus = 'F'").select(keys), index, keys, "0")
+    return left_to_do(tasks, index, keys).select(keys)
 
 
 @query("anti_done_metrics", """SELECT p_partkey, m AS metric_name FROM part, (VALUES ('mae'), ('psnr'), ('ssim')) t(m)

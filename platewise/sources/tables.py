@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,11 +99,48 @@ def scan_driven_by_table(spark: SparkSession, names: DataFrame, column: str, pat
 
 def scan_common_columns(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Parquet files of differing schemas, cut to the columns that all of them have (footers are read first); NaN is NULL."""
+    fields = common_fields(spark, paths)
+    if fields is not None:
+        return nan_to_null(spark.read.schema(fields).parquet(*paths))
     frames = [spark.read.parquet(p) for p in paths]
     common = [c for c in frames[0].columns if all(c in f.columns for f in frames)]
     return nan_to_null(reduce(DataFrame.unionByName, [f.select(common) for f in frames]))
 
 
+#: Footers that one task reads.
+FOOTERS = 50
+
+
+def _opened(path: str) -> tuple[pafs.FileSystem, str]:
+    scheme, _, rest = path.partition(":")
+    return (pafs.LocalFileSystem(), "/" + unquote(rest).lstrip("/")) if scheme == "file" else pafs.FileSystem.from_uri(path)
+
+
+def common_fields(spark: SparkSession, paths: list[str]) -> T.StructType | None:
+    """Columns that all Parquet files below the paths have, in the order of the first path, so that one scan reads all files. Footers
+    are read in tasks. None where a common column's type differs between files, or only Spark can open their store."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(paths).select("path")
+    one = files.first()
+    try:
+        _opened(one.path if one else "")
+    except (ValueError, OSError, pa.ArrowException):
+        return None
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system, place = _opened(path)
+                with system.open_input_file(place) as source:
+                    fields = [(f.name, str(f.type)) for f in pq.read_schema(source)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in ([n for n, _ in fields], [t for _, t in fields])], names=["name", "type"])
+
+    found = files.repartition(max(1, len(paths) // FOOTERS)).mapInArrow(read, "name string, type string")
+    columns = {r.name: r for r in found.groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("type").alias("types")).collect()}
+    most = files.count()
+    kept = [f for f in spark.read.parquet(paths[0]).schema.fields if f.name in columns and columns[f.name].n == most]
+    return T.StructType(kept) if all(columns[f.name].types == 1 for f in kept) else None
+
+
 def scan_parquet_index(spark: SparkSession, path: str, required: tuple[str, ...] = INDEX_COLUMNS) -> DataFrame:
     """All parts of an append-only index, in folders of partitions too (their keys are columns); a missing or empty folder is
     an empty table with the required columns."""
