@@ -8,7 +8,7 @@ the prefix sums of the segments' token counts. Control strings in a text are esc
 Turns are encoded, and decoded again, where they are read, so a conversation with a large part of all rows is spread over tasks;
 only the digest of a conversation, which must be taken in order, streams through one task, sorted by turn, with two
 running hashes as its state. Null texts and roles count as empty. Null ids form one conversation; equal turns of a
-conversation are ordered by role and text; repeated rows stay; other columns, of whatever name, are not read; an empty table
+conversation are ordered by role and text; repeated rows stay; texts may be of any length, unbroken runs too; other columns, of whatever name, are not read; an empty table
 gives no rows.
 """
 
@@ -60,11 +60,28 @@ def encoding(vocabulary: str):
     return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Runs of white space from which on they are encoded by themselves, as the pattern would recurse once a character.
+RUN = 1000
+_SPACES = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % RUN)
+
+
+def encode_text(enc, text: str) -> list[int]:
+    """The encoding of a text, long runs of white space apart. The pattern takes such a run as one piece, but for its last character where
+    something follows, which begins the next piece; so cutting there changes no id."""
+    ids, at = [], 0
+    for run in _SPACES.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += enc.encode_ordinary(text[at : run.start()])
+        ids += enc._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + enc.encode_ordinary(text[at:]) if at else enc.encode_ordinary(text)
+
+
 def assemble(roles: list[str], texts: list[str], enc) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
     """Token ids of each turn, and where the content stands in them."""
     line_end = enc.encode_ordinary("\n")
-    heads = {r: enc.encode_ordinary(escape_role(r) + "\n") for r in set(roles)}
-    bodies = [enc.encode_ordinary(escape(t)) for t in texts]
+    heads = {r: encode_text(enc, escape_role(r) + "\n") for r in set(roles)}
+    bodies = [encode_text(enc, escape(t)) for t in texts]
     ids, spans = [], []
     for role, body in zip(roles, bodies, strict=True):
         segments = ([IM_START], heads[role], body, [IM_END], line_end)

@@ -14,6 +14,7 @@ columns but doc_id and text, of whatever name, are not read; an empty table give
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import operator
 import re
@@ -52,11 +53,55 @@ def _column(word: str) -> int:
     return len(OWN) + zlib.crc32(word.encode()) % HASHED
 
 
+#: Lines of a text whose features stand in memory at once.
+LINES = 1 << 15
+
+
+def lines_of(text: str) -> Iterator[str]:
+    """The text's lines, cut at line feeds."""
+    at = 0
+    while (end := text.find("\n", at)) >= 0:
+        yield text[at:end]
+        at = end + 1
+    yield text[at:]
+
+
+def feature_blocks(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(lines, features) of the lines that have a word, by themselves, and each line's weight (its characters that are not white space), for
+    ``LINES`` lines at a time. What is kept of earlier lines is that they were seen."""
+    seen: set[str] = set()
+    lines = lines_of(text)
+    while part := list(itertools.islice(lines, LINES)):
+        yield _line_features(part, seen)
+
+
 def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(lines, features) of the line itself, and each line's weight (its characters that are not white space)."""
+    """The features of all lines of a text of the training sample."""
+    own, weight = zip(*feature_blocks(text), strict=True)
+    return np.concatenate(own), np.concatenate(weight)
+
+
+def line_scores(text: str, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bad, good) scores of each line that has a word, with its neighbours' features, and its weight. A block waits for the next one, whose first
+    line is a neighbour of its last."""
+    scores, weights, held, before = [], [], None, None
+    for own, weight in itertools.chain(feature_blocks(text), [(None, None)]):
+        if own is not None and not len(own):
+            continue
+        if held is not None:
+            edges = [x for x in (before, held, own[:1] if own is not None else None) if x is not None]
+            first = 0 if before is None else 1
+            scores.append((with_neighbours(np.concatenate(edges)) @ w)[first : first + len(held)])
+            before = held[-1:]
+        held = own
+        if own is not None:
+            weights.append(weight)
+    return (np.concatenate(scores), np.concatenate(weights)) if scores else (np.zeros((0, 2)), np.zeros(0))
+
+
+def _line_features(lines: list[str], seen: set[str]) -> tuple[np.ndarray, np.ndarray]:
     rows, weight, at_line, at_column, share = [], [], [], [], []
-    seen: set[str] = set()
-    for line in text.split("\n"):
+    for line in lines:
         words = _WORD.findall(line)
         if not words:
             continue
@@ -116,7 +161,22 @@ def padded(chains: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def marginals(scores: list[np.ndarray], transitions: np.ndarray, weight: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Forward-backward over chains of (bad, good) scores: each line's (bad, good) probabilities, the expected number of
-    each transition (weighted by chain), and each chain's log partition. All chains advance together, in order of length."""
+    each transition (weighted by chain), and each chain's log partition. Chains whose lengths differ by less than a factor of two advance
+    together, so that a long chain beside short ones takes no more memory than its own lines."""
+    kinds = np.array([max(len(s) - 1, 0).bit_length() for s in scores])
+    out, pairs, partition = [np.zeros((0, 2))] * len(scores), np.zeros((2, 2)), np.zeros(len(scores))
+    for kind in np.unique(kinds):
+        at = np.flatnonzero(kinds == kind)
+        some, n, log_z = _like_chains([scores[i] for i in at], transitions, None if weight is None else weight[at])
+        pairs += n
+        partition[at] = log_z
+        for i, p in zip(at, some, strict=True):
+            out[i] = p
+    return out, pairs, partition
+
+
+def _like_chains(scores: list[np.ndarray], transitions: np.ndarray, weight: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The same for chains of about one length, in order of length."""
     order = np.argsort([-len(s) for s in scores], kind="stable")
     s, n = padded([scores[i] for i in order])
     weight = np.ones(len(order)) if weight is None else weight[order]
@@ -244,8 +304,8 @@ def score_texts(df: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             for batch in slices(whole, "text", 1 << 19):
                 scores, weights = [], []
                 for text in batch.column(1).to_pylist():
-                    own, weight = line_features(text or "")
-                    scores.append(with_neighbours(own) @ m["w"])
+                    own, weight = line_scores(text or "", m["w"])
+                    scores.append(own)
                     weights.append(weight)
                 raw = document_scores(scores, weights, m["t"])
                 score = np.where(np.isnan(raw), EMPTY_SCORE, calibrated(np.nan_to_num(raw), float(m["cut"][0])))
@@ -264,11 +324,11 @@ def line_labels(df: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             for batch in slices(whole, "text", 1 << 19):
                 ids, lines, scores = [], [], []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    own, _ = line_features(text or "")
+                    own, _ = line_scores(text or "", m["w"])
                     if len(own):
-                        scores.append(with_neighbours(own) @ m["w"])
+                        scores.append(own)
                         ids += [doc] * len(own)
-                        lines += [i for i, line in enumerate(text.split("\n")) if _WORD.search(line)]
+                        lines += [i for i, line in enumerate(lines_of(text)) if _WORD.search(line)]
                 if ids:
                     good = np.concatenate(marginals(scores, m["t"])[0])[:, 1]
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32()), pa.array(good), pa.array((good >= 0.5).astype(np.int32))], names=["doc_id", "line", "good", "label"])
