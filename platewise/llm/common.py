@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -58,12 +59,18 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts travel to Python in Arrow batches of at most so many rows from now on in this session: Spark counts rows, not
-    bytes, and a batch stands in the memory of both sides."""
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """In jobs that run inside, texts travel to Python in Arrow batches of at most so many rows: Spark counts rows, not
+    bytes, and a batch stands in the memory of both sides. The session's own number is set back after them."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
+    own = spark.conf.get(name)
+    if not 0 < int(own) <= rows:
         spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

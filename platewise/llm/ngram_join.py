@@ -270,16 +270,18 @@ def links(df: DataFrame, total: int) -> DataFrame:
     # Frequent: clearly above what chance puts into one counter.
     limit = int(STEPS * np.log2(1 + mean + 8 * np.sqrt(mean) + 64))
     keys = stored(shared_keys(df, classes, limit), "keys")
-    lead = keys.groupBy("key").agg(F.min(F.struct("rank", "c", "n", "lack")).alias("lead"))
+    # Stored, as Spark splits a hot key where plain tables join, and not where one of them is an aggregate.
+    lead = stored(keys.groupBy("key").agg(F.min(F.struct("rank", "c", "n", "lack")).alias("lead")), "lead")
     near = keys.join(lead, "key").filter(F.col("c") != F.col("lead.c")).filter(may_link("n", "lack", "lead.n", "lead.lack"))
     first = stored(near.select(F.col("lead.c").alias("a"), F.col("c").alias("b")).distinct(), "pairs")
+    drop_stored(lead)
     done = stored(verified(first, fetch_sets(df, first)), "links")
     # What shares a key but not a component yet.
     roots = stored(components(done), "roots")
     labelled = keys.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select("key")
+    mixed = stored(labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select("key"), "several")
     left = stored(labelled.join(mixed, "key").select("key", "c", "n", "lack", "root"), "mixed")
-    drop_stored(keys, done)
+    drop_stored(keys, done, mixed)
     own = left.select("key", F.col("c").alias("a"), "n", "lack", "root", size_step("n").alias("step"))
     near_steps = F.explode(F.array(*[size_step("n") + k for k in (-1, 0, 1)])).alias("step")
     other = left.select("key", F.col("c").alias("b"), F.col("n").alias("m"), F.col("lack").alias("other_lack"), F.col("root").alias("other"), near_steps)
@@ -304,7 +306,12 @@ def shared_keys(df: DataFrame, classes: np.ndarray, limit: int) -> DataFrame:
 
 def near_duplicates(df: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row of (doc_id, text)."""
-    small_batches(df.sparkSession)
+    # All that runs in Python is stored by then.
+    with small_batches(df.sparkSession):
+        return _near_duplicates(df)
+
+
+def _near_duplicates(df: DataFrame) -> DataFrame:
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = stored(set_table(docs), "sets")
     total = table.agg(F.sum("n_shingles")).first()[0] or 0
