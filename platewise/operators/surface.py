@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,6 +39,20 @@ def variants(df: DataFrame, levels: dict[str, Column]) -> DataFrame:
     return df.select("image_id", F.inline(rows))
 
 
+def variants_by(df: DataFrame, hook: Callable[[np.ndarray], Iterable[tuple[str, np.ndarray]]], keep: list[str], pixels: str = "pixels") -> DataFrame:
+    """``keep`` columns, variant and out of every variant that a user's hook makes of an image, as a table function in a lateral join: an image may have
+    none, one or many. A null image has none."""
+
+    class Variants:
+        def eval(self, image: list | None) -> Iterator[tuple[str, list[float]]]:
+            if image is not None:
+                for name, out in hook(np.asarray(image, dtype=float)):
+                    yield str(name), [float(x) for x in np.asarray(out).ravel()]
+
+    made = F.udtf(Variants, returnType="variant string, out array<double>")
+    return df.lateralJoin(made(F.col(pixels).outer())).select(*keep, "variant", "out")
+
+
 def with_hooks(df: DataFrame, *hooks: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """User functions from table to table, applied in order."""
     for hook in hooks:

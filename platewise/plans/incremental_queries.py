@@ -42,10 +42,20 @@ def udf_metric(spark, d):
     return images(spark, d).select("image_id", F.round(worst("pixels", flat), 6).alias("worst"))
 
 
-@query("udtf_sweep", """SELECT vec_id AS image_id, variant, round(f * list_sum(list_transform(embedding, lambda x: (x::DOUBLE + 1) / 2)), 6) AS total
-  FROM embeddings, (VALUES ('dim', 0.5::DOUBLE), ('same', 1.0::DOUBLE)) v(variant, f)""")
+def _brighter(image):
+    """As many variants as the image has pixels above 0.65."""
+    for k in range(int((image > 0.65).sum())):
+        yield f"x{k + 2}", image * (k + 2)
+
+
+@query("udtf_sweep", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: (x::DOUBLE + 1) / 2) AS v FROM embeddings),
+  n AS (SELECT vec_id, list_sum(v) AS total, len(list_filter(v, lambda x: x > 0.65)) AS n FROM v)
+  SELECT vec_id AS image_id, variant, round(f * list_sum(v), 6) AS total FROM v, (VALUES ('dim', 0.5::DOUBLE), ('same', 1.0::DOUBLE)) t(variant, f)
+  UNION ALL SELECT vec_id, 'x' || (k + 2), round((k + 2) * total, 6) FROM (SELECT vec_id, total, unnest(range(n)) AS k FROM n)""")
 def udtf_sweep(spark, d):
+    """Named variants as expressions, and those of a hook whose number depends on the image."""
     rows = U.variants(images(spark, d), {"dim": F.transform("pixels", lambda x: x * 0.5), "same": F.col("pixels")})
+    rows = rows.unionByName(U.variants_by(images(spark, d), _brighter, ["image_id"]))
     return rows.select("image_id", "variant", F.round(F.aggregate("out", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from platewise.operators import regression as G
+from platewise.operators.components import embedded
 from platewise.plans.registry import query, table
 
 #: Resamples of every bootstrap.
@@ -150,10 +149,6 @@ def regression_suite(spark, d):
 
 @query("feature_pca_2d")
 def feature_pca_2d(spark, d):
-    """Two principal components of the feature columns; each axis points where its largest loading is positive."""
-    rows = table(spark, d, "embeddings").select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = PCA(k=2, inputCol="features", outputCol="pc").fit(rows)
-    loadings = model.pc.toArray()
-    signs = [1.0 if loadings[abs(loadings[:, k]).argmax(), k] > 0 else -1.0 for k in range(2)]
-    pc = vector_to_array("pc")
-    return model.transform(rows).select("vec_id", "label", *[(pc[k] * signs[k]).alias(f"pc{k + 1}") for k in range(2)])
+    """Two principal components of the features over all plates (labels), and over each plate by itself."""
+    rows = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    return embedded(embedded(rows, [], "embedding"), ["label"], "embedding", names="plate_pc").drop("embedding")
