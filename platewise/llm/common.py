@@ -29,8 +29,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _GRAM_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 
-#: Texts are hashed in pieces of about so many bytes, which bounds a task's memory.
+#: Rows are taken together up to about so many bytes of text; a longer text is a row alone.
 CHUNK_BYTES = 1 << 20
+#: Bytes, or words of runs, hashed at a time: the temporary arrays (32 bytes for each) do not grow with a text or word.
+BLOCK_BYTES = 1 << 17
 
 
 #: Schemes for which Spark and pyarrow have different names.
@@ -103,11 +105,6 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-def _pow_table(base: np.uint64, n: int) -> np.ndarray:
-    size = 1 << max(12, int(n).bit_length())
-    return _powers(int(base), size)
-
-
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without copying; a null is an empty string."""
     if isinstance(column, pa.ChunkedArray):
@@ -142,33 +139,107 @@ def word_spans(column: pa.Array, separators: np.ndarray = SPACE_SEPARATORS, lowe
     Words are maximal runs of bytes outside ``separators``; with ``lower``, A-Z become a-z.
     """
     data, offs = string_buffers(column)
-    n = len(data)
     b = _LOWER[data] if lower else data
+    s, e = _spans(b, offs, separators)
+    return b, offs, s, e, np.searchsorted(s, offs).astype(np.int64)
+
+
+def _spans(b: np.ndarray, cuts: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word of some bytes, where no word reaches over a cut."""
     inside = ~separators[b]
     starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
-    cuts = offs[:-1][offs[:-1] < n]
-    starts[cuts] = inside[cuts]
-    lasts = offs[1:][offs[1:] > 0] - 1
+    firsts, lasts = cuts[cuts < len(b)], cuts[cuts > 0] - 1
+    starts[firsts] = inside[firsts]
     ends[lasts] = inside[lasts]
-    s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    return b, offs, s, e, np.searchsorted(s, offs).astype(np.int64)
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
 def span_hashes(b: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the bytes from each start to its end, from running sums of powers."""
-    n = len(b)
-    up, down = _pow_table(_BASE, n + 1), _pow_table(_BASE_INVERSE, n + 1)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
-    return mix((prefix[e] - prefix[s]) * down[s] + (e - s).astype(np.uint64))
+    """64-bit hashes of the bytes from each start to its end, from running sums of powers. Spans ascend and do not overlap.
+
+    Spans are hashed together up to a block; of a longer one, the sums of its blocks are joined."""
+    out, at = np.empty(len(s), np.uint64), 0
+    while at < len(s):
+        end = max(at + 1, int(np.searchsorted(e, s[at] + BLOCK_BYTES, side="right")))
+        low, high = int(s[at]), int(e[end - 1])
+        if high - low <= BLOCK_BYTES:
+            out[at:end] = _sums(b[low:high], s[at:end] - low, e[at:end] - low)
+        else:
+            total = 0
+            for i in range(low, high, BLOCK_BYTES):
+                part = b[i : min(i + BLOCK_BYTES, high)]
+                total += int(_sums(part, np.zeros(1, np.int64), np.array([len(part)]))[0]) * pow(int(_BASE), i - low, 1 << 64)
+            out[at] = total % (1 << 64)
+        at = end
+    return mix(out + (e - s).astype(np.uint64))
+
+
+def _sums(b: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Sums of bytes times powers, from each start to its end, as if the span began at zero."""
+    up, down = _powers(int(_BASE), BLOCK_BYTES + 1), _powers(int(_BASE_INVERSE), BLOCK_BYTES + 1)
+    prefix = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=prefix[1:])
+    return (prefix[e] - prefix[s]) * down[s]
+
+
+def word_blocks(column: pa.Array, separators: np.ndarray, lower: bool = True) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+    """The bytes of a string column in blocks that end where no word can go on: each block's bytes, its place, and start and
+    end in it of each word. A word longer than a block makes its block longer."""
+    data, offs = string_buffers(column)
+    at, size = 0, BLOCK_BYTES
+    while at < len(data):
+        b = data[at : at + size]
+        b = _LOWER[b] if lower else b
+        end = at + len(b)
+        if end < len(data):
+            end = int(offs[np.searchsorted(offs, end, side="right") - 1])
+            # Most blocks have a separator near their end.
+            for tail in (4096, len(b)):
+                if len(breaks := np.flatnonzero(separators[b[-tail:]])):
+                    end = max(end, at + max(0, len(b) - tail) + int(breaks[-1]) + 1)
+                    break
+            if end <= at:
+                size *= 2
+                continue
+            b = b[: end - at]
+        yield b, at, *_spans(b, offs[np.searchsorted(offs, at) : np.searchsorted(offs, end, side="right")] - at, separators)
+        at, size = end, BLOCK_BYTES
 
 
 def words_of(column: pa.Array, separators: np.ndarray = SPACE_SEPARATORS, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of a string column, and the bounds of each row's words in them."""
-    b, _, s, e, bounds = word_spans(column, separators, lower)
-    return (span_hashes(b, s, e) if len(s) else np.zeros(0, np.uint64)), bounds
+    hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for b, at, s, e in word_blocks(column, separators, lower):
+        hashes.append(span_hashes(b, s, e))
+        starts.append(s + at)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), string_buffers(column)[1]).astype(np.int64)
+
+
+def text_part(data: np.ndarray) -> pa.Array:
+    """A string column of one row from some bytes."""
+    return pa.StringArray.from_buffers(1, pa.py_buffer(np.array([0, len(data)], np.int32)), pa.py_buffer(data.tobytes()))
+
+
+def spaced_parts(column: pa.Array) -> Iterator[pa.Array]:
+    """A column of one long text in parts of about :data:`CHUNK_BYTES` that end after white space; other columns as they are."""
+    data, _ = string_buffers(column)
+    if len(column) != 1 or len(data) <= CHUNK_BYTES:
+        yield column
+        return
+    at, size = 0, CHUNK_BYTES
+    while at < len(data):
+        b = data[at : at + size]
+        end = at + len(b)
+        if end < len(data):
+            breaks = np.flatnonzero(SPACE_SEPARATORS[b])
+            if not len(breaks):
+                size *= 2
+                continue
+            end = at + int(breaks[-1]) + 1
+        yield text_part(data[at:end])
+        at, size = end, CHUNK_BYTES
 
 
 def grams_of(words: np.ndarray, bounds: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -177,13 +248,22 @@ def grams_of(words: np.ndarray, bounds: np.ndarray, k: int, seed: int = 0) -> tu
     out_bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
     if len(words) < k:
         return np.zeros(0, np.uint64), out_bounds
-    total = np.full(len(words) - k + 1, seed, dtype=np.uint64)
-    factor = np.ones(1, np.uint64)
-    for j in range(k):
-        total = total + words[j : len(words) - k + 1 + j] * factor
-        factor = factor * _GRAM_BASE
-    position = np.arange(out_bounds[-1]) + np.repeat(bounds[:-1] - out_bounds[:-1], counts)
-    return mix(total[position]), out_bounds
+    # No run begins at the last k - 1 words of a row.
+    begins = np.ones(len(words), bool)
+    for j in range(1, k):
+        last = bounds[1:] - j
+        begins[last[last >= bounds[:-1]]] = False
+    out, at = np.empty(out_bounds[-1], np.uint64), 0
+    for i in range(0, len(words) - k + 1, BLOCK_BYTES):
+        n = min(BLOCK_BYTES, len(words) - k + 1 - i)
+        total, factor = np.full(n, seed, dtype=np.uint64), np.ones(1, np.uint64)
+        for j in range(k):
+            total = total + words[i + j : i + j + n] * factor
+            factor = factor * _GRAM_BASE
+        part = total[begins[i : i + n]]
+        out[at : at + len(part)] = mix(part)
+        at += len(part)
+    return out, out_bounds
 
 
 def list_array(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType | None = None) -> pa.ListArray:

@@ -62,6 +62,11 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             g, _ = grams_of(w, np.array([0, len(w)]), len(w), seed=int(len(w)))
             whole.append(g[0])
         grams, owner = np.concatenate([grams, np.array(whole, np.uint64)]), np.concatenate([owner, short])
+    if len(n) == 1:
+        # A long text is alone.
+        grams.sort()
+        grams = grams[np.concatenate([np.ones(min(1, len(grams)), bool), grams[1:] != grams[:-1]])]
+        return grams, np.array([0, len(grams)], np.int64)
     order = np.lexsort((grams, owner))
     grams, owner = grams[order], owner[order]
     first = np.ones(len(grams), bool)

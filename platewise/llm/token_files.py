@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from platewise.llm.common import file_system, mix, shared_folder, slices, span_hashes, stored, string_buffers, word_spans
+from platewise.llm.common import file_system, mix, shared_folder, slices, spaced_parts, span_hashes, stored, string_buffers, word_spans
 
 MAGIC = b"PFOR1\0\0\0"
 BLOCK = 1024
@@ -162,7 +162,15 @@ class WordEncoder:
         return place, known
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids with the end id after each text, and the number of each text's ids."""
+        """All ids with the end id after each text, and the number of each text's ids. A long text is encoded in parts."""
+        parts = [self._ids(part) for part in spaced_parts(texts)]
+        ids = np.concatenate([p[0] for p in parts])
+        counts = parts[0][1] if len(parts) == 1 else np.array([len(ids)])
+        out = np.full(len(ids) + len(texts), end, np.uint32)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), counts)] = ids
+        return out, counts + 1
+
+    def _ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, h, s, e, bounds = pieces_of(texts, self.pattern)
         place, known = self._find(h)
         if not known.all():
@@ -177,10 +185,7 @@ class WordEncoder:
         starts, lengths = self.starts[place], self.starts[place + 1] - self.starts[place]
         ends = np.cumsum(lengths)
         ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)]
-        counts = np.diff(np.concatenate([[0], ends])[bounds])
-        out = np.full(len(ids) + len(texts), end, np.uint32)
-        out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), counts)] = ids
-        return out, counts + 1
+        return ids, np.diff(np.concatenate([[0], ends])[bounds])
 
 
 def pieces_of(texts: pa.Array, special: re.Pattern[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm.common import ALNUM_SEPARATORS, mix, slices, span_hashes, word_spans
+from platewise.llm.common import ALNUM_SEPARATORS, CHUNK_BYTES, mix, slices, span_hashes, string_buffers, text_part, word_blocks, word_spans
 from platewise.llm.labelled import remainder, training_sample
 
 #: At most so many training rows of each class.
@@ -36,6 +36,8 @@ INPUT = WORD_DIM + GRAM_DIM
 GRAMS, HEADS = (3, 4, 5), (5, 6, 7, 8, 9)
 #: Windows that a task scores at a time.
 BATCH = 1024
+#: Words in a part of a long text: a multiple of the stride.
+PART_WORDS = 1 << 15
 #: Steps, step size of the bias, and that of the rows in terms of it, in the descent that starts the embeddings.
 WARM_STEPS, WARM_RATE, WARM_SCALE = 100, 2.0, 300.0
 #: What the warm start is divided by, to be of the size of the network's other inputs.
@@ -352,16 +354,40 @@ def best_cut(clean: np.ndarray, toxic: np.ndarray) -> float:
 # --- scoring --------------------------------------------------------------------------------------------------
 def text_scores(texts: pa.Array, model: dict[str, np.ndarray]) -> np.ndarray:
     """Each text's score: its worst window's probability, with the cut at the threshold."""
-    inputs = Inputs(texts)
+    parts = [worst_logits(part, model) for part in window_parts(texts)]
+    logit = parts[0] if len(parts) == 1 else np.concatenate(parts).max(keepdims=True)
     out = np.full(len(texts), EMPTY_SCORE)
+    some = logit > -np.inf
+    logit = logit[some].astype(np.float64) - float(model["cut"][0])
+    out[some] = 1 / (1 + np.exp(-(np.clip(logit, -30, 30) + np.log(THRESHOLD / (1 - THRESHOLD)))))
+    return out
+
+
+def worst_logits(texts: pa.Array, model: dict[str, np.ndarray]) -> np.ndarray:
+    """The largest logit of each text's windows; minus infinity for texts without a word."""
+    inputs = Inputs(texts)
+    out = np.full(len(texts), -np.inf, np.float32)
     if len(inputs.start):
         some = np.flatnonzero(np.diff(inputs.bounds) > 0)
-        first = np.searchsorted(inputs.owner, some)
-        logit = np.maximum.reduceat(window_logits(inputs, model), first).astype(np.float64) - float(model["cut"][0])
-        out[some] = 1 / (1 + np.exp(-(np.clip(logit, -30, 30) + np.log(THRESHOLD / (1 - THRESHOLD)))))
+        out[some] = np.maximum.reduceat(window_logits(inputs, model), np.searchsorted(inputs.owner, some))
     return out
 
 
+def window_parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """A column of one long text in parts that have its windows, each once: ``PART_WORDS`` words and what the last window of
+    these reaches beyond. Other columns as they are. A single word is never cut, and its n-grams take some 200 bytes for each
+    of its bytes."""
+    data, _ = string_buffers(texts)
+    if len(texts) != 1 or len(data) <= CHUNK_BYTES:
+        yield texts
+        return
+    start = np.concatenate([at + s for _, at, s, _ in word_blocks(texts, ALNUM_SEPARATORS)])
+    over = WINDOW - STRIDE
+    for i in range(0, max(len(start) - over, 1), PART_WORDS):
+        end = i + PART_WORDS + over
+        yield text_part(data[start[i] if len(start) else 0 : start[end] if end < len(start) else len(data)])
+
+
 def score_texts(df: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """doc_id and score of every row of (doc_id, text)."""
     shared = df.sparkSession.sparkContext.broadcast(model)

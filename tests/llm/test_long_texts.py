@@ -6,9 +6,10 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from platewise.llm import chat_format, quality_crf
+from platewise.llm import chat_format, common, license_scan, ngram_join, quality_crf, token_files, toxicity_gru
 
 
 @pytest.mark.parametrize("text", [" " * 2_000_000, "a" * 2_000_000, "7" * 2_000_000, "\n" * 2_000_000, "x" + " \n" * 500_000 + "y", "\u3000" * 300_000 + " end"])
@@ -73,3 +74,94 @@ def test_document_score_by_enumeration():
         total += chance
         good += chance * np.array(labels)
     assert quality_crf.document_scores([s], [weight], t)[0] == pytest.approx((good / total) @ weight / weight.sum())
+
+
+# --- words, shingles, windows and ids of texts that are read in parts --------------------------------------------
+ALPHABET = ["a", "B", "\u00e9", " ", " ", "\n", "0", ".", "!", "\u6f22", "abcdefghij", "<|endoftext|>", "word "]
+
+
+def some_text(rng, n):
+    return "".join(rng.choice(ALPHABET) for _ in range(n))
+
+
+def small_blocks(monkeypatch, size):
+    monkeypatch.setattr(common, "BLOCK_BYTES", size)
+    common._powers.cache_clear()
+
+
+@pytest.mark.parametrize("separators", [common.SPACE_SEPARATORS, common.ALNUM_SEPARATORS], ids=["space", "alnum"])
+def test_blocks_change_no_hash(monkeypatch, separators):
+    """Words that fill many blocks, blocks that hold many rows: hashes and bounds are those of one block, and of each word alone."""
+    rng = random.Random(8)
+    columns = [pa.array([None if rng.random() < 0.1 else some_text(rng, rng.randrange(30)) for _ in range(rng.randrange(6))], pa.string()) for _ in range(80)]
+    want = [(common.words_of(c, separators), common.grams_of(*common.words_of(c, separators), 3)) for c in columns]
+    for size in (1, 2, 7, 64):
+        small_blocks(monkeypatch, size)
+        for c, ((words, bounds), (grams, gram_bounds)) in zip(columns, want, strict=True):
+            got = common.words_of(c, separators)
+            assert np.array_equal(got[0], words) and np.array_equal(got[1], bounds)
+            data, _, s, e, _ = common.word_spans(c, separators)
+            assert np.array_equal(common.span_hashes(data, s, e), words)
+            again = common.grams_of(words, bounds, 3)
+            assert np.array_equal(again[0], grams) and np.array_equal(again[1], gram_bounds)
+    common._powers.cache_clear()
+
+
+@pytest.mark.parametrize("text", ["abc de " * 1_500_000, "x" * 10_000_000, " " * 10_000_000], ids=["words", "one word", "white space"])
+def test_memory_of_a_long_text(text):
+    """Ten megabytes take less than thirteen bytes for each byte, with all shingles."""
+    column = pa.array([text])
+    common.words_of(pa.array(["warm"]))
+    for work in (lambda: common.words_of(column), lambda: ngram_join.shingle_sets(column), lambda: license_scan._grams(column)):
+        tracemalloc.start()
+        work()
+        assert tracemalloc.get_traced_memory()[1] < 13 * len(text)
+        tracemalloc.stop()
+
+
+def test_shingles_of_a_text_alone_and_among_others():
+    rng = random.Random(9)
+    for n in (0, 1, 3, 4, 5, 6, 40, 400):
+        text = " ".join(rng.choice(["x", "y", "z"]) for _ in range(n))
+        grams, bounds = ngram_join.shingle_sets(pa.array(["other words are here now", text, None]))
+        alone, own = ngram_join.shingle_sets(pa.array([text]))
+        assert np.array_equal(alone, grams[bounds[1] : bounds[2]]) and own.tolist() == [0, len(alone)]
+
+
+def test_windows_of_a_text_in_parts(monkeypatch):
+    """The parts of a long text hold its windows, each once, and its score is that of the whole."""
+    rng = random.Random(10)
+    model = toxicity_gru.start_model()
+    for table in ("words", "grams"):
+        model[table] = np.random.default_rng(11).normal(0, 1, model[table].shape).astype(np.float32)
+    for n in (0, 1, 63, 64, 65, 96, 97, 128, 129, 160, 161, 500, 1000):
+        text = ", ".join(rng.choice(["one", "two", "b", "four4", "\u00fc"]) for _ in range(n)) + "!" * (n % 3)
+        column = pa.array([text])
+        whole, inputs = toxicity_gru.text_scores(column, model), toxicity_gru.Inputs(column)
+        words = text.replace("!", "").split(", ") if n else []
+        want = sorted(words[i : i + 64] for i in inputs.start)
+        monkeypatch.setattr(toxicity_gru, "CHUNK_BYTES", 0)
+        for size in (32, 64, 320):
+            monkeypatch.setattr(toxicity_gru, "PART_WORDS", size)
+            got = []
+            for part in toxicity_gru.window_parts(column):
+                own = [w for w in part[0].as_py().replace("!", "").split(", ") if w]
+                got += [own[i : i + 64] for i in toxicity_gru.Inputs(part).start]
+            assert sorted(got) == want
+            assert toxicity_gru.text_scores(column, model) == pytest.approx(whole, abs=1e-5)
+        monkeypatch.undo()
+
+
+def test_ids_of_a_text_in_parts(monkeypatch):
+    """Parts of a long text give the ids that the library gives for the whole."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng, encoder = random.Random(12), token_files.word_encoder("word_bpe_49k.json")
+    for size in (1, 5, 40):
+        monkeypatch.setattr(common, "CHUNK_BYTES", size)
+        for _ in range(60):
+            text = some_text(rng, rng.randrange(120))
+            ids, counts = encoder.encode(pa.array([text]), 2)
+            assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 2] and counts.tolist() == [len(ids)]
