@@ -4,9 +4,10 @@ Each line is good or bad. Its features are properties of the line (length, chara
 its neighbours; transitions tie neighbouring labels. Forward-backward gives each line's probability to be good, and
 the mean weighted by length is the document's quality.
 
-Only documents are labelled, so lines learn their document's label. The fit maximises one penalised likelihood of features
-and transitions, by Adam in numpy, on a bounded sample of labelled rows (``SAMPLE`` of each class); a monotone calibration puts
-the threshold 0.3 between the classes. Scoring reads whole texts, in tasks, without shuffles. Lines without a word carry no
+Only documents are labelled, so lines learn their document's label. Labels never change inside such a text, so the fit also reads
+texts glued from passages of good and bad ones (``GLUED``), whose lines keep their labels; without them the transitions would forbid
+any change. It maximises one penalised likelihood of features and transitions, by Adam in numpy, on a bounded sample of labelled rows
+(``SAMPLE`` of each class); a monotone calibration on whole documents puts the threshold 0.3 between the classes. Scoring reads whole texts, in tasks, without shuffles. Lines without a word carry no
 weight; a text without words (null, empty) has the prior ``EMPTY_SCORE``. Repeated rows are scored alike; null ids stay null;
 columns but doc_id and text, of whatever name, are not read; an empty table gives no rows.
 """
@@ -34,6 +35,10 @@ from platewise.llm.labelled import remainder, training_sample
 SAMPLE = 400
 #: Training uses chains of at most so many lines, cut from whole texts.
 CHAIN = 64
+#: Training texts glued from passages of both classes, and the most passages of one and lines of a passage.
+GLUED, PASSAGES, PASSAGE_LINES = 400, 4, 10
+#: Weight of the mixed chains together; good and bad ones have 1 each.
+MIXED = 0.5
 THRESHOLD = 0.3
 EMPTY_SCORE = 0.0
 HASHED = 64
@@ -217,19 +222,25 @@ DECAY = 1e-3
 
 
 class Likelihood:
-    """The penalised, weighted log likelihood of chains whose lines all have the chain's label."""
-
-    def __init__(self, chains: list[np.ndarray], labels: list[int]):
-        self.x, self.y = np.concatenate(chains).astype(np.float64), np.array(labels)
-        self.bounds = np.cumsum([0] + [len(c) for c in chains])
-        size = np.diff(self.bounds)
-        # A chain counts once, however long; classes count alike.
+    """The penalised, weighted log likelihood of chains, each with one label for all lines or a label a line."""
+
+    def __init__(self, chains: list[np.ndarray], labels: list[int | np.ndarray]):
+        self.x = np.concatenate(chains).astype(np.float64)
+        size = np.array([len(c) for c in chains])
+        self.bounds = np.concatenate([[0], np.cumsum(size)])
+        lines = [np.broadcast_to(y, n) for y, n in zip(labels, size, strict=True)]
+        # A chain counts once, however long; good and bad ones count alike, mixed ones by their weight.
+        kind = np.array([y[0] if (y == y[0]).all() else 2 for y in lines])
         self.weight = 1 / size
-        for value in (0, 1):
-            self.weight[self.y == value] /= max(1, (self.y == value).sum())
-        self.observed = np.eye(2)[np.repeat(self.y, size)]
+        for value in np.unique(kind):
+            self.weight[kind == value] *= (MIXED if value == 2 else 1) / (kind == value).sum()
+        y = np.concatenate(lines)
+        self.observed = np.eye(2)[y]
         self.line_weight = np.repeat(self.weight, size)[:, None]
-        self.seen = np.diag([((size - 1) * self.weight)[self.y == value].sum() for value in (0, 1)])
+        chain = np.repeat(np.arange(len(size)), size)
+        inside = chain[1:] == chain[:-1]
+        self.seen = np.zeros((2, 2))
+        np.add.at(self.seen, (y[:-1][inside], y[1:][inside]), self.line_weight[1:, 0][inside])
 
     def __call__(self, w: np.ndarray, t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Its value, and its gradients by the features' weights and by the transitions."""
@@ -239,6 +250,31 @@ class Likelihood:
         return value, self.x.T @ ((self.observed - np.concatenate(p)) * self.line_weight) - DECAY * w, self.seen - pairs - DECAY * t
 
 
+def glued_texts(rows: list[tuple[str, int]], n: int = GLUED, seed: int = 7) -> list[tuple[str, np.ndarray]]:
+    """Texts of two to ``PASSAGES`` passages, good and bad ones in turn, each of the next document of its class; and the labels of their lines.
+    The same rows give the same texts."""
+    lines = [[], []]
+    for text, label in rows:
+        some = [line for line in lines_of(text) if _WORD.search(line)]
+        if some:
+            lines[label].append(some)
+    if not lines[0] or not lines[1]:
+        return []
+    rng, used, out = np.random.default_rng(seed), [0, 0], []
+    for i in range(n):
+        text, labels = [], []
+        for k in range(int(rng.integers(2, PASSAGES + 1))):
+            label = (i + k) % 2
+            source = lines[label][used[label] % len(lines[label])]
+            used[label] += 1
+            size = min(int(rng.integers(1, PASSAGE_LINES + 1)), len(source))
+            at = int(rng.integers(0, len(source) - size + 1))
+            text += source[at : at + size]
+            labels += [label] * size
+        out.append(("\n".join(text), np.array(labels)))
+    return out
+
+
 def fit(rows: list[tuple[str, int]], rounds: int = 60, rate: float = 0.1) -> dict[str, np.ndarray]:
     """Weights of the features and transitions, and the calibration."""
     chains, labels, texts = [], [], []
@@ -253,6 +289,9 @@ def fit(rows: list[tuple[str, int]], rounds: int = 60, rate: float = 0.1) -> dic
     model = {"w": np.zeros((WIDTH, 2)), "t": np.zeros((2, 2)), "cut": np.array([0.0, 1.0])}
     if len(set(labels)) < 2:
         return model
+    for text, line_label in glued_texts(rows):
+        chains.append(with_neighbours(line_features(text)[0]))
+        labels.append(line_label)
     likelihood = Likelihood(chains, labels)
     first, second = {k: np.zeros_like(model[k]) for k in "wt"}, {k: np.zeros_like(model[k]) for k in "wt"}
     for step in range(1, rounds + 1):
