@@ -1,9 +1,8 @@
 """Nested least squares by group: how much a second variable adds to a first one, and its bootstrap.
 
 Both models come from centred sums of squares and products, so a fit of any number of groups is one aggregation. A
-bootstrap never copies rows: it counts how often each row is drawn and weights the same sums. Rows are numbered in a group and
-cut into blocks; draws travel to the blocks as packed numbers, four bytes each, and a block's task multiplies its counts with its
-rows, so what it sends on is one row of sums for each resample.
+bootstrap never copies rows: it counts how often each row is drawn and weights the same sums (``bootstrap.py``). Where the drawn rows
+themselves are wanted, rows are numbered in a group and cut into blocks, and draws travel to the blocks as packed numbers, four bytes each.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from platewise.operators.aggregate import small_group_bands
+from platewise.operators.bootstrap import SUMS, Analysis, mixed, products, resampled_sums
 from platewise.operators.relational import coerce_finite, is_missing
 from platewise.operators.sampling import draw_order
 
@@ -56,15 +56,9 @@ def _centred(df: DataFrame, groups: list[str], columns: list[str]) -> DataFrame:
     return df.join(means, groups).withColumns({c: F.col(c) - F.col(f"m_{c}") for c in columns})
 
 
-def _products(columns: list[str]) -> dict[str, tuple[str, ...]]:
-    """Names of the weighted sums of the columns and of their products, and what each multiplies."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    return {"w": (), **{f"s_{c}": (c,) for c in columns}, **{f"s_{a}_{b}": (a, b) for a, b in pairs}}
-
-
 def _sums(columns: list[str]) -> list[Column]:
     product = lambda cs: F.lit(1.0) if not cs else F.col(cs[0]) if len(cs) == 1 else F.col(cs[0]) * F.col(cs[1])
-    return [F.sum(product(cs)).alias(name) for name, cs in _products(columns).items()]
+    return [F.sum(product(cs)).alias(name) for name, cs in products(columns).items()]
 
 
 def _cross(a: str, b: str) -> Column:
@@ -102,10 +96,18 @@ def numeric_fit(s: DataFrame, groups: list[str], standardize: bool = False) -> D
     return effect_sizes(out).drop("ssr_restricted", "ssr_full")
 
 
+def _over_levels(by: DataFrame, groups: list[str], sums: list[str]) -> DataFrame:
+    """The sums of each group, and of the squares and products of y and a within its levels."""
+    within = [F.sum(_cross(p, q)).alias(f"in_{p}{q}") for p, q in ("yy", "ya", "aa")]
+    return by.groupBy(*groups).agg(*within, *[F.sum(c).alias(c) for c in sums])
+
+
 def categorical_fit(by: DataFrame, groups: list[str], standardize: bool = False) -> DataFrame:
     """Both models from the sums of y and a of each level: sums within levels give the full model; beta_x2 is null."""
-    within = [F.sum(_cross(p, q)).alias(f"in_{p}{q}") for p, q in ("yy", "ya", "aa")]
-    s = by.groupBy(*groups).agg(*within, *[F.sum(c).alias(c) for c in ("w", "s_y", "s_a", "s_y_y", "s_y_a", "s_a_a")])
+    return level_fit(_over_levels(by, groups, ["w", "s_y", "s_a", "s_y_y", "s_y_a", "s_a_a"]), groups, standardize)
+
+
+def level_fit(s: DataFrame, groups: list[str], standardize: bool = False) -> DataFrame:
     yy, ya, aa = _cross("y", "y"), _cross("y", "a"), _cross("a", "a")
     scale = F.sqrt(aa / F.col("w")) if standardize else F.lit(1.0)
     explained = F.coalesce(_ratio(ya * ya, aa), F.lit(0.0))
@@ -147,13 +149,6 @@ def group_sizes(df: DataFrame, groups: list[str], fraction: float | None) -> Dat
     return df.groupBy(*groups).agg(n.alias("n_group_rows"), (F.greatest(F.lit(2), F.bround(n * F.lit(fraction))).cast("long") if fraction else n).alias("n_boot_rows"))
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A hash of 32-bit numbers (in 64 bits): shifts, exclusive ors and products, which SQL has too."""
-    for _ in range(2):
-        x = ((x ^ (x >> 16)) * 73244475) & 0xFFFFFFFF
-    return x ^ (x >> 16)
-
-
 def _draws(sizes: DataFrame, groups: list[str], n_boot: int, replace: bool, seed: str) -> DataFrame:
     """groups, block, draws: for every block of a group's rows, the draws that fall into it, as resample * BLOCK + place in the
     block. With replacement, each draw takes the row whose number is a hash of the draw under a key, the MD5 of seed, group and
@@ -224,45 +219,41 @@ def bootstrap_weights(df: DataFrame, groups: list[str], keys: list[str], n_boot:
     return resampled(df, groups, keys, each, schema, n_boot, fraction, replace, seed).join(group_sizes(df, groups, fraction), groups)
 
 
-def bootstrap_sums(df: DataFrame, groups: list[str], keys: list[str], columns: list[str], level: str | None, n_boot: int, fraction: float | None, replace: bool, seed: str) -> DataFrame:
-    """The sums of the columns about the means of their group, by group, resample and level."""
-    names = _products(columns)
-    by = [*groups, "boot_idx"] + ([level] if level else [])
-    fields = [*(df.schema[g] for g in groups), T.StructField("boot_idx", T.IntegerType()), *([df.schema[level]] if level else []), *(T.StructField(n, T.DoubleType()) for n in names)]
-
-    def each(block: pd.DataFrame, counts: np.ndarray, first: int) -> pd.DataFrame:
-        values = {c: block[c].to_numpy(float) for c in columns}
-        table = np.stack([np.ones(len(block)) if not cs else np.prod([values[c] for c in cs], axis=0) for cs in names.values()], axis=1)
-        parts = []
-        codes, levels = pd.factorize(block[level]) if level else (np.zeros(len(block), int), [None])
-        for k, value in enumerate(levels):
-            own = codes == k
-            sums = pd.DataFrame(counts[:, own].astype(float) @ table[own], columns=list(names)).assign(boot_idx=np.arange(first, first + len(counts), dtype=np.int32))
-            sums = sums[sums["w"] > 0]
-            parts.append(sums.assign(**{level: value}) if level else sums)
-        return pd.concat(parts)
-
-    rows = _centred(df, groups, columns).drop(*[f"m_{c}" for c in columns])
-    return resampled(rows, groups, keys, each, T.StructType(fields), n_boot, fraction, replace, seed).groupBy(*by).agg(*[F.sum(n).alias(n) for n in names])
-
-
 def bootstrap_nested(df: DataFrame, groups: list[str], keys: list[str], y: str, x1: str, x2: str, n_boot: int = 300, fraction: float | None = 0.5, categorical: bool = False, least: int = 25, replace: bool = True, seed: str = "0", most: int | None = None, standardize: bool = False) -> DataFrame:
     """One row for each group of at least ``least`` complete rows and each resample; ``most`` caps a group's rows (a draw). With
     ``standardize`` x1 (and a numeric x2) are z-scores within each resample."""
-    columns = {"y": y, "a": x1} | ({} if categorical else {"b": x2})
-    # Keys have names of their own, as they may be among the columns that are centred.
-    rows, keys = complete_rows(df, groups, columns, x2 if categorical else None, keys), [f"_k_{k}" for k in keys]
     if most:
-        rows = numbered(rows, groups, keys, f"{seed}|cap").filter(F.col("idx") < most).drop("idx", "n")
-    sizes = group_sizes(rows, groups, fraction).filter(F.col("n_group_rows") >= least)
-    rows = rows.join(sizes.select(groups), groups, "left_semi")
-    sums = bootstrap_sums(rows, groups, keys, list(columns), "level" if categorical else None, n_boot, fraction, replace, seed)
-    by = [*groups, "boot_idx"]
-    if categorical:
-        out = categorical_fit(sums, by, standardize)
-    else:
-        out = numeric_fit(sums.join(rows.groupBy(*groups).agg(*[F.avg(c).alias(f"m_{c}") for c in columns]), groups), by, standardize)
-    return out.drop("n_rows").join(sizes, groups)
+        # Keys have names of their own, as they may be among the numbers.
+        df, keys = complete_rows(df, groups, {"y": y, "a": x1} | ({} if categorical else {"b": x2}), x2 if categorical else None, keys), [f"_k_{k}" for k in keys]
+        df = numbered(df, groups, keys, f"{seed}|cap").filter(F.col("idx") < most).drop("idx", "n")
+        y, x1, x2 = "y", "a", "level" if categorical else "b"
+    one = Analysis("", tuple(groups), y, x1, x2, categorical)
+    return bootstrap_analyses(df, keys, [one], n_boot, fraction, least, replace, seed, standardize).drop("analysis")
+
+
+def bootstrap_analyses(df: DataFrame, keys: list[str], analyses: list[Analysis], n_boot: int = 300, fraction: float | None = 0.5, least: int = 25, replace: bool = True, seed: str = "0", standardize: bool = False) -> DataFrame:
+    """The same for several analyses of one table, named by ``analysis``: rows are sorted once, and analyses of the same rows and groups
+    share their draws. Groups that are not an analysis' own are null."""
+    sums, sizes = resampled_sums(df, keys, analyses, n_boot, fraction, least, replace, seed)
+    groups = [c for c in sizes.columns if c not in ("_a", "n_group_rows", "n_boot_rows", "m_y", "m_a", "m_b")]
+    names = {c: f"_of_{c}" for c in ("_a", *groups)}
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in names.items()])
+    s = _over_levels(sums, ["_a", *groups, "boot_idx"], SUMS).join(sizes.withColumnsRenamed(names), same).drop(*names.values())
+    by = ["_a", *groups, "boot_idx", "n_boot_rows", "n_group_rows"]
+    is_level = F.element_at(F.array(*[F.lit(a.categorical) for a in analyses]), F.col("_a") + 1)
+    name = F.element_at(F.array(*[F.lit(a.name) for a in analyses]), F.col("_a") + 1)
+    kinds = {a.categorical for a in analyses}
+    out = _either(s, by, is_level, standardize) if len(kinds) == 2 else (level_fit if True in kinds else numeric_fit)(s, by, standardize)
+    return out.select(name.alias("analysis"), *groups, "boot_idx", *RESULT, "n_boot_rows", "n_group_rows")
+
+
+def _either(s: DataFrame, by: list[str], is_level: Column, standardize: bool) -> DataFrame:
+    """Both fits of each row, and that of its kind, so that the resamples are made once."""
+    kept = [c for c in s.columns if c not in by]
+    fields = F.struct(*kept).alias("_s")
+    numeric = numeric_fit(s.select(*by, fields, *kept), [*by, "_s"], standardize).select(*by, "_s", F.struct(*RESULT).alias("_numeric"))
+    level = level_fit(numeric.select(*by, "_numeric", "_s.*"), [*by, "_numeric"], standardize)
+    return level.select(*by, *[F.when(is_level, F.col(c)).otherwise(F.col(f"_numeric.{c}")).alias(c) for c in RESULT])
 
 
 def bootstrap_summary(boot: DataFrame, groups: list[str], columns: tuple[str, ...] = ("r2_restricted", "partial_r2_x2")) -> DataFrame:
