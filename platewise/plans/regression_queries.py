@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from platewise.operators import regression as G
+from platewise.operators.bootstrap import Analysis
 from platewise.operators.components import embedded
 from platewise.plans.registry import query, table
 
@@ -139,12 +140,11 @@ SUITE = {
 @query("regression_suite")
 def regression_suite(spark, d):
     """Five bootstrapped analyses, a row for each group and resample; without SQL, tested by brute force."""
-    rows, out = table(spark, d, "lineitem"), None
-    for name, (where, groups, x2, categorical) in SUITE.items():
-        boot = G.bootstrap_nested(rows.filter(where).withColumn("x2", F.expr(x2)), groups, KEYS, "l_extendedprice", "l_quantity", "x2", N_BOOT, categorical=categorical)
-        part = _rounded(boot.withColumn("analysis", F.lit(name)), ["analysis", *groups, "boot_idx", "n_boot_rows", "n_group_rows"])
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    rows = table(spark, d, "lineitem")
+    for name, (_, _, x2, _) in SUITE.items():
+        rows = rows.withColumn(f"x2_{name}", F.expr(x2))
+    analyses = [Analysis(name, tuple(groups), "l_extendedprice", "l_quantity", f"x2_{name}", categorical, where) for name, (where, groups, _, categorical) in SUITE.items()]
+    return _rounded(G.bootstrap_analyses(rows, KEYS, analyses, N_BOOT), ["analysis", *GROUPS, "boot_idx", "n_boot_rows", "n_group_rows"])
 
 
 @query("feature_pca_2d")

@@ -68,3 +68,9 @@ def test_the_sums_are_those_of_the_drawn_rows(spark):
 def test_no_draw_is_shuffled(spark, run):
     plan = run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "_draws" not in plan and "FlatMapCoGroups" not in plan
+
+
+def test_the_suite_reads_and_sorts_its_table_once(spark):
+    """Five analyses share one scan for rows; the other scans are for the sizes of groups."""
+    plan = R.regression_suite(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_draws" not in plan and plan.count("Relation [") <= 3 and plan.count("MapInArrow") == 1
