@@ -24,7 +24,7 @@ from platewise.operators.sampling import draw_order
 #: Hex digits of the hash that deal rows to buckets.
 PIECE_DIGITS = 2
 #: Rows in a block of a group, about, and resamples whose counts a task holds at a time.
-ROWS, AT_ONCE = 1 << 23, 16
+ROWS, AT_ONCE = 1 << 23, 8
 #: Draws hashed at a time, and rows whose counts are multiplied at a time: both fit into a core's cache.
 HASHED, MULTIPLIED = 32768, 16384
 #: Rows of a stretch that a resample without replacement is dealt to.
